@@ -10,56 +10,52 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_UPPER = bytes.maketrans(b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ")
-_OTHER = bytes(b for b in range(256) if not (65 <= b <= 90 or 97 <= b <= 122))
-
-
 def letters(column: Column) -> Column:
     """The letters of a sequence column; null stays null."""
     return F.upper(F.regexp_replace(column, "[^A-Za-z]+", ""))
 
 
-def letters_of(raw: str | bytes | None) -> bytes:
-    """The letters of one sequence in Python; null has none."""
-    if raw is None:
-        return b""
-    # Every byte of a multi-byte UTF-8 character is over 127, so none is mistaken for a letter.
-    return (raw.encode() if isinstance(raw, str) else raw).translate(_UPPER, _OTHER)
-
-
 def joined(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The letters of an Arrow string column end to end, and each row's number of letters."""
-    rows = [letters_of(x.as_buffer().to_pybytes() if x.is_valid else None) for x in column.cast(pa.binary())]
-    return np.frombuffer(b"".join(rows), np.uint8), np.fromiter(map(len, rows), np.int64, len(rows))
+    """The bytes of an Arrow string column end to end without a copy, and each row's number of bytes; null has none."""
+    if column.null_count:
+        column = column.fill_null("")
+    if not len(column):
+        return np.zeros(0, np.uint8), np.zeros(0, np.int64)
+    kind = np.int64 if pa.types.is_large_string(column.type) else np.int32
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, kind)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    text = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
+    return text[at[0] : at[-1]], np.diff(at)
 
 
 def window_hashes(codes: np.ndarray, width: int, salt: int) -> np.ndarray:
-    """A 64-bit polynomial hash of each window of ``width`` bytes of ``codes``, by doubling.
+    """A 64-bit polynomial hash of each window of ``width`` bytes of ``codes``.
 
     Equal windows have equal hashes; unequal ones may collide, so callers that must be exact compare the bytes as well.
     """
-    if len(codes) < width:
-        return np.zeros(0, np.uint64)
+    return windows_hashes(codes, (width,), salt)[0]
+
+
+def windows_hashes(codes: np.ndarray, widths: tuple[int, ...], salt: int) -> list[np.ndarray]:
+    """``window_hashes`` for several widths at once: windows of 1, 2, 4, ... bytes are shared between them."""
     rng = np.random.default_rng(salt)
     table = rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     base = int(rng.integers(1, 2**62)) * 4 + 3
-    power = table[codes]  # hashes of windows of length `reach`
-    reach, done, out = 1, 0, None
-    left = width
-    while left:
-        if left & 1:
-            if out is None:
-                out, done = power, reach
-            else:
+    power = table[codes]
+    reach, out = 1, {w: (0, None) for w in widths}
+    while True:
+        for w in widths:
+            done, now = out[w]
+            if w & reach and len(codes) >= w:
                 n = len(codes) - done - reach + 1
-                out = out[:n] * np.uint64(pow(base, reach, 2**64)) + power[done : done + n]
-                done += reach
-        left >>= 1
-        if left:
-            n = len(codes) - 2 * reach + 1
-            power = power[:n] * np.uint64(pow(base, reach, 2**64)) + power[reach : reach + n]
-            reach *= 2
-    return mixed(out)
+                step = power[:n] if now is None else now[:n] * np.uint64(pow(base, reach, 2**64)) + power[done : done + n]
+                out[w] = (done + reach, step)
+        if reach * 2 > max(widths) or len(codes) < 2 * reach:
+            break
+        n = len(codes) - 2 * reach + 1
+        power = power[:n] * np.uint64(pow(base, reach, 2**64)) + power[reach : reach + n]
+        reach *= 2
+    return [mixed(out[w][1]) if len(codes) >= w else np.zeros(0, np.uint64) for w in widths]
 
 
 def mixed(x: np.ndarray) -> np.ndarray:

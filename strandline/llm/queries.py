@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import chunking, formatting, frequent, sample, seen
+from strandline.llm import chunking, formatting, frequent, leaks, mixing, neardup, quality, sample, seen, spans
+from strandline.llm.letters import letters
+from strandline.runtime import stage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -144,3 +146,99 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The records of fasta_reads with more than 5,000 letters in pieces of at most 5,000 that overlap by 200."""
     return chunking.split_oversized(_table(spark, sf_dir, "fasta_reads"))
+
+
+def _spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.shared_spans(_table(spark, sf_dir, "fasta_reads"), _table(spark, sf_dir, "control_library"))
+
+
+@_query()
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The maximal runs of shared positions of each record of fasta_reads."""
+    return _spans(spark, sf_dir)
+
+
+@_query()
+def p6_shared_amount(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many letters of each record of fasta_reads are shared, of how many."""
+    sizes = _table(spark, sf_dir, "fasta_reads").select("idx", F.length(letters(F.col("sequence"))).cast("long").alias("n_letters"))
+    amount = _spans(spark, sf_dir).groupBy("idx").agg(F.sum(F.col("span_end") - F.col("span_start")).alias("n_shared"))
+    return sizes.filter("n_letters > 0").join(amount, "idx", "left").select(
+        "idx", "n_letters", F.coalesce("n_shared", F.lit(0)).alias("n_shared")
+    )
+
+
+@_query()
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pairs of different texts within a table whose sets of 10-letter substrings overlap by half or more."""
+    parts = [
+        neardup.similar_pairs(_table(spark, sf_dir, t)).select(F.lit(t).alias("tbl"), "idx_a", "idx_b") for t in _READS
+    ]
+    return parts[0].unionByName(parts[1])
+
+
+@_query()
+def p7_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of each different text of both tables and its number of links."""
+    out = None
+    for t in _READS:
+        table = _table(spark, sf_dir, t)
+        pairs = stage(neardup.similar_pairs(table), "near-links")
+        one = neardup.classes(pairs, neardup.distinct_texts(table, "idx", "sequence", 1)).select(F.lit(t).alias("tbl"), "*")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@_query()
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold 13 or more consecutive words of an evaluation item, and the items."""
+    return leaks.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "eval_items"))
+
+
+def _mix(spark: SparkSession, sf_dir: str):
+    return mixing.mix(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "mix_targets"))
+
+
+@_query()
+def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that make up the mix, with how often each is used."""
+    return _mix(spark, sf_dir)[0]
+
+
+@_query()
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The target and the actual share of each source."""
+    return _mix(spark, sf_dir)[1]
+
+
+@_query()
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of which less than a fifth stands in sentences: those whose text type isn't prose."""
+    typed = quality.typed_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "common_words"))
+    return typed.filter("p_prose < 0.5").select("doc_id").distinct()
+
+
+_WORDS = r"regexp_extract_all(text, '[\p{L}\p{N}]+')"
+_LINES = "list_filter(list_transform(string_split(text, chr(10)), lambda l: trim(l, ' ' || chr(9) || chr(12) || chr(13))), lambda l: l <> '')"
+
+
+@_query(
+    f"WITH d AS (SELECT doc_id, text, {_WORDS} AS w, {_LINES} AS l FROM documents WHERE regexp_matches(text, '[^ \\t\\r\\n\\f]')), "
+    "c AS (SELECT list(DISTINCT lower(word)) AS known FROM common_words), "
+    "s AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(array_to_string(w, '')) AS DOUBLE) AS letters, "
+    r"CAST(length(text) - length(regexp_replace(text, '[^\p{L}\p{N} \t\r\n\f]', '', 'g')) AS DOUBLE) AS symbols, length(text) AS n, "
+    "CAST(len(list_filter(l, lambda x: regexp_matches(x, '[.!?;:]$'))) AS DOUBLE) AS ends, len(l) AS lines, "
+    "CAST(len(list_filter(w, lambda x: list_contains(known, lower(x)))) AS DOUBLE) AS commons FROM d, c) "
+    "SELECT doc_id, n_words, CASE WHEN n_words > 0 THEN letters / n_words ELSE 0 END AS mean_word_length, symbols / n AS symbol_ratio, "
+    "ends / lines AS punct_line_share, CASE WHEN n_words > 0 THEN commons / n_words ELSE 0 END AS common_share FROM s"
+)
+def p10_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five statistics of each document's text."""
+    one = quality.quality_statistics(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "common_words"))
+    return one.select("doc_id", "n_words", "mean_word_length", "symbol_ratio", "punct_line_share", "common_share")
+
+
+@_query()
+def p10_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The statistics of each document with the posterior of each text type."""
+    return quality.typed_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "common_words"))
