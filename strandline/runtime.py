@@ -10,8 +10,10 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Arrow batches end at this many bytes, so that a Python worker's memory does not follow the length of the texts.
@@ -77,3 +79,36 @@ def join_groups(records: DataFrame, groups: DataFrame, keys: list[str], size: st
         return records.join(groups, keys)
     cold = records.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
     return records.join(F.broadcast(hot), keys).unionByName(cold.join(groups.filter(F.col(size) <= limit), keys))
+
+
+def numbered(df: DataFrame, column: str, label: str = "numbered") -> DataFrame:
+    """``df`` with each row's position, from 0, in the order of its partitions and of the rows within them.
+
+    The rows are written once with their place in their partition; the counts of the partitions, one row a task, are
+    added up and joined back. So no task sees more than its own partition, as it would with an unpartitioned
+    row_number, and the numbers can't change when a task runs again.
+    """
+    placed = stage(df.withColumn("__at", F.monotonically_increasing_id()), label)
+    task, place = F.shiftright("__at", 33), F.col("__at").bitwiseAND(F.lit(2**33 - 1))
+    sizes = placed.groupBy(task.alias("__task")).agg(F.count(F.lit(1)).alias("__n"))
+    order = Window.orderBy("__task").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.select("__task", F.coalesce(F.sum("__n").over(order), F.lit(0)).alias("__before"))
+    out = placed.withColumn("__task", task).withColumn("__place", place).join(F.broadcast(before), "__task")
+    return out.withColumn(column, F.col("__before") + F.col("__place")).drop("__at", "__task", "__place", "__before")
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once for each application; where it is installed there this changes nothing."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    root = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="strandline-ship-")) / f"{root.name}.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for file in sorted(root.rglob("*.py")):
+            out.write(file, file.relative_to(root.parent))
+    context.addPyFile(str(archive))
+    _shipped.add(context.applicationId)
