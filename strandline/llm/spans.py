@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -211,11 +212,10 @@ def shared_spans(
     texts = stage(texts.select("rec", "n", F.length("s").cast("long").alias("size"), *marks, "s"), "span-texts")
     total = texts.agg(F.sum("size")).first()[0] or 0
     groups = max(1, -(-total // group))
-    sent = stage(texts.select("rec", "s").mapInArrow(_cutter(min_len, prefix, groups), _SENT), "span-stretches")
-    near = sent.filter("part is null").select("rec", "a", "b")
-    far = sent.filter("part is not null").select("part", "blob")
-    far = far.repartition(min(groups, 10_000), "part").sortWithinPartitions("part").mapInArrow(_builder(min_len), _RUNS)
-    return _merged(near.unionByName(far), texts, min_len).unionByName(_copies(rows, texts, marks))
+    sent = texts.select("rec", "s").mapInArrow(_cutter(min_len, prefix, groups), _SENT)
+    sent = sent.repartition(min(groups, 10_000), "part").sortWithinPartitions("part")
+    runs = sent.mapInArrow(_builder(min_len), _RUNS)
+    return _merged(runs, texts, min_len).unionByName(_copies(rows, texts, marks))
 
 
 _SENT = "part int, blob binary, rec long, a long, b long"
@@ -240,6 +240,9 @@ def _builder(min_len: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, blobs = None, []
         for batch in batches:
+            done = batch.filter(pc.is_null(batch["blob"]))
+            yield done.select(["rec", "a", "b"])
+            batch = batch.filter(pc.is_valid(batch["blob"]))
             for p, blob in zip(batch["part"].to_pylist(), batch["blob"].to_pylist()):
                 if p != part and blobs:
                     yield _judge(blobs, min_len)
@@ -253,7 +256,7 @@ def _builder(min_len: int):
 
 
 def _route(codes, lengths, ids, min_len, prefix, groups) -> Iterator[pa.RecordBatch]:
-    """The stretches of some records by part, and the runs that are settled at once."""
+    """The stretches of some records by part, and the runs that are settled at once, which only pass through."""
     row, start, count, group, ends = stretches(codes, lengths, min_len, prefix)
     if not len(row):
         return
@@ -261,9 +264,9 @@ def _route(codes, lengths, ids, min_len, prefix, groups) -> Iterator[pa.RecordBa
     travels, shared = settled(record, begin, size, ends, codes)
     own = np.flatnonzero(shared & (record >= 0))
     if len(own):
-        none = pa.nulls(len(own), pa.int32()), pa.nulls(len(own), pa.binary())
+        to = pa.array((mixed(record[own].astype(np.uint64)) % np.uint64(groups)).astype(np.int32))
         runs = [pa.array(x[own].astype(np.int64)) for x in (record, start, start + count)]
-        yield pa.RecordBatch.from_arrays([*none, *runs], ["part", "blob", "rec", "a", "b"])
+        yield pa.RecordBatch.from_arrays([to, pa.nulls(len(own), pa.binary()), *runs], ["part", "blob", "rec", "a", "b"])
     part = (mixed(group) % np.uint64(groups)).astype(np.int32)
     order = np.flatnonzero(travels)
     order = order[np.argsort(part[order], kind="stable")]
