@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandline.runtime import bound_arrow_batches, stage
@@ -168,7 +168,7 @@ def _report(spark: SparkSession, mixed: DataFrame, wanted: dict, available: dict
         F.max("copies").alias("most_copies"),
     )
     out = base.join(used, "source", "left").fillna(0, ["mixed_tokens", "n_docs", "most_copies"])
-    whole = used.agg(F.sum("mixed_tokens").alias("all"))
+    # The window is over the targets, 10,000 rows at most.
+    out = out.withColumn("all", F.sum("mixed_tokens").over(Window.partitionBy(F.lit(0))))
     share = F.when(F.col("all") > 0, F.col("mixed_tokens") / F.col("all")).otherwise(0.0)
-    # `whole` is one row.
-    return out.join(F.broadcast(whole)).select(*base.columns, "mixed_tokens", share.alias("actual_share"), "n_docs", "most_copies")
+    return out.select(*base.columns, "mixed_tokens", share.alias("actual_share"), "n_docs", "most_copies")
