@@ -122,7 +122,21 @@ class TestNearDuplicates:
         one = neardup.fingerprints(codes, lengths, 10, 4, 2)
         monkeypatch.setattr(neardup, "_CHUNK", 777)
         two = neardup.fingerprints(codes, lengths, 10, 4, 2)
-        assert (one[0] == two[0]).all() and (one[1] == two[1]).all()
+        assert all((x == y).all() for x, y in zip(one, two))
+
+    def test_words_agree_as_often_as_sets_overlap(self):
+        rng = np.random.default_rng(3)
+        base = rng.choice(np.frombuffer(b"ACGT", np.uint8), 3000)
+        codes = np.concatenate((base, base[1000:], base[:1000], rng.choice(np.frombuffer(b"ACGT", np.uint8), 2000)))
+        _, _, words = neardup.fingerprints(codes, np.array([3000, 3000, 2000]), 10, 16, 2)
+        near, far = neardup.agreements(words[[0, 0]], words[[1, 2]], 32)
+        assert near >= 28 and far <= 20
+
+    def test_needed_agreements_leave_the_chance_asked_for(self):
+        draws = np.random.default_rng(5).binomial(32, 0.5 + 0.5 / 4, 400_000)
+        needed = neardup.agreements_needed(32, 0.5, 0.01)
+        assert (draws < needed).mean() <= 0.0105 and (draws <= needed).mean() > 0.0095
+        assert neardup.agreements_needed(32, 1.0) == 32
 
     def test_classes(self, spark):
         links = [(1, 2), (2, 3), (3, 4), (4, 5), (7, 8), (10, 11), (10, 12), (10, 13)]
