@@ -19,6 +19,9 @@ from pyspark.sql import functions as F
 #: Arrow batches end at this many bytes, so that a Python worker's memory does not follow the length of the texts.
 ARROW_BATCH_BYTES = 16 << 20
 
+#: Tables of one short row a task are broadcast up to this many rows, and joined by a shuffle beyond.
+BROADCAST_ROWS = 200_000
+
 #: A key is hot when it holds more than 1/HOT_PARTS of all rows; so there can be no more than HOT_PARTS hot keys.
 HOT_PARTS = 1000
 
@@ -66,6 +69,11 @@ def bound_arrow_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(ARROW_BATCH_BYTES))
 
 
+def small(df: DataFrame, most_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` marked for broadcast if it was counted to have no more than ``most_rows`` rows, else as it is."""
+    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
+
+
 def join_groups(records: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int) -> DataFrame:
     """Inner join of records with one row per group, where a group may hold a third of all records.
 
@@ -93,7 +101,7 @@ def numbered(df: DataFrame, column: str, label: str = "numbered") -> DataFrame:
     sizes = placed.groupBy(task.alias("__task")).agg(F.count(F.lit(1)).alias("__n"))
     order = Window.orderBy("__task").rowsBetween(Window.unboundedPreceding, -1)
     before = sizes.select("__task", F.coalesce(F.sum("__n").over(order), F.lit(0)).alias("__before"))
-    out = placed.withColumn("__task", task).withColumn("__place", place).join(F.broadcast(before), "__task")
+    out = placed.withColumn("__task", task).withColumn("__place", place).join(small(before), "__task")
     return out.withColumn(column, F.col("__before") + F.col("__place")).drop("__at", "__task", "__place", "__before")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandline.functions import strip_whitespace
-from strandline.runtime import stage
+from strandline.runtime import small, stage
 
 #: A record begins where a line begins with the marker; splitting there makes every file splittable by Spark itself.
 SEPARATOR = "\n>"
@@ -39,14 +39,14 @@ def read_fasta(spark: SparkSession, path: str | list[str]) -> DataFrame:
     raw = stage(raw, "fasta")
     blocks = raw.groupBy("file", "block").agg(F.min("at").alias("low"))
     # The text before the first separator is a record only if it has a marker itself; so it is dropped before counting.
-    marked = raw.join(F.broadcast(blocks), ["file", "block"]).withColumn("first", (F.col("block") == 0) & (F.col("at") == F.col("low")))
+    marked = raw.join(small(blocks), ["file", "block"]).withColumn("first", (F.col("block") == 0) & (F.col("at") == F.col("low")))
     marked = marked.filter(~F.col("first") | (F.instr("value", ">") > 0))
     sizes = marked.groupBy("file", "block").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("start"))
     order = Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)
-    # One row a file split: as small as the number of tasks that read the text.
+    # One row a file split.
     before = sizes.select("file", "block", "start", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("before"))
     value = F.when(F.col("first"), _after_first_marker(F.col("value"))).otherwise(F.col("value"))
     header, sequence = parse_record(value)
-    return marked.join(F.broadcast(before), ["file", "block"]).select(
+    return marked.join(small(before), ["file", "block"]).select(
         (F.col("before") + F.col("at") - F.col("start")).alias("idx"), header.alias("header"), sequence.alias("sequence")
     )

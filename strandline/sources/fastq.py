@@ -44,10 +44,11 @@ def _strip(line: bytes) -> bytes:
 
 def parse_records(lines: Iterator[bytes], mode: str = "FAILFAST") -> Iterator[tuple[bytes, bytes, bytes]]:
     """Records of complete lines: sequence lines up to the one that begins with ``+``, then quality lines until they are
-    as long as the sequence. White space inside both is dropped, blank lines between records are skipped."""
+    as long as the sequence. White space inside both and before the marker is dropped, blank lines between records are
+    skipped."""
     for line in lines:
-        header = line.rstrip(b"\r\n")
-        if not header.strip():
+        header = line.rstrip(b"\r\n").lstrip()
+        if not header:
             continue
         try:
             if not header.startswith(b"@"):
