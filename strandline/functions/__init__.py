@@ -10,7 +10,7 @@ from strandline.functions.bases import (
     reverse_quality,
     strip_whitespace,
 )
-from strandline.functions.scores import mean_quality, phred_sum, phred_to_ascii, score_of, trim_bounds
+from strandline.functions.scores import mean_quality, phred_sum, phred_to_ascii, quality_ends, score_of, trim_bounds
 
 __all__ = [
     "dna_to_rna",
@@ -20,6 +20,7 @@ __all__ = [
     "n_fraction",
     "phred_sum",
     "phred_to_ascii",
+    "quality_ends",
     "read_length",
     "reverse_complement",
     "reverse_quality",

@@ -49,26 +49,25 @@ def _below(cutoff: int) -> str:
     return "".join(map(chr, range(0, OFFSET + min(cutoff, 255 - OFFSET))))
 
 
+def quality_ends(quality: Column, cutoff: int | None) -> tuple[Column, Column]:
+    """(head, end): where scores first reach the cutoff from either end; the whole read without a cutoff. A read that
+    never reaches it ends where it begins, at its end."""
+    size = F.length(quality)
+    if not cutoff:
+        return F.lit(0), size
+    low = F.lit(_below(cutoff))
+    head = size - F.length(F.ltrim(quality, low))
+    return head, F.greatest(head, F.length(F.rtrim(quality, low)))
+
+
 def trim_bounds(
-    sequence: Column,
-    quality: Column,
-    quality_cutoff: int | None = None,
-    trim_front: int = 0,
-    trim_tail: int = 0,
-    max_length: int | None = None,
+    head: Column, end: Column, size: Column, trim_front: int = 0, trim_tail: int = 0, max_length: int | None = None
 ) -> tuple[Column, Column]:
-    """(start, length): what trimming leaves of a read, start counted from 0.
+    """(start, length): what trimming leaves of a read of ``size`` bases between its quality ends, start counted from 0.
 
-    Low scores go from both ends up to the first base that reaches the cutoff, then a fixed number of bases from the
-    front and from the tail, then everything beyond ``max_length``. The tail is taken off the end that quality
-    trimming left, unless less than that remains: then nothing but the front is counted.
+    A fixed number of bases goes from the front and from the tail, then everything beyond ``max_length``. The tail is
+    taken off the end that quality trimming left, unless less than that remains: then nothing but the front is counted.
     """
-    size = F.length(sequence)
-    head, end = F.lit(0), size
-    if quality_cutoff:
-        low = F.lit(_below(quality_cutoff))
-        head = size - F.length(F.ltrim(quality, low))
-        end = F.greatest(head, F.length(F.rtrim(quality, low)))
     front = head + trim_front
     tail = F.when(end > trim_tail, end - trim_tail).otherwise(front)
     first = F.least(front, tail, size)

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandline import operators as ops
-from strandline.functions import mean_quality, phred_to_ascii, score_of, trim_bounds
+from strandline.functions import mean_quality, phred_to_ascii, quality_ends, score_of, trim_bounds
 from strandline.operators import sampling
 
 
@@ -134,7 +134,7 @@ class TestTrim:
         assert [(r.sequence, r.quality) for r in got] == [trim_one(s, q, cutoff, front, tail, longest) for _, _, s, q in rows]
 
     def test_bounds_are_columns(self, reads):
-        first, size = trim_bounds(F.col("sequence"), F.col("quality"), trim_front=1)
+        first, size = trim_bounds(*quality_ends(F.col("quality"), None), F.length("sequence"), trim_front=1)
         assert tuple(reads(("@1", "ACGT", "IIII")).select(first, size).first()) == (1, 3)
 
 
