@@ -11,12 +11,15 @@ from strandline.schema import require
 def dedup(df: DataFrame, by: str = "sequence") -> DataFrame:
     """The first record (smallest idx) of each distinct sequence; case counts, header and quality do not.
 
-    The first idx of each sequence comes from a hash aggregation with map-side combining, so that a sequence that makes
-    up a third of all rows crosses the network as one row a task; a semi-join on the unique idx then picks the rows. A
-    window over the sequence would sort every row and put all rows of a hot sequence into one task.
+    One aggregation with map-side combining: a sequence that makes up a third of all rows crosses the network as one row
+    a task, the input is read once, and only first records are shuffled. A window would shuffle and sort every row and
+    put all rows of a hot sequence into one task. The hash comes first in the key, so that sorting compares whole
+    sequences only where hashes agree.
 
-    Null sequences count as one value; rows of one idx are kept together.
+    Null sequences count as one value. An empty input gives no rows.
     """
     require(df, "idx", by)
-    firsts = df.groupBy(by).agg(F.min("idx").alias("idx")).select("idx")
-    return df.join(firsts, "idx", "left_semi")
+    others = [c for c in df.columns if c != by]
+    first = F.min_by(F.struct(*others), F.col("idx")).alias("__first")
+    kept = df.groupBy(F.xxhash64(by).alias("__hash"), by).agg(first)
+    return kept.select(*[F.col(c) if c == by else F.col("__first")[c].alias(c) for c in df.columns])
