@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandline.functions import strip_whitespace
 from strandline.runtime import new_path, remove
 
 _KEYS = ["h", "key"]
@@ -99,7 +100,7 @@ def keys_of(df: DataFrame, scope: int, id_col: str = "idx", sequence: str = "seq
     out."""
     return df.select(
         F.lit(scope).alias("scope"),
-        F.translate(F.col(sequence), " \t\r\n", "").alias("key"),
+        strip_whitespace(F.col(sequence)).alias("key"),
         F.col(id_col).cast("long").alias("at"),
     ).filter(F.col("key").rlike("[A-Za-z]"))
 
