@@ -20,6 +20,9 @@ PREFIX = 20
 #: Suffixes in a group, about; decides the number of groups.
 GROUP = 1 << 21
 
+#: The record that a stretch travels as when several records are known to have it: another one to each of them.
+SEVERAL = -(2**62) - 2
+
 #: Letters cut into stretches at once in a map task.
 _CHUNK = 1 << 22
 
@@ -68,7 +71,8 @@ def stretches(codes: np.ndarray, lengths: np.ndarray, min_len: int, prefix: int)
 def settled(record: np.ndarray, begin: np.ndarray, size: np.ndarray, ends: np.ndarray, codes: np.ndarray):
     """(travels, shared): which stretches must travel, and which are found here to be shared with another record.
 
-    Of equal stretches of several records only the first travels and all are shared; their letters are compared.
+    Of equal stretches of several records only the first travels, as ``SEVERAL``, and all are shared; their letters are
+    compared.
     """
     order = np.argsort(ends, kind="stable")
     first = np.concatenate(([0], np.flatnonzero(ends[order][1:] != ends[order][:-1]) + 1))
@@ -94,6 +98,44 @@ def settled(record: np.ndarray, begin: np.ndarray, size: np.ndarray, ends: np.nd
     return travels, shared
 
 
+class Settled:
+    """Stretches of several records that a task has sent already; the same stretch need not travel from it again.
+
+    It holds ``most`` letters at most. What it can't hold travels once a chunk, so its size changes no result.
+    """
+
+    def __init__(self, most: int = 1 << 24):
+        self.most = most
+        self.ends, self.size, self.at = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.text = np.zeros(0, np.uint8)
+
+    def known(self, begin: np.ndarray, size: np.ndarray, ends: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """Which stretches are among them, letter by letter."""
+        out = np.zeros(len(ends), bool)
+        if not len(self.ends):
+            return out
+        place = np.minimum(np.searchsorted(self.ends, ends), len(self.ends) - 1)
+        some = np.flatnonzero((self.ends[place] == ends) & (self.size[place] == size))
+        mine = codes[spread(begin[some], size[some])]
+        differ = np.concatenate(([0], np.cumsum(mine != self.text[spread(self.at[place[some]], size[some])])))
+        edge = np.concatenate(([0], np.cumsum(size[some])))
+        out[some[differ[edge[1:]] == differ[edge[:-1]]]] = True
+        return out
+
+    def add(self, begin: np.ndarray, size: np.ndarray, ends: np.ndarray, codes: np.ndarray) -> None:
+        """Remember stretches as far as there is room."""
+        _, one = np.unique(ends, return_index=True)
+        one = one[~np.isin(ends[one], self.ends)]
+        one = one[np.cumsum(size[one]) <= self.most - len(self.text)]
+        if not len(one):
+            return
+        at = len(self.text) + np.concatenate(([0], np.cumsum(size[one])[:-1]))
+        self.text = np.concatenate((self.text, codes[spread(begin[one], size[one])]))
+        all_ = [np.concatenate(x) for x in ((self.ends, ends[one]), (self.size, size[one]), (self.at, at))]
+        order = np.argsort(all_[0])
+        self.ends, self.size, self.at = (x[order] for x in all_)
+
+
 def _pack(arrays: list[np.ndarray]) -> bytes:
     press = zstandard.ZstdCompressor(level=1)
     parts = [press.compress(np.ascontiguousarray(x).tobytes()) for x in arrays]
@@ -191,7 +233,8 @@ def shared_spans(
     only one of each group travels. The suffixes are cut into groups of about ``group`` by a prefix found in their
     first min_len letters (see ``stretches``), travel as stretches of letters, and each group's tree is built in
     memory down to depth min_len. Equal stretches of a map task travel once: those of two or more records are
-    settled there, so a repeat that a third of all records contain reaches its group as one stretch a task.
+    settled there (see ``Settled``), so a repeat that a third of all records contain reaches its group as one stretch a
+    task.
 
     Null sequences and those of fewer than min_len letters have no span. A record never shares with itself. Repeated
     rows are copies of each other. Rows of one id with different letters are one record. An empty table gives no rows;
@@ -224,13 +267,15 @@ _RUNS = "rec long, a long, b long"
 
 def _cutter(min_len: int, prefix: int, groups: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent = Settled()
         for batch in batches:
             codes, lengths = joined(batch["s"])
             ids, ends, at = batch["rec"].to_numpy(), np.cumsum(lengths), 0
             while at < len(ids):
                 done = ends[at - 1] if at else 0
                 end = max(at + 1, int(np.searchsorted(ends, done + _CHUNK, "right")))
-                yield from _route(codes[int(done) : int(ends[end - 1])], lengths[at:end], ids[at:end], min_len, prefix, groups)
+                some = codes[int(done) : int(ends[end - 1])], lengths[at:end], ids[at:end]
+                yield from _route(*some, min_len, prefix, groups, sent)
                 at = end
 
     return run
@@ -255,13 +300,18 @@ def _builder(min_len: int):
     return run
 
 
-def _route(codes, lengths, ids, min_len, prefix, groups) -> Iterator[pa.RecordBatch]:
+def _route(codes, lengths, ids, min_len, prefix, groups, sent: Settled) -> Iterator[pa.RecordBatch]:
     """The stretches of some records by part, and the runs that are settled at once, which only pass through."""
     row, start, count, group, ends = stretches(codes, lengths, min_len, prefix)
     if not len(row):
         return
     begin, size, record = np.concatenate(([0], np.cumsum(lengths)[:-1]))[row] + start, count + min_len - 1, ids[row]
     travels, shared = settled(record, begin, size, ends, codes)
+    known = sent.known(begin, size, ends, codes)
+    new = np.flatnonzero(shared & travels & ~known)
+    sent.add(begin[new], size[new], ends[new], codes)
+    shared |= known
+    travels &= ~known
     own = np.flatnonzero(shared & (record >= 0))
     if len(own):
         to = pa.array((mixed(record[own].astype(np.uint64)) % np.uint64(groups)).astype(np.int32))
@@ -270,6 +320,7 @@ def _route(codes, lengths, ids, min_len, prefix, groups) -> Iterator[pa.RecordBa
     part = (mixed(group) % np.uint64(groups)).astype(np.int32)
     order = np.flatnonzero(travels)
     order = order[np.argsort(part[order], kind="stable")]
+    record = np.where(shared, SEVERAL, record)
     part, record, start, size, begin = part[order], record[order], start[order], size[order], begin[order]
     first = np.concatenate(([0], np.flatnonzero(part[1:] != part[:-1]) + 1, [len(part)]))
     blobs = [

@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -61,6 +62,11 @@ def sequences(seed, n):
     return rows
 
 
+def sorted_batches(batches):
+    table = pa.Table.from_batches(batches).sort_by("part")
+    return table.combine_chunks().to_batches()
+
+
 class TestSpans:
     @pytest.mark.parametrize("seed,group", [(1, 1 << 21), (2, 300), (3, 1500)])
     def test_against_brute_force(self, spark, seed, group):
@@ -71,12 +77,52 @@ class TestSpans:
         got = spans.shared_spans(df, lib, min_len=40, prefix=12, group=group)
         assert {tuple(r) for r in got.collect()} == brute_spans(rows, known, 40)
 
+    @pytest.mark.parametrize("seed", range(40))
+    def test_records_of_few_blocks(self, seed):
+        """Blocks that recur within records and between them, through the kernels alone."""
+        rng = random.Random(seed)
+        blocks = ["".join(rng.choice("ACGT") for _ in range(rng.choice([5, 20, 41, 60]))) for _ in range(5)]
+        texts = sorted({"".join(rng.choice(blocks) for _ in range(rng.randrange(1, 7))) for _ in range(rng.randrange(2, 9))})
+        batch = pa.RecordBatch.from_pydict({"s": texts, "rec": list(range(len(texts)))})
+        out = list(spans._cutter(40, 12, 3)(iter([batch])))
+        runs = list(spans._builder(40)(iter(sorted_batches(out))))
+        got = {(r, p) for x in runs for r, a, b in zip(*x.to_pydict().values()) for p in range(a, b)}
+        assert got == {
+            (i, p)
+            for i, t in enumerate(texts)
+            for p in range(len(t) - 39)
+            if any(t[p : p + 40] in other for j, other in enumerate(texts) if j != i)
+        }
+
     def test_without_known_and_empty(self, spark):
         rows = [(0, "ACGTTGCA" * 10), (1, None), (2, "acgttgca" * 10), (3, "G" * 59)]
         df = spark.createDataFrame(rows, SEQ)
         assert {tuple(r) for r in spans.shared_spans(df).collect()} == {(0, 0, 80), (2, 0, 80)}
         assert spans.shared_spans(df.limit(0)).count() == 0
 
+    def test_chunks_of_a_task_share_what_is_settled(self, monkeypatch):
+        rng = random.Random(6)
+        base = "".join(rng.choice("ACGT") for _ in range(100))
+        rows = [(i, base + "".join(rng.choice("ACGT") for _ in range(30))) for i in range(40)] + sequences(6, 30)
+        sent = []
+        for chunk, room in ((1 << 22, 1 << 24), (400, 1 << 24), (400, 500)):
+            monkeypatch.setattr(spans, "_CHUNK", chunk)
+            monkeypatch.setattr(spans.Settled.__init__, "__defaults__", (room,))
+            texts = [letters(s).encode() for _, s in rows if len(letters(s)) >= 40]
+            batch = pa.RecordBatch.from_pydict({"s": [t.decode() for t in texts], "rec": list(range(len(texts)))})
+            out = list(spans._cutter(40, 12, 5)(iter([batch])))
+            sent.append(sum(len(b) for x in out for b in x["blob"].to_pylist() if b))
+            runs = list(spans._builder(40)(iter(sorted_batches(out))))
+            got = {(r, p) for x in runs for r, a, b in zip(*x.to_pydict().values()) for p in range(a, b)}
+            want = {
+                (i, p)
+                for i, t in enumerate(texts)
+                for p in range(len(t) - 39)
+                if any(t[p : p + 40] in other for j, other in enumerate(texts) if j != i)
+            }
+            assert got == want
+        assert sent[0] < sent[1] < sent[2]
+
     def test_collisions_are_resolved_by_letters(self):
         text = np.frombuffer(b"ACGTACGTAACCGGTTAACCACGTACGTAACC", np.uint8)
         shared = np.zeros(3, bool)
@@ -201,3 +247,20 @@ class TestLeaks:
         assert leaks.permutations_for(9, 9) == 1
         counts = [leaks.permutations_for(s, 9) for s in leaks.SIZES]
         assert counts == sorted(counts) and (1 - 9 / 24) ** counts[-1] <= leaks.MISS
+
+
+def test_very_long_texts(spark):
+    """Texts far longer than a chunk or an Arrow batch's usual row, beside short ones."""
+    rng = np.random.default_rng(12)
+    long = rng.choice(np.frombuffer(b"ACGT", np.uint8), 400_000).tobytes().decode()
+    edited = long[:200_000] + "T" + long[200_000:]
+    df = spark.createDataFrame([(0, long), (1, edited), (2, "ACGT"), (3, long[5000:5100])], SEQ)
+    pairs = {tuple(r)[:2] for r in neardup.similar_pairs(df).collect()}
+    assert pairs == {(0, 1)}
+    found = {tuple(r) for r in spans.shared_spans(df).collect()}
+    assert {(0, 0, 400_000), (3, 0, 100)} <= found and {r[0] for r in found} == {0, 1, 3}
+    text = " ".join(f"w{i}" for i in rng.integers(0, 5000, 100_000))
+    item = " ".join(text.split(" ")[77_000:77_013])
+    docs = spark.createDataFrame([(1, text), (2, text[:50])], "doc_id long, text string")
+    items = spark.createDataFrame([(7, item)], "item_id long, text string")
+    assert [tuple(r) for r in leaks.leaks(docs, items).collect()] == [(1, 7)]
