@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import argparse
+import shutil
 import sys
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
 from strandline import operators as ops
+from strandline.runtime import new_path
 from strandline.schema import has_quality
 from strandline.sources import read_fastq, read_reads, write_reads
 
@@ -19,8 +22,10 @@ def parser() -> argparse.ArgumentParser:
 
     def tool(name: str, *inputs: str, output: bool = True) -> argparse.ArgumentParser:
         one = tools.add_parser(name)
-        for x in inputs or ("input",):
+        for x in inputs:
             one.add_argument(x)
+        if not inputs:
+            one.add_argument("input", nargs="?", default="-", help="file or folder; standard input if left out or -")
         if output:
             one.add_argument("-o", "--output", help="folder of part files; standard output if left out")
         return one
@@ -68,10 +73,22 @@ def _emit(df: DataFrame, output: str | None, ordered: bool = True) -> None:
         sys.stdout.write("\n".join(lines) + "\n")
 
 
+def _spooled(spark: SparkSession) -> str:
+    """Standard input as a file in the shared folder, where all executors can read it."""
+    path = new_path(spark, "stdin")
+    system, name = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+    system.create_dir(name.rpartition("/")[0])
+    with system.open_output_stream(name) as out:
+        shutil.copyfileobj(sys.stdin.buffer, out)
+    return path
+
+
 def run(spark: SparkSession, argv: list[str]) -> int:
-    """Run one tool; errors of its input go to standard error."""
+    """Run one tool; errors of its input go to standard error, and a reader that stops early is no error."""
     a = parser().parse_args(argv)
     try:
+        if getattr(a, "input", None) == "-":
+            a.input = _spooled(spark)
         if a.tool == "interleave":
             _emit(ops.interleave(read_fastq(spark, a.r1), read_fastq(spark, a.r2)), a.output)
         elif a.tool == "deinterleave":
@@ -99,6 +116,9 @@ def run(spark: SparkSession, argv: list[str]) -> int:
                 _emit(ops.sample_fraction(df, a.fraction, a.seed), a.output)
         else:
             _emit({"dedup": ops.dedup, "revcomp": ops.revcomp, "dna2rna": ops.dna2rna}[a.tool](read_reads(spark, a.input)), a.output)
+        sys.stdout.flush()
+    except BrokenPipeError:
+        return 0
     except ValueError as error:
         print(f"Error: {error}", file=sys.stderr)
         return 1

@@ -15,7 +15,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from strandline.runtime import numbered
 
@@ -127,6 +127,10 @@ class FastqReader(DataSourceReader):
             raise ValueError(f"mode must be one of {MODES}")
 
     def partitions(self) -> list[ByteRange]:
+        return self.ranges(sorted(self.files(), key=lambda x: x[1].path)) or [ByteRange("", 0, 0, True)]
+
+    def files(self) -> list[tuple[str, fs.FileInfo]]:
+        """(given path, file) of all files there are."""
         out = []
         for given in self.paths:
             system, path = _resolve(given)
@@ -137,11 +141,17 @@ class FastqReader(DataSourceReader):
                 found = [x for x in found if not x.base_name.startswith(("_", "."))]
             elif info.type == fs.FileType.NotFound:
                 raise FileNotFoundError(given)
-            for x in sorted(found, key=lambda x: x.path):
-                whole = self.wrapped or x.path.endswith((".gz", ".gzip"))
-                step = max(1, x.size if whole else self.split)
-                out += [ByteRange(_address(given, x.path), a, min(a + step, x.size), whole) for a in range(0, x.size, step)]
-        return out or [ByteRange("", 0, 0, True)]
+            out += [(given, x) for x in found]
+        return out
+
+    def ranges(self, files: list[tuple[str, fs.FileInfo]]) -> list[ByteRange]:
+        """Byte ranges of files, in their order."""
+        out = []
+        for given, x in files:
+            whole = self.wrapped or x.path.endswith((".gz", ".gzip"))
+            step = max(1, x.size if whole else self.split)
+            out += [ByteRange(_address(given, x.path), a, min(a + step, x.size), whole) for a in range(0, x.size, step)]
+        return out
 
     def read(self, partition: ByteRange) -> Iterator[pa.RecordBatch]:
         if not partition.path:
@@ -163,6 +173,27 @@ class FastqReader(DataSourceReader):
                 yield _batch(rows)
 
 
+class FastqStreamReader(FastqReader, DataSourceStreamReader):
+    """The files of a folder in order of arrival (time of change, then path); a file must be complete when it appears."""
+
+    def _arrived(self) -> list[tuple[int, str, tuple]]:
+        return sorted((x.mtime_ns, x.path, (given, x)) for given, x in self.files())
+
+    def initialOffset(self) -> dict:  # noqa: N802  a name of the interface
+        return {"time": -1, "path": ""}
+
+    def latestOffset(self) -> dict:  # noqa: N802
+        found = self._arrived()
+        return {"time": found[-1][0], "path": found[-1][1]} if found else self.initialOffset()
+
+    def partitions(self, start: dict, end: dict) -> list[ByteRange]:
+        low, high = (start["time"], start["path"]), (end["time"], end["path"])
+        return self.ranges([x for time, path, x in self._arrived() if low < (time, path) <= high])
+
+    def commit(self, end: dict) -> None:
+        """Nothing is kept, so nothing is to be released."""
+
+
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
     arrays = [pa.array(x, pa.binary()).cast(pa.string()) for x in zip(*rows)]
     return pa.RecordBatch.from_arrays(arrays, ["header", "sequence", "quality"])
@@ -179,7 +210,7 @@ def _address(given: str, path: str) -> str:
 
 
 class FastqDataSource(DataSource):
-    """``spark.read.format("fastq")`` after ``spark.dataSource.register(FastqDataSource)``.
+    """``spark.read.format("fastq")`` and ``spark.readStream.format("fastq")`` after ``spark.dataSource.register(FastqDataSource)``.
 
     Options: ``mode`` (FAILFAST, DROPMALFORMED, PERMISSIVE: header kept, the rest null), ``splitBytes``, and ``wrapped``
     for files whose records may span more than four lines; these are read file by file.
@@ -195,6 +226,9 @@ class FastqDataSource(DataSource):
     def reader(self, schema) -> FastqReader:
         return FastqReader(self.options)
 
+    def streamReader(self, schema) -> FastqStreamReader:  # noqa: N802
+        return FastqStreamReader(self.options)
+
 
 def read_fastq(spark: SparkSession, path: str | list[str], mode: str = "FAILFAST", wrapped: bool = False, split_bytes: int = 64 << 20) -> DataFrame:
     """Reads (idx, header, sequence, quality) of FASTQ files or folders, numbered in order of path and place.

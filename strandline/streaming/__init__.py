@@ -12,10 +12,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from strandline.functions import gc_count, n_count, phred_sum, read_length
 from strandline.operators.sampling import reservoir_slot
 from strandline.operators.stats import BINS
-from strandline.functions import gc_count, n_count, phred_sum, read_length
 from strandline.sources.fasta import SEPARATOR, parse_record
+from strandline.sources.fastq import FastqDataSource
 
 
 def read_fasta_stream(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
@@ -28,6 +29,12 @@ def read_fasta_stream(spark: SparkSession, path: str, max_files: int | None = No
     return source.text(path).select(header.alias("header"), sequence.alias("sequence"))
 
 
+def read_fastq_stream(spark: SparkSession, path: str, mode: str = "FAILFAST", wrapped: bool = False) -> DataFrame:
+    """(header, sequence, quality) of FASTQ files as they are put in a folder, ``.gz`` ones included."""
+    spark.dataSource.register(FastqDataSource)
+    return spark.readStream.format("fastq").options(mode=mode, wrapped=str(wrapped).lower()).load(path)
+
+
 def dedup_stream(df: DataFrame) -> DataFrame:
     """The first arrival of each sequence; the state grows with the number of distinct sequences."""
     return df.dropDuplicates(["sequence"])

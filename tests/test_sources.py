@@ -1,6 +1,7 @@
 """Readers, writers, the command line and streams."""
 
 import gzip
+import io
 import random
 
 import pytest
@@ -15,6 +16,7 @@ from strandline.streaming import (
     each_batch,
     length_histogram_stream,
     read_fasta_stream,
+    read_fastq_stream,
     reservoir_stream,
     stats_stream,
 )
@@ -174,6 +176,10 @@ class TestCli:
         say("deinterleave", fq, "-1", tmp_path / "r1", "-2", tmp_path / "r2")
         assert rows(read_fastq(spark, str(tmp_path / "r2")), "header") == [("@b",)]
 
+    def test_standard_input(self, spark, capsys, monkeypatch):
+        monkeypatch.setattr("sys.stdin", io.TextIOWrapper(io.BytesIO(b">a\nAC\n>b\nAC\n")))
+        assert self.run(spark, capsys, "dedup")[1] == ">a\nAC\n"
+
     def test_errors(self, spark, tmp_path, capsys):
         (tmp_path / "x").write_text("ACGT\n")
         code, _, err = self.run(spark, capsys, "dedup", str(tmp_path / "x"))
@@ -193,6 +199,18 @@ class TestStreams:
         got = self.drain(spark, dedup_stream(ops.revcomp(stream)), "append", "deduped")
         assert sorted(r.sequence for r in got.collect()) == ["AA", "ACGT"]
 
+    def test_fastq(self, spark, tmp_path):
+        (tmp_path / "in").mkdir()
+        (tmp_path / "in" / "a.fq").write_text(FASTQ[0][0])
+        stream = ops.filter_reads(read_fastq_stream(spark, str(tmp_path / "in")), min_length=4)
+        write = stream.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "ck"))
+        for more in (None, FASTQ[1][0], None):
+            if more:
+                (tmp_path / "in" / "b.fq").write_text(more)
+            write.trigger(availableNow=True).start(str(tmp_path / "out")).awaitTermination(120)
+        got = spark.read.parquet(str(tmp_path / "out")).collect()
+        assert sorted(r.header for r in got) == ["@seq1", "@seq1 description here", "@seq2"]
+
     def test_totals_histogram_and_reservoir(self, spark, tmp_path):
         data = [(i, f"@{i}", "ACGTN"[: i % 5 + 1], "IIIII"[: i % 5 + 1]) for i in range(50)]
         df = spark.createDataFrame(data, "idx long, header string, sequence string, quality string")
