@@ -16,7 +16,7 @@ from strandline.runtime import bound_arrow_batches, stage
 #: Anchors of a fingerprint, and its coordinates on each of them.
 ANCHORS, ROWS = 16, 2
 
-#: Chance that two fingerprints at the threshold are too far apart to be compared in full.
+#: Chance that the words of two texts agree in fewer coordinates than `agreements_needed` says.
 MISS = 1e-3
 
 #: Letters that are fingerprinted at once.
@@ -30,7 +30,7 @@ def fingerprints(codes: np.ndarray, lengths: np.ndarray, k: int, anchors: int, r
 
     A fingerprint is a word of ``anchors * rows`` coordinates, the minima of as many hashes over the distinct k-letter
     substrings. Each anchor is the code word that agrees with it on one block of ``rows`` coordinates and is blank
-    elsewhere. The word that travels has two bits of each of the first 32 coordinates.
+    elsewhere. The word has two bits of each of the first 32 coordinates; it estimates a similarity and decides nothing.
     """
     counts = np.maximum(lengths - k + 1, 0)
     which = np.flatnonzero(counts)
@@ -84,34 +84,28 @@ def distinct_texts(df: DataFrame, id_col: str, sequence: str, k: int) -> DataFra
     return rows.filter(F.length("s") >= k).groupBy("s").agg(F.min("idx").alias("idx")).select("idx", "s")
 
 
-def candidate_pairs(texts: DataFrame, k: int, anchors: int, rows: int, similarity: float) -> DataFrame:
-    """(idx_a, idx_b), idx_a < idx_b, with repeats: the texts that share an anchor and whose words are no farther apart
-    than texts of that similarity.
+def candidate_pairs(texts: DataFrame, k: int, anchors: int, rows: int) -> DataFrame:
+    """(idx_a, idx_b), idx_a < idx_b, with repeats: the texts that share an anchor, all of them.
 
-    Each text goes to all its anchors. The rows are sorted by anchor, and a Python task compares the words in a sorted
-    stream of them, block by block: what waits for partners is three integers a text, and only pairs within the
-    threshold leave the task.
+    Each text goes to all its anchors. The rows are sorted by anchor, and a Python task pairs them up in a sorted
+    stream, without a list of any whole anchor: rows that wait for partners are two integers each.
     """
     bound_arrow_batches(texts.sparkSession)
-    coordinates = min(32, anchors * rows)
-    needed = agreements_needed(coordinates, similarity)
 
     def anchor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             codes, lengths = joined(batch["s"])
-            which, keys, words = fingerprints(codes, lengths, k, anchors, rows)
-            ids, words = np.repeat(batch["idx"].to_numpy()[which], anchors), np.repeat(words, anchors)
-            columns = (keys.reshape(-1).view(np.int64), ids, words.view(np.int64))
-            yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), ["a", "idx", "w"])
+            which, keys, _ = fingerprints(codes, lengths, k, anchors, rows)
+            ids = np.repeat(batch["idx"].to_numpy()[which], anchors)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), pa.array(ids)], ["a", "idx"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = [np.zeros(0, np.int64)] * 3
+        rest = [np.zeros(0, np.int64)] * 2
         for batch in batches:
             waiting = len(rest[0])
-            a, ids, words = (np.concatenate((r, batch[c].to_numpy())) for r, c in zip(rest, ("a", "idx", "w")))
+            a, ids = (np.concatenate((r, batch[c].to_numpy())) for r, c in zip(rest, ("a", "idx")))
             if not len(a):
                 continue
-            words_ = words.view(np.uint64)
             first = np.concatenate(([0], np.flatnonzero(a[1:] != a[:-1]) + 1))
             size = np.diff(np.concatenate((first, [len(a)])))
             place = np.arange(len(a)) - np.repeat(first, size)
@@ -119,14 +113,13 @@ def candidate_pairs(texts: DataFrame, k: int, anchors: int, rows: int, similarit
             left = np.flatnonzero((np.arange(len(a)) >= waiting) & (place > 0))
             for part in _parts(left, place[left]):
                 partner, own = spread(part - place[part], place[part]), np.repeat(part, place[part])
-                near = agreements(words_[own], words_[partner], coordinates) >= needed
-                x, y = ids[own[near]], ids[partner[near]]
+                x, y = ids[own], ids[partner]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["idx_a", "idx_b"]
                 )
-            rest = [x[first[-1] :] for x in (a, ids, words)]
+            rest = [x[first[-1] :] for x in (a, ids)]
 
-    keyed = texts.mapInArrow(anchor, "a long, idx long, w long")
+    keyed = texts.mapInArrow(anchor, "a long, idx long")
     parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return keyed.repartition(parts, "a").sortWithinPartitions("a").mapInArrow(compare, "idx_a long, idx_b long")
 
@@ -195,9 +188,8 @@ def similar_pairs(
     code words are those with one block of ``rows`` coordinates filled in and blanks elsewhere, so each fingerprint
     lies within the covering radius, (anchors - 1) * rows, of exactly ``anchors`` code words and is replicated to all of
     them. Two fingerprints that differ in fewer than ``anchors`` coordinates share an anchor for certain, others with a
-    probability of 1 - (1 - J**rows)**anchors: 0.99 at J = 0.5, 0.999 at 0.6, for the default 16 blocks of 2. Words are
-    compared per anchor, which loses another 0.1 % at the threshold, and every pair that is left is verified by its
-    exact sets, so no row is wrong.
+    probability of 1 - (1 - J**rows)**anchors: 0.99 at J = 0.5, 0.999 at 0.6, for the default 16 blocks of 2. Every pair
+    that shares an anchor is verified by its exact sets, so no row is wrong and none is lost after the anchors.
 
     Only the record with the smallest id of each group with equal letters takes part; nulls and texts of fewer than k
     letters have no pairs. k may be at most 12. Repeated rows make no difference, an empty table gives no rows, other
@@ -208,7 +200,7 @@ def similar_pairs(
         raise ValueError("k must be from 1 to 12")
     texts = stage(distinct_texts(df, id_col, sequence, k), "near-texts")
     one, other = threshold
-    pairs = stage(candidate_pairs(texts, k, anchors, rows, one / other).distinct(), "near-pairs")
+    pairs = stage(candidate_pairs(texts, k, anchors, rows).distinct(), "near-pairs")
     # The texts of a pair come together by two joins on unique ids, in which only texts of candidates survive.
     a = texts.select(F.col("idx").alias("idx_a"), F.col("s").alias("sa"))
     b = texts.select(F.col("idx").alias("idx_b"), F.col("s").alias("sb"))

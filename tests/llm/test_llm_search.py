@@ -184,6 +184,23 @@ class TestNearDuplicates:
         assert (draws < needed).mean() <= 0.0105 and (draws <= needed).mean() > 0.0095
         assert neardup.agreements_needed(32, 1.0) == 32
 
+    def test_pairs_whose_words_disagree_are_compared_too(self, spark):
+        rng, n = np.random.default_rng(9), 20000
+        own = rng.choice(np.frombuffer(b"ACGT", np.uint8), (2, n, 309))
+        own[1, :, :209] = own[0, :, :209]  # 200 of 300 substrings in common: a similarity of 0.5, but for chance repeats
+        _, keys, words = neardup.fingerprints(own.reshape(-1), np.full(2 * n, 309), 10, 16, 2)
+        far = neardup.agreements(words[:n], words[n:], 32) < neardup.agreements_needed(32, 0.5)
+        grams = lambda t: {t[i : i + 10] for i in range(300)}
+        expected, rows = set(), []
+        for i in np.flatnonzero(far & (keys[:n] == keys[n:]).any(axis=1)):
+            one, two = (own[side, i].tobytes().decode() for side in (0, 1))
+            if 2 * len(grams(one) & grams(two)) >= len(grams(one) | grams(two)):
+                expected.add((len(rows), len(rows) + 1))
+                rows += [(len(rows), one), (len(rows) + 1, two)]
+        assert expected
+        out = neardup.similar_pairs(spark.createDataFrame(rows, "idx long, sequence string"))
+        assert {(r.idx_a, r.idx_b) for r in out.collect()} == expected
+
     def test_classes(self, spark):
         links = [(1, 2), (2, 3), (3, 4), (4, 5), (7, 8), (10, 11), (10, 12), (10, 13)]
         pairs = spark.createDataFrame(links, "idx_a long, idx_b long")
