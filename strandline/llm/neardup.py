@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandline.llm.letters import joined, letters, mixed, spread, window_hashes
-from strandline.runtime import bound_arrow_batches, stage
+from strandline.runtime import bound_arrow_batches, join_groups, stage
 
 #: Anchors of a fingerprint, and its coordinates on each of them.
 ANCHORS, ROWS = 16, 2
@@ -241,3 +241,20 @@ def classes(pairs: DataFrame, texts: DataFrame, rounds: int = 50) -> DataFrame:
         texts.select("idx").join(ends, "idx", "left").join(links, "idx", "left")
         .select("idx", F.coalesce("class_id", "idx").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     )
+
+
+def memberships(df: DataFrame, pairs: DataFrame, id_col: str = "idx", sequence: str = "sequence") -> DataFrame:
+    """(idx, class_id, n_links): one row for each record with letters; exact copies stand in the class of their text.
+
+    ``pairs`` are the ``similar_pairs`` of ``df``. n_links counts the links of the record's text to other texts, so all
+    copies of a text have the same number and links between copies are not counted. Records without an id are left out.
+
+    Records meet the class of their text by the SHA-256 of the letters; those of a text that makes up much of the table
+    stay where they are.
+    """
+    one = df.select(F.col(id_col).cast("long").alias("idx"), letters(F.col(sequence)).alias("s"))
+    records = stage(one.filter("idx is not null and s <> ''").select("idx", F.sha2("s", 256).alias("h")), "near-records")
+    texts = stage(records.groupBy("h").agg(F.min("idx").alias("first"), F.count(F.lit(1)).alias("n")), "near-groups")
+    found = classes(pairs, texts.select(F.col("first").alias("idx"))).withColumnRenamed("idx", "first")
+    groups = stage(texts.join(found, "first").drop("first"), "near-classes")
+    return join_groups(records, groups, ["h"], "n", records.count()).select("idx", "class_id", "n_links")

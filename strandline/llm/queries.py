@@ -179,12 +179,12 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query()
 def p7_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The class of each different text of both tables and its number of links."""
+    """The class of each record with letters of both tables and its text's number of links."""
     out = None
     for t in _READS:
         table = _table(spark, sf_dir, t)
         pairs = stage(neardup.similar_pairs(table), "near-links")
-        one = neardup.classes(pairs, neardup.distinct_texts(table, "idx", "sequence", 1)).select(F.lit(t).alias("tbl"), "*")
+        one = neardup.memberships(table, pairs).select(F.lit(t).alias("tbl"), "*")
         out = one if out is None else out.unionByName(one)
     return out
 

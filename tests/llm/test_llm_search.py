@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from strandline.llm import leaks, neardup, spans
+from strandline.llm import leaks, neardup, queries, spans
 
 SEQ = "idx long, sequence string"
 
@@ -210,6 +210,22 @@ class TestNearDuplicates:
         assert [got[i][0] for i in (1, 2, 3, 4, 5, 7, 8, 10, 11, 12, 13)] == [1] * 5 + [7] * 2 + [10] * 4
         assert got[10][1] == 3 and got[3][1] == 2 and got[0] == (0, 0)
 
+    def test_every_record_has_a_class(self, spark, tmp_path):
+        rng = random.Random(6)
+        text = lambda n: "".join(rng.choice("ACGT") for _ in range(n))
+        hot, lone = text(200), text(120)
+        near = hot[:100] + "G" + hot[101:]
+        rows = [(i, hot if i % 3 else hot.lower() + " ") for i in range(20, 60)]  # a hot text, and its copies in other spellings
+        rows += [(3, near), (70, near), (5, lone), (80, lone), (6, "ACG"), (81, "a-cg"), (7, None), (8, ""), (9, "--")]
+        table = spark.createDataFrame(rows, SEQ)
+        for name in ("fasta_reads", "fastq_reads"):
+            table.write.parquet(f"{tmp_path}/{name}.parquet")
+        got = queries.p7_classes(spark, str(tmp_path)).collect()
+        expected = {(i, 3, 1) for i in (*range(20, 60), 3, 70)} | {(5, 5, 0), (80, 5, 0), (6, 6, 0), (81, 6, 0)}
+        for name in ("fasta_reads", "fastq_reads"):
+            one = [(r.idx, r.class_id, r.n_links) for r in got if r.tbl == name]
+            assert len(one) == len(expected) and set(one) == expected
+
 
 def words(t):
     return [w.lower() for w in re.findall(r"[^\W_]+", t or "")]
