@@ -13,7 +13,7 @@ from strandline.llm.letters import letters, window_hashes
 from strandline.runtime import bound_arrow_batches
 
 _PIECES = "idx long, piece_no int, piece_start long, piece_end long, cut_by string, piece string"
-_GAPS = "idx long, gap_start long, gap_end long"
+_GAPS = "array<struct<gap_start: bigint, gap_end: bigint>>"
 _N = ord("N")
 
 
@@ -57,31 +57,69 @@ def _oversized(df: DataFrame, id_col: str, sequence: str, max_len: int) -> DataF
     return one.select("idx", letters(F.col("raw")).alias("s")).filter(F.length("s") > max_len)
 
 
-def natural_boundaries(
-    df: DataFrame, id_col: str = "idx", sequence: str = "sequence", max_len: int = 5000, min_gap: int = 10
+def _chunks(
+    df: DataFrame,
+    id_col: str,
+    sequence: str,
+    max_len: int,
+    overlap: int,
+    min_len: int,
+    min_gap: int,
+    window: int,
 ) -> DataFrame:
-    """The places where ``split_oversized`` may cut naturally: (idx, gap_start, gap_end) for each maximal run of at least
-    ``min_gap`` letters N of each record with more than ``max_len`` letters; one row with -1 where it has none.
-
-    Null, empty and short sequences give no rows. Repeated rows give repeated rows.
-    """
+    """The chunking pass: each piece of each oversized record, and with it the gaps that start before the next piece does,
+    so that each gap comes out once; the first piece of a record without gaps has one of -1."""
+    if not 0 <= overlap < min_len <= max_len or not 0 < window <= min_len:
+        raise ValueError("0 <= overlap < min_len <= max_len and 0 < window <= min_len must hold")
     bound_arrow_batches(df.sparkSession)
+    gap = pa.struct([("gap_start", pa.int64()), ("gap_end", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["idx", "piece_no", "piece_start", "piece_end", "cut_by", "piece", "gaps"]
         for batch in batches:
-            ids, starts, ends = [], [], []
             for idx, text in zip(batch["idx"].to_pylist(), batch["s"].to_pylist()):
-                a, b = gap_runs(np.frombuffer(text.encode(), np.uint8), min_gap)
-                if not len(a):
-                    a = b = np.array([-1])
-                ids.append(np.full(len(a), -1 if idx is None else idx))
-                starts.append(a)
-                ends.append(b)
-            if ids:
-                arrays = [pa.array(np.concatenate(x).astype(np.int64)) for x in (ids, starts, ends)]
-                yield pa.RecordBatch.from_arrays(arrays, ["idx", "gap_start", "gap_end"])
+                codes = np.frombuffer(text.encode(), np.uint8)
+                gaps, ends = gap_runs(codes, min_gap)
+                cuts = cut_points(codes, gaps, max_len, overlap, min_len, window)
+                starts = [a for a, _, _ in cuts]
+                if not len(gaps):
+                    gaps = ends = np.array([-1])
+                at = np.concatenate(([0], np.searchsorted(gaps, starts[1:]), [len(gaps)]))
+                runs = pa.StructArray.from_arrays([pa.array(gaps, pa.int64()), pa.array(ends, pa.int64())], fields=list(gap))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([idx] * len(cuts), pa.int64()),
+                        pa.array(range(len(cuts)), pa.int32()),
+                        pa.array(starts, pa.int64()),
+                        pa.array([b for _, b, _ in cuts], pa.int64()),
+                        pa.array([by for _, _, by in cuts], pa.string()),
+                        pa.array([text[a:b] for a, b, _ in cuts], pa.string()),
+                        pa.ListArray.from_arrays(pa.array(at, pa.int32()), runs),
+                    ],
+                    names,
+                )
+
+    return _oversized(df, id_col, sequence, max_len).mapInArrow(run, f"{_PIECES}, gaps {_GAPS}")
+
+
+def natural_boundaries(
+    df: DataFrame,
+    id_col: str = "idx",
+    sequence: str = "sequence",
+    max_len: int = 5000,
+    min_gap: int = 10,
+    overlap: int = 200,
+    min_len: int = 1000,
+    window: int = 32,
+) -> DataFrame:
+    """The places where ``split_oversized`` may cut naturally: (idx, gap_start, gap_end) for each maximal run of at least
+    ``min_gap`` letters N of each record with more than ``max_len`` letters; one row with -1 where it has none.
 
-    return _oversized(df, id_col, sequence, max_len).mapInArrow(run, _GAPS)
+    The gaps come out of the chunking pass with the pieces. Null, empty and short sequences give no rows. Repeated rows
+    give repeated rows.
+    """
+    chunks = _chunks(df, id_col, sequence, max_len, overlap, min_len, min_gap, window)
+    return chunks.select("idx", F.inline("gaps"))
 
 
 def split_oversized(
@@ -101,27 +139,5 @@ def split_oversized(
     memory); records are independent, so there is no shuffle. Null, empty and short sequences give no rows, repeated
     rows give repeated pieces, other columns of the input are not read.
     """
-    if not 0 <= overlap < min_len <= max_len or not 0 < window <= min_len:
-        raise ValueError("0 <= overlap < min_len <= max_len and 0 < window <= min_len must hold")
-    bound_arrow_batches(df.sparkSession)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["idx", "piece_no", "piece_start", "piece_end", "cut_by", "piece"]
-        for batch in batches:
-            for idx, text in zip(batch["idx"].to_pylist(), batch["s"].to_pylist()):
-                codes = np.frombuffer(text.encode(), np.uint8)
-                gaps, _ = gap_runs(codes, min_gap)
-                cuts = cut_points(codes, gaps, max_len, overlap, min_len, window)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([idx] * len(cuts), pa.int64()),
-                        pa.array(range(len(cuts)), pa.int32()),
-                        pa.array([a for a, _, _ in cuts], pa.int64()),
-                        pa.array([b for _, b, _ in cuts], pa.int64()),
-                        pa.array([by for _, _, by in cuts], pa.string()),
-                        pa.array([text[a:b] for a, b, _ in cuts], pa.string()),
-                    ],
-                    names,
-                )
-
-    return _oversized(df, id_col, sequence, max_len).mapInArrow(run, _PIECES)
+    chunks = _chunks(df, id_col, sequence, max_len, overlap, min_len, min_gap, window)
+    return chunks.drop("gaps")

@@ -207,6 +207,19 @@ class TestChunking:
                 assert (r.cut_by == "gap") == bool(reach)
                 assert r.cut_by != "gap" or r.piece_end in reach
 
+    def test_gaps_come_with_the_pieces(self, spark, monkeypatch):
+        rng, whole = np.random.default_rng(8), chunking._chunks
+        gaps = [(40, 10), (4000, 30), (4700, 12), (12345, 10), (20000, 600), (31980, 20)]
+        df = spark.createDataFrame([(0, self.record(rng, 32000, gaps)), (1, self.record(rng, 9000))], SEQ)
+        expected = {(0, a, a + n) for a, n in gaps} | {(1, -1, -1)}
+        got = [tuple(r) for r in chunking.natural_boundaries(df).collect()]
+        assert len(got) == len(expected) and set(got) == expected
+        monkeypatch.setattr(chunking, "_chunks", lambda *a: whole(*a).filter("piece_no = 0"))
+        end = chunking.split_oversized(df.filter("idx = 0")).first().piece_end
+        assert {r.gap_start for r in chunking.natural_boundaries(df.filter("idx = 0")).collect()} == {
+            a for a, _ in gaps if a < end - 200
+        }
+
     def test_an_edit_changes_only_neighbours(self):
         rng = np.random.default_rng(4)
         text = self.record(rng, 60000)
