@@ -184,7 +184,8 @@ def similar_pairs(
     """(idx_a, idx_b, common, total), idx_a < idx_b: the pairs of distinct texts whose sets of k-letter substrings have
     an intersection (common) of at least ``threshold`` (numerator, denominator) of their union (total).
 
-    Anchor-point covering. Fingerprints are words of anchors * rows min-hash coordinates over a large alphabet; the
+    MinHash banding in place of anchor-point covering, whose guarantee it does not give: a text goes to the keys of its
+    own bands only, not to every anchor within covering radius plus threshold. Fingerprints are words of anchors * rows min-hash coordinates over a large alphabet; the
     code words are those with one block of ``rows`` coordinates filled in and blanks elsewhere, so each fingerprint
     lies within the covering radius, (anchors - 1) * rows, of exactly ``anchors`` code words and is replicated to all of
     them. Two fingerprints that differ in fewer than ``anchors`` coordinates share an anchor for certain, others with a
