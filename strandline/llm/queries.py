@@ -117,11 +117,11 @@ _U = "CAST(CAST('0x' || substr(md5('{seed}:' || idx), 1, 12) AS BIGINT) AS DOUBL
     f"UNION ALL (SELECT 'fasta_reads' AS tbl, idx, header AS item FROM fasta_reads ORDER BY {_U.format(seed=SAMPLE_SEED)} LIMIT {SAMPLE_HEADERS})"
 )
 def p4_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A uniform sample of 500 reads and of 100 headers."""
+    """A uniform sample of 500 reads and of 100 headers, taken from the batches as they arrived."""
     out = None
     for name, column, k in (("fastq_reads", "sequence", SAMPLE_READS), ("fasta_reads", "header", SAMPLE_HEADERS)):
-        rows = _table(spark, sf_dir, name).select(F.lit(name).alias("tbl"), "idx", F.col(column).alias("item"))
-        one = sample.fixed_size_sample(rows, k, ["idx"], SAMPLE_SEED)
+        rows = _table(spark, sf_dir, name).select(F.lit(name).alias("tbl"), "idx", F.col(column).alias("item"), "batch_no")
+        one = sample.sample_pieces(sample.arrived(rows, "batch_no"), k, ["idx"], SAMPLE_SEED).drop("batch_no")
         out = one if out is None else out.unionByName(one)
     return out
 

@@ -77,10 +77,26 @@ def fixed_size_sample(df: DataFrame, k: int, id_cols: list[str], seed: int = 0,
     as k allows; give columns that tell rows apart. An empty table gives no rows. All columns are kept; a column named
     ``__key`` is not allowed.
     """
+    return sample_pieces([df], k, id_cols, seed, delta)
+
+
+def arrived(df: DataFrame, batch: str, most: int = 4) -> list[DataFrame]:
+    """``df`` as at most ``most`` pieces of consecutive batches, in order; rows without a batch come with the first."""
+    low, high = df.agg(F.min(batch), F.max(batch)).first()
+    if low is None:
+        return [df]
+    step, at = -(-(high - low + 1) // most), F.coalesce(F.col(batch), F.lit(low))
+    return [df.filter((at >= a) & (at < a + step)) for a in range(low, high + 1, step)]
+
+
+def sample_pieces(pieces: list[DataFrame], k: int, id_cols: list[str], seed: int = 0, delta: float = 1e-4) -> DataFrame:
+    """``fixed_size_sample`` of pieces that arrive one after the other: each is taken in without a look at later ones,
+    and where a bound turns out to have failed, all are read again with wider ones."""
     key = sample_key(seed, *[F.col(c) for c in id_cols])
     while True:
         one = PieceSampler(k, key, delta)
-        one.add(df)
+        for piece in pieces:
+            one.add(piece)
         if (out := one.result()) is not None:
             return out
         delta = delta * delta if delta > 1e-60 else 1e-300

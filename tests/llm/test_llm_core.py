@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from strandline.llm import chunking, formatting, frequent, sample, seen
+from strandline.llm import chunking, formatting, frequent, queries, sample, seen
 
 SEQ = "idx long, sequence string"
 
@@ -165,6 +165,22 @@ class TestSample:
         whole = sample.fixed_size_sample(df, 40, ["idx"], 3)
         assert {r.idx for r in pieces.result().collect()} == {r.idx for r in whole.collect()}
 
+    def test_registered_sample_takes_batches_as_they_arrive(self, spark, tmp_path, monkeypatch):
+        batch = F.when(F.col("id") % 50 == 0, None).otherwise(3 + F.col("id") % 11).cast("int").alias("batch_no")
+        df = spark.range(2000).select(F.col("id").alias("idx"), F.lit("AC").alias("sequence"), F.lit(">x").alias("header"), batch)
+        for name in ("fasta_reads", "fastq_reads"):
+            df.write.parquet(f"{tmp_path}/{name}.parquet")
+        sizes, add = [], sample.PieceSampler.add
+        monkeypatch.setattr(sample.PieceSampler, "add", lambda self, piece: (sizes.append(piece.count()), add(self, piece))[1])
+        got = queries.p4_sample(spark, str(tmp_path)).collect()
+        assert len(sizes) >= 8 and sum(sizes) % 2000 == 0 and max(sizes) < 2000
+        key = sample.sample_key(queries.SAMPLE_SEED, F.col("idx"))
+        for name, k in (("fastq_reads", queries.SAMPLE_READS), ("fasta_reads", queries.SAMPLE_HEADERS)):
+            want = sorted(r.idx for r in df.orderBy(key).limit(k).collect())
+            assert sorted(r.idx for r in got if r.tbl == name) == want
+        again = sample.sample_pieces(sample.arrived(df, "batch_no"), 100, ["idx"], queries.SAMPLE_SEED, 0.9)
+        assert sorted(r.idx for r in again.collect()) == want
+
     def test_every_row_is_equally_likely(self, spark):
         df = spark.range(60).withColumnRenamed("id", "idx")
         times = Counter(r.idx for seed in range(60) for r in sample.fixed_size_sample(df, 15, ["idx"], seed).collect())
