@@ -21,7 +21,10 @@ def sample_key(seed: int, *columns: Column) -> Column:
 
 def bounds(k: int, n: int, delta: float) -> tuple[float, float]:
     """(accept, reject): of n uniform keys, fewer than k are under accept and at least k under reject, each but for a
-    probability of delta (Meng, Scalable Simple Random Sampling and Stratified Sampling, ICML 2013)."""
+    probability of delta (Meng, Scalable Simple Random Sampling and Stratified Sampling, ICML 2013). A delta of 0 gives
+    no bounds: nothing is accepted or rejected unsorted."""
+    if delta == 0:
+        return 0.0, 1.0
     if k >= n:
         return 1.0, 1.0
     p, g = k / n, -log(delta) / n
@@ -99,4 +102,4 @@ def sample_pieces(pieces: list[DataFrame], k: int, id_cols: list[str], seed: int
             one.add(piece)
         if (out := one.result()) is not None:
             return out
-        delta = delta * delta if delta > 1e-60 else 1e-300
+        delta = delta * delta if delta > 1e-60 else 1e-300 if delta > 1e-300 else 0

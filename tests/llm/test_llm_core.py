@@ -1,6 +1,7 @@
 """Problems 1 to 5 against brute force, with nulls, empty and repeated rows, ties, empty tables and clashing names."""
 
 import random
+import hashlib
 import re
 from collections import Counter
 
@@ -181,6 +182,18 @@ class TestSample:
         again = sample.sample_pieces(sample.arrived(df, "batch_no"), 100, ["idx"], queries.SAMPLE_SEED, 0.9)
         assert sorted(r.idx for r in again.collect()) == want
 
+    def test_a_hot_id_ends_without_bounds(self, spark, monkeypatch):
+        seed, number = 0, lambda i, s: int(hashlib.md5(f"{s}:{i}".encode()).hexdigest()[:12], 16) / 2**48
+        while not 0.7 < number(-1, seed) < 0.9:
+            seed += 1
+        deltas, bounds = [], sample.bounds
+        monkeypatch.setattr(sample, "bounds", lambda k, n, delta: (deltas.append(delta), bounds(k, n, delta))[1])
+        monkeypatch.setattr(sample, "stage", lambda df, label: df if len(deltas) < 40 else pytest.fail("it never ends"))
+        df = spark.range(5000).select(F.when(F.col("id") < 4000, -1).otherwise(F.col("id")).alias("idx"))
+        got = Counter(r.idx for r in sample.fixed_size_sample(df, 1000, ["idx"], seed).collect())
+        assert sum(got.values()) == 1000 and deltas[-1] == 0
+        assert set(got) - {-1} == {i for i in range(4000, 5000) if number(i, seed) < number(-1, seed)}
+
     def test_every_row_is_equally_likely(self, spark):
         df = spark.range(60).withColumnRenamed("id", "idx")
         times = Counter(r.idx for seed in range(60) for r in sample.fixed_size_sample(df, 15, ["idx"], seed).collect())
