@@ -28,6 +28,9 @@ class SeenStore:
     The store keeps one row for each distinct key on disk and no key in memory.
     """
 
+    #: (scope, at) of the records that are new, found without the store; what `error_report` compares it with.
+    exact: DataFrame | None = None
+
     def __init__(self, spark: SparkSession, buckets: int | None = None, fanout: int = 3, hash_bits: int = 64):
         self.spark, self.fanout, self.hash_bits = spark, fanout, hash_bits
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -137,6 +140,10 @@ def seen_before(
     if known is not None:
         early = union([keys_of(known, i, id_col, sequence) for i in range(len(names))])
         memory.add(early.withColumn("at", F.lit(None).cast("long")))
+    memory.exact = rows.groupBy("scope", "key").agg(F.min("at").alias("at"))
+    if known is not None:
+        memory.exact = memory.exact.join(early.select("scope", "key").distinct(), ["scope", "key"], "left_anti")
+    memory.exact = memory.exact.select("scope", "at").distinct()
     for piece in pieces(rows.select("at"), batches) or [F.lit(True)]:
         memory.add(rows.filter(piece))
     firsts = memory.firsts().filter("first is not null").select("scope", F.col("first").alias("at"))
@@ -149,14 +156,18 @@ def error_report(memory: SeenStore, names: list[str]) -> DataFrame:
     """(tbl, distinct_keys, hash_only_wrong, hash_only_rate, verified_wrong): how often the hash alone would have called
     a new key seen.
 
-    Every such key shares its hash with another key of its scope in the store. With the full key verified none is wrong.
+    Every such key shares its hash with another key of its scope in the store. verified_wrong counts the records whose
+    answer by the store differs from an exact minimum of ``at`` for each key, which is found without the store.
     """
+    got = memory.firsts().filter("first is not null").select("scope", F.col("first").alias("at")).distinct()
+    both = got.withColumn("got", F.lit(1)).join(memory.exact.withColumn("exact", F.lit(1)), ["scope", "at"], "full")
+    wrong = both.groupBy("scope").agg(F.count(F.when(F.expr("got is null or exact is null"), 1)).alias("verified_wrong"))
     by_hash = memory.firsts().groupBy("scope", "h").agg(F.count(F.lit(1)).alias("n"))
     out = by_hash.groupBy("scope").agg(F.sum("n").alias("distinct_keys"), F.sum(F.col("n") - 1).alias("hash_only_wrong"))
-    return out.select(
+    return out.join(wrong, "scope", "left").select(
         F.element_at(F.array(*[F.lit(x) for x in names]), F.col("scope") + 1).alias("tbl"),
         "distinct_keys",
         "hash_only_wrong",
         (F.col("hash_only_wrong") / F.col("distinct_keys")).alias("hash_only_rate"),
-        F.lit(0).cast("long").alias("verified_wrong"),
+        F.coalesce("verified_wrong", F.lit(0).cast("long")).alias("verified_wrong"),
     )

@@ -82,6 +82,14 @@ class TestSeen:
         assert report.verified_wrong == 0
         assert (report.hash_only_wrong > 0) == (bits == 2)
 
+    def test_a_lost_key_is_reported(self, spark, monkeypatch):
+        df = spark.createDataFrame([(0, "AC"), (1, "GG"), (2, "A C")], SEQ)
+        _, store = seen.seen_before({"t": df}, batches=1)
+        assert seen.error_report(store, ["t"]).first().verified_wrong == 0
+        firsts = store.firsts
+        monkeypatch.setattr(store, "firsts", lambda: firsts().filter("first = 0"))
+        assert seen.error_report(store, ["t"]).first().verified_wrong == 1
+
     def test_tables_do_not_mix(self, spark):
         one = spark.createDataFrame([(0, "AC"), (1, "GG")], SEQ)
         two = spark.createDataFrame([(0, "AC"), (1, "A C")], SEQ)
