@@ -3,16 +3,23 @@
 from __future__ import annotations
 
 import argparse
+import re
 import shutil
 import sys
 
+from py4j.protocol import Py4JError
 from pyarrow import fs
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 
 from strandline import operators as ops
-from strandline.runtime import new_path
+from strandline.runtime import new_path, remove, scope
 from strandline.schema import has_quality
-from strandline.sources import read_fastq, read_reads, write_reads
+from strandline.sources import read_fastq, read_reads, sniff, write_reads
+from strandline.sources.fastq import resolve
+from strandline.sources.sniff import head_of
+
+_TASK_ERROR = re.compile(r"^(?:.*(?:Error|Exception|MalformedRecord|RUNTIME_EXCEPTION\])):? (.+)$", re.MULTILINE)
 
 
 def parser() -> argparse.ArgumentParser:
@@ -27,7 +34,8 @@ def parser() -> argparse.ArgumentParser:
         if not inputs:
             one.add_argument("input", nargs="?", default="-", help="file or folder; standard input if left out or -")
         if output:
-            one.add_argument("-o", "--output", help="folder of part files; standard output if left out")
+            one.add_argument("-o", "--output", help="output file; standard output if left out or -")
+            one.add_argument("--parts", action="store_true", help="make the output a folder of part files")
         return one
 
     tool("dedup")
@@ -61,66 +69,110 @@ def parser() -> argparse.ArgumentParser:
     split = tool("deinterleave", output=False)
     split.add_argument("-1", "--r1", required=True)
     split.add_argument("-2", "--r2", required=True)
+    split.add_argument("--parts", action="store_true", help="make the outputs folders of part files")
     return top
 
 
-def _emit(df: DataFrame, output: str | None, ordered: bool = True) -> None:
+def _emit(df: DataFrame, output: str | None, parts: bool, ordered: bool = True) -> None:
     if output and output != "-":
-        write_reads(df, output, ordered=ordered)
+        write_reads(df, output, ordered=ordered) if parts else _one_file(df, output, ordered)
         return
     for row in (df.orderBy("idx") if ordered else df).toLocalIterator():
         lines = [row.header, row.sequence] + (["+", row.quality] if has_quality(df) else [])
         sys.stdout.write("\n".join(lines) + "\n")
 
 
-def _spooled(spark: SparkSession) -> str:
-    """Standard input as a file in the shared folder, where all executors can read it."""
+def _one_file(df: DataFrame, output: str, ordered: bool) -> None:
+    """Write parts to the shared folder, and append one after the other to the output."""
+    made = new_path(df.sparkSession, "parts")
+    write_reads(df, made, ordered=ordered)
+    source, path = resolve(made)
+    files = sorted(x.path for x in source.get_file_info(fs.FileSelector(path)) if x.base_name.startswith("part-"))
+    target, name = resolve(output)
+    with target.open_output_stream(name) as out:
+        for file in files:
+            with source.open_input_stream(file) as part:
+                shutil.copyfileobj(part, out, 1 << 20)
+    remove(df.sparkSession, made)
+
+
+class _Chained:
+    """A stream whose beginning has been read already."""
+
+    def __init__(self, head: bytes, rest):
+        self.head, self.rest = head, rest
+
+    def read(self, size: int = -1) -> bytes:
+        if self.head:
+            out, self.head = self.head, b""
+            return out
+        return self.rest.read(size)
+
+
+def _spooled(spark: SparkSession, any_format: bool) -> str:
+    """Standard input as a file in the shared folder, where all executors can read it. Its format is told by its first
+    bytes, before the rest is read, where either is allowed."""
+    head = head_of(sys.stdin.buffer)
+    if any_format:
+        sniff(head)
     path = new_path(spark, "stdin")
-    system, name = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+    system, name = resolve(path)
     system.create_dir(name.rpartition("/")[0])
     with system.open_output_stream(name) as out:
-        shutil.copyfileobj(sys.stdin.buffer, out)
+        shutil.copyfileobj(_Chained(head, sys.stdin.buffer), out)
     return path
 
 
+def _message(error: Exception) -> str:
+    """What an error says, without the stack traces of tasks and the JVM."""
+    text = str(error)
+    found = _TASK_ERROR.findall(text)
+    return found[-1].strip() if found and "\n" in text else text.split("\n")[0]
+
+
+def _run(spark: SparkSession, a: argparse.Namespace) -> None:
+    if getattr(a, "input", None) == "-":
+        a.input = _spooled(spark, a.tool in ("dedup", "sample", "sort", "revcomp", "dna2rna"))
+    if a.tool == "stats":
+        df = read_fastq(spark, a.input)
+        print(ops.format_report(ops.stats(df), ops.length_histogram(df) if a.histogram else None))
+        return
+    if a.tool == "deinterleave":
+        for df, path in zip(ops.deinterleave(read_fastq(spark, a.input), dense=True), (a.r1, a.r2)):
+            _emit(df, path, a.parts)
+        return
+    ordered = True
+    if a.tool == "interleave":
+        out = ops.interleave(read_fastq(spark, a.r1), read_fastq(spark, a.r2))
+    elif a.tool == "filter":
+        out = ops.filter_reads(read_fastq(spark, a.input), a.min_quality, a.min_length, a.max_length, a.max_n_fraction)
+    elif a.tool == "trim":
+        df = read_fastq(spark, a.input)
+        out = ops.trim_reads(df, a.quality_cutoff, a.trim_front, a.trim_tail, a.max_length, a.min_length)
+    elif a.tool == "to-fasta":
+        out = ops.to_fasta(read_fastq(spark, a.input), a.min_quality)
+    elif a.tool == "sort":
+        out, ordered = ops.sort_reads(read_reads(spark, a.input), a.by, a.reverse), False
+    elif a.tool == "sample" and a.count is not None:
+        out, ordered = ops.sample_count(read_reads(spark, a.input), a.count, a.seed, dense=True).drop("slot"), False
+    elif a.tool == "sample":
+        out = ops.sample_fraction(read_reads(spark, a.input), a.fraction, a.seed, dense=True)
+    else:
+        out = {"dedup": ops.dedup, "revcomp": ops.revcomp, "dna2rna": ops.dna2rna}[a.tool](read_reads(spark, a.input))
+    _emit(out, a.output, a.parts, ordered)
+
+
 def run(spark: SparkSession, argv: list[str]) -> int:
-    """Run one tool; errors of its input go to standard error, and a reader that stops early is no error."""
+    """Run one tool; errors of its input or its tasks go to standard error, and a reader that stops early is no error."""
     a = parser().parse_args(argv)
     try:
-        if getattr(a, "input", None) == "-":
-            a.input = _spooled(spark)
-        if a.tool == "interleave":
-            _emit(ops.interleave(read_fastq(spark, a.r1), read_fastq(spark, a.r2)), a.output)
-        elif a.tool == "deinterleave":
-            for df, path in zip(ops.deinterleave(read_fastq(spark, a.input)), (a.r1, a.r2)):
-                write_reads(df, path)
-        elif a.tool == "stats":
-            df = read_fastq(spark, a.input)
-            print(ops.format_report(ops.stats(df), ops.length_histogram(df) if a.histogram else None))
-        elif a.tool == "filter":
-            df = read_fastq(spark, a.input)
-            _emit(ops.filter_reads(df, a.min_quality, a.min_length, a.max_length, a.max_n_fraction), a.output)
-        elif a.tool == "trim":
-            df = read_fastq(spark, a.input)
-            out = ops.trim_reads(df, a.quality_cutoff, a.trim_front, a.trim_tail, a.max_length, a.min_length)
-            _emit(out, a.output)
-        elif a.tool == "to-fasta":
-            _emit(ops.to_fasta(read_fastq(spark, a.input), a.min_quality), a.output)
-        elif a.tool == "sort":
-            _emit(ops.sort_reads(read_reads(spark, a.input), a.by, a.reverse), a.output, ordered=False)
-        elif a.tool == "sample":
-            df = read_reads(spark, a.input)
-            if a.count is not None:
-                _emit(ops.sample_count(df, a.count, a.seed).drop("slot"), a.output, ordered=False)
-            else:
-                _emit(ops.sample_fraction(df, a.fraction, a.seed), a.output)
-        else:
-            _emit({"dedup": ops.dedup, "revcomp": ops.revcomp, "dna2rna": ops.dna2rna}[a.tool](read_reads(spark, a.input)), a.output)
+        with scope():
+            _run(spark, a)
         sys.stdout.flush()
     except BrokenPipeError:
         return 0
-    except ValueError as error:
-        print(f"Error: {error}", file=sys.stderr)
+    except (ValueError, OSError, PySparkException, Py4JError) as error:
+        print(f"Error: {_message(error)}", file=sys.stderr)
         return 1
     return 0
 

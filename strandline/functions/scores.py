@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf
 
 OFFSET = 33
 HIGHEST = 126
@@ -23,14 +23,25 @@ def phred_to_ascii(score: Column) -> Column:
     return F.char(F.least(score + OFFSET, F.lit(HIGHEST)))
 
 
-@pandas_udf(T.LongType())
-def _phred_sum(quality: pd.Series) -> pd.Series:
-    texts = [x.encode() if x else b"" for x in quality]
-    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-    scores = np.maximum(np.frombuffer(b"".join(texts), np.uint8).astype(np.int64) - OFFSET, 0)
-    total = np.concatenate(([0], np.cumsum(scores)))
-    end = np.cumsum(sizes)
-    return pd.Series(total[end] - total[end - sizes]).where(quality.notna().to_numpy())
+_SCORE = np.maximum(np.arange(256) - OFFSET, 0)
+
+
+def _sums(column: pa.Array) -> pa.Array:
+    """The sum of the scores of each string, from the column's bytes as they lie in memory; null stays null."""
+    if not len(column):
+        return pa.array([], pa.int64())
+    _, offsets, data = column.buffers()
+    kind = np.int64 if pa.types.is_large_string(column.type) else np.int32
+    at = np.frombuffer(offsets, kind)[column.offset : column.offset + len(column) + 1]
+    text = np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data is not None and data.size else np.zeros(0, np.uint8)
+    total = np.concatenate(([0], np.cumsum(_SCORE[text])))
+    mask = column.is_null().to_numpy(zero_copy_only=False) if column.null_count else None
+    return pa.array(total[at[1:] - at[0]] - total[at[:-1] - at[0]], pa.int64(), mask=mask)
+
+
+@arrow_udf(T.LongType())
+def _phred_sum(quality: pa.Array) -> pa.Array:
+    return _sums(quality)
 
 
 def phred_sum(quality: Column) -> Column:

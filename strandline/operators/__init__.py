@@ -3,7 +3,7 @@
 from strandline.operators.convert import dna2rna, revcomp, to_fasta
 from strandline.operators.dedup import dedup
 from strandline.operators.filters import filter_reads
-from strandline.operators.order import rank_reads, sort_reads
+from strandline.operators.order import rank_reads, ranks, sort_reads
 from strandline.operators.pairs import deinterleave, interleave
 from strandline.operators.sampling import sample_count, sample_fraction
 from strandline.operators.stats import format_report, length_histogram, stats
@@ -18,6 +18,7 @@ __all__ = [
     "interleave",
     "length_histogram",
     "rank_reads",
+    "ranks",
     "revcomp",
     "sample_count",
     "sample_fraction",

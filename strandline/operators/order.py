@@ -31,6 +31,18 @@ def sort_reads(df: DataFrame, by: str = "name", reverse: bool = False) -> DataFr
     return df.orderBy(*sort_keys(by, reverse))
 
 
+def ranks(df: DataFrame, by: str = "name", reverse: bool = False) -> DataFrame:
+    """(idx, rank): each read's place in the sorted order, counted from 0. Only the key and idx are sorted, and only idx
+    is written."""
+    require(df, "idx", "header", "sequence")
+    keys = sort_keys(by, reverse)
+    narrow = df.select("idx", "header" if by == "name" else "sequence")
+    if by == "length":
+        size = read_length(F.col("sequence"))
+        narrow, keys = df.select("idx", size.alias("size")), [F.desc("size") if reverse else F.asc("size"), F.asc("idx")]
+    return numbered(narrow.orderBy(*keys).select("idx"), "rank", "ranks")
+
+
 def rank_reads(df: DataFrame, by: str = "name", reverse: bool = False) -> DataFrame:
-    """Reads with their place in the sorted order as ``rank``, counted from 0."""
-    return numbered(sort_reads(df, by, reverse), "rank")
+    """Reads with their place in the sorted order as ``rank``, counted from 0; they join their rank by idx."""
+    return df.join(ranks(df, by, reverse), "idx").select(*df.columns, "rank")

@@ -1,7 +1,7 @@
 """Seeded sampling whose result is the same as that of one sequential pass, computed in parallel.
 
 The generator is linear, s -> s * A + 1 modulo 2**64, so the state after n draws follows from the seed and n alone, and
-each row computes its own draw from its ordinal. Rows must be numbered 0, 1, 2, ... in ``idx``.
+each row computes its own draw from its position: ``idx``, counted anew where it has gaps.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
+from strandline.runtime import positions
 from strandline.schema import in_unit, require
 
 # Fixed values of the generator.
@@ -64,26 +65,31 @@ def accepted(idx: Column, fraction: float, seed: int) -> Column:
     return accept(idx)
 
 
-def sample_count(df: DataFrame, k: int, seed: int = 0) -> DataFrame:
+def sample_count(df: DataFrame, k: int, seed: int = 0, dense: bool | None = None) -> DataFrame:
     """A reservoir sample of k rows, with ``slot``, its place in the sample: the last row put in a slot is the one in it.
 
     Only the rows that ever enter the reservoir, about k * (1 + ln(n / k)) of n, leave their task, and only as
     (slot, idx); the k survivors then pick their rows by idx. All rows, in order, if there are no more than k.
+
+    Positions count: an idx with gaps is counted anew (see ``positions``), and is the new one in the result. ``dense``
+    tells that there are none, or that there are, and saves a look.
     """
     require(df, "idx")
     if k < 0:
         raise ValueError("k must not be negative")
     if k == 0:
         return df.limit(0).withColumn("slot", F.lit(None).cast("long"))
+    df = positions(df, dense)
     entered = df.select("idx", reservoir_slot(F.col("idx"), k, seed).alias("slot")).filter("slot is not null")
     last = entered.groupBy("slot").agg(F.max("idx").alias("idx"))
     return df.join(last, "idx").orderBy("slot")
 
 
-def sample_fraction(df: DataFrame, fraction: float, seed: int = 0) -> DataFrame:
-    """Each row with probability ``fraction``, in one pass without a shuffle."""
+def sample_fraction(df: DataFrame, fraction: float, seed: int = 0, dense: bool | None = None) -> DataFrame:
+    """Each row with probability ``fraction``, in one pass without a shuffle if idx has no gaps; else by its position,
+    which takes a sort. ``dense`` as in ``sample_count``."""
     require(df, "idx")
     in_unit("fraction", fraction)
     if fraction <= 0:
         return df.limit(0)
-    return df if fraction >= 1 else df.filter(accepted(F.col("idx"), fraction, seed))
+    return df if fraction >= 1 else positions(df, dense).filter(accepted(F.col("idx"), fraction, seed))

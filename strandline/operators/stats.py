@@ -44,7 +44,8 @@ def _partials(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def stats(df: DataFrame) -> DataFrame:
     """One row: total_reads, total_bases, min_length, max_length, mean_length, mean_quality, gc_percentage,
-    n_percentage. Everything is 0 for an empty input; the mean quality is over bases, not over reads.
+    n_percentage. Everything is 0 for an empty input; the mean quality is over bases, not over reads. A null sequence
+    or quality counts as an empty one.
 
     One Arrow pass turns each batch into one row of sums by counting bytes, and only those rows are aggregated.
     """
@@ -58,6 +59,11 @@ def stats(df: DataFrame) -> DataFrame:
         F.coalesce(F.max("longest"), F.lit(0)).alias("max_length"),
         *[F.coalesce(F.sum(c), F.lit(0)).alias(f"_{c}") for c in ("score", "gc", "n")],
     )
+    return summary(sums)
+
+
+def summary(sums: DataFrame) -> DataFrame:
+    """The statistics from sums: total_reads, total_bases, min_length, max_length, _score, _gc and _n."""
     over = lambda a, b, by=1.0: F.when(F.col(b) > 0, F.col(a) * F.lit(by) / F.when(F.col(b) > 0, F.col(b))).otherwise(0.0)
     return sums.select(
         "total_reads",
@@ -75,10 +81,10 @@ def length_histogram(df: DataFrame, bin_size: int | None = None) -> DataFrame:
     """(bin, range_start, range_end, reads) of the lengths in ten bins; empty bins are left out, the last is open.
 
     Without ``bin_size`` a bin is a tenth of the first read's length, at least 1. A stream, which has no first read,
-    needs it given.
+    needs it given. A null sequence has length 0.
     """
     require(df, "idx", "sequence")
-    sizes = df.select("idx", read_length(F.col("sequence")).alias("size"))
+    sizes = df.select("idx", F.coalesce(read_length(F.col("sequence")), F.lit(0)).alias("size"))
     if bin_size is None:
         first = sizes.agg(F.min_by("size", "idx").alias("size")).first()
         bin_size = max((first["size"] or 0) // BINS, 1)
@@ -91,22 +97,32 @@ def length_histogram(df: DataFrame, bin_size: int | None = None) -> DataFrame:
     )
 
 
-def format_report(summary: DataFrame, histogram: DataFrame | None = None, width: int = 40) -> str:
-    """The statistics as text for a terminal; both inputs have ten rows at most."""
-    s = summary.first()
-    lines = [
-        f"Total reads:    {s.total_reads}",
-        f"Total bases:    {s.total_bases}",
-        f"Min length:     {s.min_length}",
-        f"Max length:     {s.max_length}",
-        f"Mean length:    {s.mean_length:.2f}",
-        f"Mean quality:   {s.mean_quality:.2f}",
-        f"GC content:     {s.gc_percentage:.2f}%",
-        f"N content:      {s.n_percentage:.2f}%",
+# The report's headings and labels.
+REPORT = (
+    ("FASTQ Statistics", "=", (("Total reads:", "total_reads", "{}"), ("Total bases:", "total_bases", "{}"))),
+    (
+        "Length Statistics",
+        "-",
+        (("Min length:", "min_length", "{}"), ("Max length:", "max_length", "{}"), ("Mean length:", "mean_length", "{:.2f}")),
+    ),
+    ("Quality Statistics", "-", (("Mean quality:", "mean_quality", "{:.2f}"),)),
+    ("Base Composition", "-", (("GC content:", "gc_percentage", "{:.2f}%"), ("N-bases:", "n_percentage", "{:.2f}%"))),
+)
+DISTRIBUTION = "Length Distribution"
+BAR, BAR_WIDTH, LABEL_WIDTH = "\u2588", 40, 18
+
+
+def format_report(summary: DataFrame, histogram: DataFrame | None = None) -> str:
+    """The statistics as text for a terminal, in sections; both inputs have ten rows at most. Bins without reads, and
+    the histogram of no reads, are left out."""
+    row = summary.first()
+    sections = [
+        [title, rule * len(title), *(label.ljust(LABEL_WIDTH) + form.format(row[name]) for label, name, form in lines)]
+        for title, rule, lines in REPORT
     ]
-    if histogram is not None:
-        rows = histogram.orderBy("bin").collect()
-        most = max((r.reads for r in rows), default=1)
-        lines += ["", "Length distribution:"]
-        lines += [f"  {r.range_start:>6}-{r.range_end:<6} {r.reads:>8} {'#' * (width * r.reads // most)}" for r in rows]
-    return "\n".join(lines)
+    bins = histogram.orderBy("bin").collect() if histogram is not None else []
+    if bins:
+        most = max(r.reads for r in bins)
+        bars = [f"{r.range_start:4}-{r.range_end:<4}  {r.reads:8}  {BAR * (BAR_WIDTH * r.reads // most)}" for r in bins]
+        sections.append([DISTRIBUTION, "-" * len(DISTRIBUTION), *bars])
+    return "\n\n".join("\n".join(x) for x in sections)

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline import operators as ops
 from strandline.functions import gc_count, mean_quality, n_count, n_fraction, phred_to_ascii, read_length, score_of
-from strandline.plans.reads import ALL_FASTQ_SQL, FASTA_SQL, FASTQ_SQL, all_fastq, fasta, fastq
+from strandline.plans.reads import ALL_FASTQ_SQL, BASES_SQL, FASTA_SQL, FASTQ_SQL, all_fastq, fasta, fastq, fastq_bases
 from strandline.runtime import new_path
 from strandline.sources import detect_format_column, read_fasta, read_fastq, write_reads
 
@@ -28,7 +28,7 @@ def _query(sql: str | None = None):
 
 
 _SUM = "coalesce(list_sum(list_transform(string_split(quality, ''), lambda c: greatest(ascii(c) - 33, 0))), 0)"
-_MEAN = f"CASE WHEN quality = '' THEN CAST(0 AS FLOAT) ELSE CAST(CAST({_SUM} AS DOUBLE) / length(quality) AS FLOAT) END"
+_MEAN = f"CASE WHEN quality IS NULL THEN NULL WHEN quality = '' THEN CAST(0 AS FLOAT) ELSE CAST(CAST({_SUM} AS DOUBLE) / length(quality) AS FLOAT) END"
 _N = "(length(sequence) - length(replace(upper(sequence), 'N', '')))"
 _NFRAC = f"CASE WHEN length(sequence) > 0 THEN CAST(CAST({_N} AS DOUBLE) / length(sequence) AS FLOAT) END"
 _ALL = "idx, header, sequence, quality"
@@ -46,10 +46,10 @@ def fasta_dedup(spark, sf_dir):
     return ops.dedup(fasta(spark, sf_dir))
 
 
-@_query(_first(FASTQ_SQL, _ALL))
+@_query(_first(BASES_SQL, _ALL))
 def fastq_dedup(spark, sf_dir):
     """The first record of each sequence of the FASTQ records."""
-    return ops.dedup(fastq(spark, sf_dir))
+    return ops.dedup(fastq_bases(spark, sf_dir))
 
 
 def _states(seed: int) -> str:
@@ -84,7 +84,7 @@ def sample_fraction(spark, sf_dir):
 
 def _sorted(name: str, by: str, reverse: bool, source, sql: str, order: str) -> None:
     def query(spark, sf_dir):
-        return ops.rank_reads(source(spark, sf_dir), by, reverse).select("idx", "rank")
+        return ops.ranks(source(spark, sf_dir), by, reverse)
 
     query.__name__ = name
     query.__doc__ = f"The place of each record by {by}{', reversed' if reverse else ''}."
@@ -95,8 +95,8 @@ _sorted("sort_name", "name", False, fasta, FASTA_SQL, "header NULLS FIRST, idx")
 _sorted("sort_name_reverse", "name", True, fasta, FASTA_SQL, "header DESC NULLS LAST, idx DESC")
 _sorted("sort_sequence", "sequence", False, fasta, FASTA_SQL, "sequence NULLS FIRST, idx")
 _sorted("sort_sequence_reverse", "sequence", True, fasta, FASTA_SQL, "sequence DESC NULLS LAST, idx DESC")
-_sorted("sort_length", "length", False, fastq, FASTQ_SQL, "strlen(sequence) NULLS FIRST, idx")
-_sorted("sort_length_reverse", "length", True, fastq, FASTQ_SQL, "strlen(sequence) DESC NULLS LAST, idx")
+_sorted("sort_length", "length", False, fastq_bases, BASES_SQL, "strlen(sequence) NULLS FIRST, idx")
+_sorted("sort_length_reverse", "length", True, fastq_bases, BASES_SQL, "strlen(sequence) DESC NULLS LAST, idx")
 
 _REVCOMP = "reverse(translate(sequence, 'ACGTacgtRYKMBVDH', 'TGCAtgcaYRMKVBHD'))"
 
@@ -107,10 +107,10 @@ def revcomp(spark, sf_dir):
     return ops.revcomp(fasta(spark, sf_dir))
 
 
-@_query(f"SELECT idx, header, {_REVCOMP} AS sequence, reverse(quality) AS quality FROM {FASTQ_SQL}")
+@_query(f"SELECT idx, header, {_REVCOMP} AS sequence, reverse(quality) AS quality FROM {BASES_SQL}")
 def revcomp_fastq(spark, sf_dir):
     """The opposite strand of each FASTQ record, with its quality."""
-    return ops.revcomp(fastq(spark, sf_dir))
+    return ops.revcomp(fastq_bases(spark, sf_dir))
 
 
 @_query(f"SELECT idx, header, translate(sequence, 'Tt', 'Uu') AS sequence FROM {FASTA_SQL}")
@@ -121,11 +121,11 @@ def dna2rna(spark, sf_dir):
 
 def _filtered(name: str, where: str, **limits) -> None:
     def query(spark, sf_dir):
-        return ops.filter_reads(fastq(spark, sf_dir), **limits)
+        return ops.filter_reads(fastq_bases(spark, sf_dir), **limits)
 
     query.__name__ = name
     query.__doc__ = f"Reads within {limits}."
-    _query(f"SELECT {_ALL} FROM {FASTQ_SQL} WHERE {where}")(query)
+    _query(f"SELECT {_ALL} FROM {BASES_SQL} WHERE {where}")(query)
 
 
 _filtered("filter_quality", f"{_MEAN} >= CAST(33.5 AS FLOAT)", min_quality=33.5)
@@ -172,7 +172,7 @@ _trimmed("trim_then_min_length", cutoff=32, front=3, tail=4, longest=120, shorte
 
 def _stats_sql(source: str) -> str:
     return (
-        f"WITH r AS (SELECT strlen(sequence) AS l, {_SUM} AS q, {_N} AS n, length(sequence) - "
+        f"WITH r AS (SELECT coalesce(strlen(sequence), 0) AS l, {_SUM} AS q, {_N} AS n, length(sequence) - "
         f"length(regexp_replace(sequence, '[GCgc]', '', 'g')) AS g FROM {source}), "
         "t AS (SELECT count(*) AS total_reads, CAST(coalesce(sum(l), 0) AS BIGINT) AS total_bases, coalesce(min(l), 0) AS min_length, "
         "coalesce(max(l), 0) AS max_length, CAST(sum(q) AS BIGINT) AS q, CAST(sum(g) AS BIGINT) AS g, CAST(sum(n) AS BIGINT) AS n FROM r) "
@@ -182,34 +182,34 @@ def _stats_sql(source: str) -> str:
     )
 
 
-@_query(_stats_sql(FASTQ_SQL))
+@_query(_stats_sql(BASES_SQL))
 def stats(spark, sf_dir):
     """Summary statistics of the FASTQ records."""
-    return ops.stats(fastq(spark, sf_dir))
+    return ops.stats(fastq_bases(spark, sf_dir))
 
 
 @_query(
-    f"WITH r AS (SELECT idx, strlen(sequence) AS l FROM {FASTQ_SQL}), b AS (SELECT greatest(arg_min(l, idx) // 10, 1) AS w FROM r) "
+    f"WITH r AS (SELECT idx, coalesce(strlen(sequence), 0) AS l FROM {BASES_SQL}), b AS (SELECT greatest(arg_min(l, idx) // 10, 1) AS w FROM r) "
     "SELECT CAST(least(l // w, 9) AS INTEGER) AS bin, CAST(least(l // w, 9) * w AS BIGINT) AS range_start, "
     "CAST((least(l // w, 9) + 1) * w AS BIGINT) AS range_end, count(*) AS reads FROM r, b GROUP BY 1, 2, 3"
 )
 def length_histogram(spark, sf_dir):
     """The ten-bin length histogram of the FASTQ records."""
-    return ops.length_histogram(fastq(spark, sf_dir))
+    return ops.length_histogram(fastq_bases(spark, sf_dir))
 
 
-@_query(f"SELECT idx, concat('>', substring(header, 2)) AS header, sequence FROM {FASTQ_SQL}")
+@_query(f"SELECT idx, concat('>', substring(header, 2)) AS header, sequence FROM {BASES_SQL}")
 def to_fasta(spark, sf_dir):
     """FASTQ records as FASTA."""
-    return ops.to_fasta(fastq(spark, sf_dir))
+    return ops.to_fasta(fastq_bases(spark, sf_dir))
 
 
 @_query(
-    f"SELECT idx, concat('>', substring(header, 2)) AS header, sequence FROM {FASTQ_SQL} WHERE {_MEAN} >= CAST(34 AS FLOAT)"
+    f"SELECT idx, concat('>', substring(header, 2)) AS header, sequence FROM {BASES_SQL} WHERE {_MEAN} >= CAST(34 AS FLOAT)"
 )
 def to_fasta_min_quality(spark, sf_dir):
     """FASTQ records of a mean quality of 34 or more as FASTA."""
-    return ops.to_fasta(fastq(spark, sf_dir), 34)
+    return ops.to_fasta(fastq_bases(spark, sf_dir), 34)
 
 
 @_query(f"SELECT {_ALL} FROM {ALL_FASTQ_SQL}")
@@ -241,20 +241,20 @@ def detect_format(spark, sf_dir):
     return parts[0].unionByName(parts[1])
 
 
-@_query(f"SELECT idx, CAST({_MEAN} AS DOUBLE) AS mean_quality FROM {FASTQ_SQL}")
+@_query(f"SELECT idx, CAST({_MEAN} AS DOUBLE) AS mean_quality FROM {BASES_SQL}")
 def mean_quality_per_read(spark, sf_dir):
     """The mean quality of each read."""
-    return fastq(spark, sf_dir).select("idx", mean_quality(F.col("quality")).cast("double").alias("mean_quality"))
+    return fastq_bases(spark, sf_dir).select("idx", mean_quality(F.col("quality")).cast("double").alias("mean_quality"))
 
 
 @_query(
     f"SELECT idx, strlen(sequence) AS n_bases, CAST(length(sequence) - length(regexp_replace(sequence, '[GCgc]', '', 'g')) AS BIGINT) AS n_gc, "
-    f"CAST({_N} AS BIGINT) AS n_n, CAST({_NFRAC} AS DOUBLE) AS n_fraction FROM {FASTQ_SQL}"
+    f"CAST({_N} AS BIGINT) AS n_n, CAST({_NFRAC} AS DOUBLE) AS n_fraction FROM {BASES_SQL}"
 )
 def gc_n_content(spark, sf_dir):
     """Bases, G and C, N and the share of N of each read."""
     s = F.col("sequence")
-    return fastq(spark, sf_dir).select(
+    return fastq_bases(spark, sf_dir).select(
         "idx",
         read_length(s).alias("n_bases"),
         gc_count(s).alias("n_gc"),
@@ -279,16 +279,16 @@ def phred(spark, sf_dir):
 )
 def dedup_sort_reverse(spark, sf_dir):
     """Pipeline: deduplicate, then sort by length, longest first."""
-    return fasta(spark, sf_dir).transform(ops.dedup).transform(ops.rank_reads, "length", True).select("idx", "rank")
+    return fasta(spark, sf_dir).transform(ops.dedup).transform(ops.ranks, "length", True)
 
 
-_FILTERED = f"(SELECT * FROM {FASTQ_SQL} WHERE {_MEAN} >= CAST(20 AS FLOAT) AND strlen(sequence) >= 40)"
+_FILTERED = f"(SELECT * FROM {BASES_SQL} WHERE {_MEAN} >= CAST(20 AS FLOAT) AND strlen(sequence) >= 40)"
 
 
 @_query(_stats_sql(_FILTERED))
 def filter_stats(spark, sf_dir):
     """Pipeline: filter by quality and length, then sum up."""
-    return fastq(spark, sf_dir).transform(ops.filter_reads, 20, 40).transform(ops.stats)
+    return fastq_bases(spark, sf_dir).transform(ops.filter_reads, 20, 40).transform(ops.stats)
 
 
 @_query(_stats_sql(f"(SELECT * FROM ({_trim_sql(25, 2, 2, 140, 50)}) WHERE {_MEAN} >= CAST(30 AS FLOAT))"))
@@ -306,12 +306,54 @@ def fastq_round_trip(spark, sf_dir):
     return read_fastq(spark, path)
 
 
+def _wrapped(column: str) -> Column:
+    return F.regexp_replace(column, "(.{20})(?=.)", "$1\n")
+
+
 @_query(
-    f"SELECT row_number() OVER (ORDER BY idx) - 1 AS idx, header, coalesce(sequence, '') AS sequence FROM {FASTA_SQL} WHERE header LIKE '>%'"
+    f"SELECT row_number() OVER (ORDER BY idx) - 1 AS idx, header, sequence, quality FROM (SELECT idx, "
+    f"regexp_replace(header, '[\\r\\n]+$', '') AS header, sequence, quality FROM {FASTQ_SQL})"
 )
+def fastq_wrapped_round_trip(spark, sf_dir):
+    """FASTQ records written with lines of 20 bases and scores, and read again by ranges of 4,000 bytes."""
+    path = new_path(spark, "fastq-wrapped")
+    text = F.concat_ws("\n", "header", _wrapped("sequence"), F.lit("+"), _wrapped("quality"))
+    fastq(spark, sf_dir).orderBy("idx").select(text.alias("value")).write.text(path)
+    return read_fastq(spark, path, split_bytes=4000)
+
+
+_BARE = "CASE WHEN header LIKE '>%' THEN header ELSE concat('>', coalesce(header, '')) END"
+
+
+@_query(f"SELECT row_number() OVER (ORDER BY idx) - 1 AS idx, {_BARE} AS header, coalesce(sequence, '') AS sequence FROM {FASTA_SQL}")
 def fasta_round_trip(spark, sf_dir):
-    """FASTA records with a header written as text files and read again."""
+    """FASTA records written as text files and read again; a record without a marker gets one."""
     path = new_path(spark, "fasta-text")
-    rows = fasta(spark, sf_dir).filter("header like '>%'")
-    write_reads(rows.withColumn("sequence", F.coalesce("sequence", F.lit(""))), path)
+    bare = F.concat(F.lit(">"), F.coalesce("header", F.lit("")))
+    rows = fasta(spark, sf_dir).withColumn("header", F.when(F.col("header").startswith(">"), F.col("header")).otherwise(bare))
+    write_reads(rows, path)
     return read_fasta(spark, path)
+
+
+@_query(
+    "SELECT 2 * (row_number() OVER (PARTITION BY idx % 2 ORDER BY idx) - 1) + idx % 2 AS idx, header, sequence, quality "
+    f"FROM {ALL_FASTQ_SQL} WHERE (idx // 2) % 3 <> 1"
+)
+def filter_interleave(spark, sf_dir):
+    """Pipeline: drop every third pair, then zip the rest; the ordinals of both sides have gaps."""
+    rest = all_fastq(spark, sf_dir).filter(F.expr("(idx div 2) % 3 <> 1"))
+    return ops.interleave(rest.filter("idx % 2 = 0"), rest.filter("idx % 2 = 1"))
+
+
+_DISTINCT = f"(SELECT row_number() OVER (ORDER BY idx) - 1 AS idx, header, sequence, quality FROM ({_first(BASES_SQL, _ALL)}))"
+
+
+@_query(
+    f"{_states(SAMPLE_SEED)}, d AS {_DISTINCT}, t AS (SELECT idx, idx AS slot FROM d WHERE idx < 100 UNION ALL SELECT idx, "
+    "CAST(s % (idx + 1) AS BIGINT) FROM d JOIN g ON n = idx - 99 WHERE idx >= 100), "
+    "w AS (SELECT slot, max(idx) AS idx FROM t WHERE slot < 100 GROUP BY slot) "
+    "SELECT w.slot, d.idx, header, sequence, quality FROM w JOIN d USING (idx)"
+)
+def dedup_sample_count(spark, sf_dir):
+    """Pipeline: deduplicate, then a seeded reservoir sample of 100 reads of what is left."""
+    return fastq_bases(spark, sf_dir).transform(ops.dedup).transform(ops.sample_count, 100, SAMPLE_SEED)

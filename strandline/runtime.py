@@ -8,9 +8,12 @@ a re-read and nothing else.
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -35,7 +38,7 @@ def shared_dir(spark: SparkSession) -> str:
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     made = "file://" + tempfile.mkdtemp(prefix="strandline-")
     spark.conf.set("spark.checkpoint.dir", made)
-    atexit.register(remove, spark, made)
+    _staged[made] = spark
     return made
 
 
@@ -44,21 +47,49 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/strandline-{label}-{uuid.uuid4().hex}"
 
 
+#: Tables staged by this process that were not removed yet.
+_staged: dict[str, SparkSession] = {}
+
+
 def stage(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as a Parquet table in the shared folder and read it back: later steps restart from there."""
+    """Write ``df`` as a Parquet table in the shared folder and read it back: later steps restart from there.
+
+    The table is removed when the enclosing ``scope`` ends, or else with the process.
+    """
     path = new_path(df.sparkSession, label)
+    _staged[path] = df.sparkSession
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a table that nothing reads any more; a folder that is gone already is fine."""
+    _staged.pop(path, None)
     try:
         jvm = spark.sparkContext._jvm
         target = jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
     except Exception:  # noqa: BLE001  the session may have ended
-        pass
+        if path.startswith("file:"):
+            shutil.rmtree(path.removeprefix("file:"), ignore_errors=True)
+
+
+@contextmanager
+def scope() -> Iterator[None]:
+    """Remove on leaving what was staged inside: ``with scope(): df.transform(...).write...``. Results that are still to be
+    read must be written or collected inside."""
+    before = set(_staged)
+    try:
+        yield
+    finally:
+        for path in [x for x in _staged if x not in before]:
+            remove(_staged[path], path)
+
+
+@atexit.register
+def _remove_all() -> None:
+    for path, spark in list(_staged.items()):
+        remove(spark, path)
 
 
 def bound_arrow_batches(spark: SparkSession) -> None:
@@ -89,6 +120,19 @@ def join_groups(records: DataFrame, groups: DataFrame, keys: list[str], size: st
     return records.join(F.broadcast(hot), keys).unionByName(cold.join(groups.filter(F.col(size) <= limit), keys))
 
 
+def positions(df: DataFrame, dense: bool | None = None) -> DataFrame:
+    """``df`` with ``idx`` counted anew from 0 in its order where it has gaps, as after a filter.
+
+    ``dense`` tells what is known of idx; if nothing is, one aggregation over that column alone finds out.
+    """
+    if dense is None:
+        low, high, n = df.agg(F.min("idx"), F.max("idx"), F.count("idx")).first()
+        dense = n == 0 or (low == 0 and high == n - 1)
+    if dense:
+        return df
+    return numbered(df.orderBy("idx"), "__position", "positions").withColumn("idx", F.col("__position")).drop("__position")
+
+
 def numbered(df: DataFrame, column: str, label: str = "numbered") -> DataFrame:
     """``df`` with each row's position, from 0, in the order of its partitions and of the rows within them.
 

@@ -1,18 +1,25 @@
 """FASTQ files through a Python data source with byte ranges as partitions.
 
-The marker of a FASTQ record may also begin a quality line, so no separator splits these files safely. A range that does
-not begin at a file's start looks for the first line that begins with ``@``, whose second next line begins with ``+``
-and whose sequence and quality have one length; in files of four-line records only true headers are like that.
+The marker of a FASTQ record may also begin a quality line, so no separator splits these files safely. What is safe is a
+*proven* header: a line that begins with ``@``, then one that doesn't begin with a marker, then one that begins with
+``+``, then one as long as the second, then the end of the file, a blank line or another ``@``. Whether a line is proven
+follows from five lines alone, so every reader of any byte range agrees on it. The proven headers cut a file into
+segments; a segment belongs to the range in which its header lies, and whoever reads it reads it to its end, be that
+beyond the range. So all ranges together read every line once, whatever their size, and give the same records or the
+same error. A file whose first record isn't proven (its records span more lines) is read whole by its first range.
 """
 
 from __future__ import annotations
 
+import fnmatch
 import gzip
 import io
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
@@ -20,17 +27,23 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStrea
 from strandline.runtime import numbered
 
 MODES = ("FAILFAST", "DROPMALFORMED", "PERMISSIVE")
+PACKED = (".gz", ".gzip")
 _SCHEMA = "header string, sequence string, quality string"
 _ROWS = 8192
 
+#: Bytes that are searched for lines at once.
+BLOCK = 16 << 20
+
+_NEWLINE, _RETURN, _AT, _PLUS = b"\n\r@+"
+
 
 class MalformedRecord(ValueError):
-    """A record that isn't valid FASTQ; ``read`` counts the lines it took."""
+    """A record that isn't valid FASTQ."""
 
 
 @dataclass
 class ByteRange(InputPartition):
-    """Part of a file; wrapped and packed files are read whole."""
+    """Part of a file; ``whole`` ones are wrapped or packed files that can't be cut."""
 
     path: str
     start: int
@@ -77,42 +90,174 @@ def parse_records(lines: Iterator[bytes], mode: str = "FAILFAST") -> Iterator[tu
         yield header, sequence, quality
 
 
-def _is_header(lines: list[bytes]) -> bool:
-    a, b, c, d = (x.rstrip(b"\r\n") for x in lines)
-    return a.startswith(b"@") and c.startswith(b"+") and len(b) == len(d)
+@dataclass
+class _Lines:
+    """The lines of a stretch of bytes: where each begins and ends (line end left out), and its first byte."""
+
+    data: np.ndarray
+    begin: np.ndarray
+    end: np.ndarray
+    next: np.ndarray
+
+    @classmethod
+    def of(cls, data: bytes, last: bool) -> _Lines:
+        """All complete lines; at the end of a file an unfinished line counts, too."""
+        text = np.frombuffer(data, np.uint8)
+        stop = np.flatnonzero(text == _NEWLINE)
+        after = stop + 1
+        if last and len(text) and (not len(stop) or after[-1] < len(text)):
+            stop, after = np.append(stop, len(text)), np.append(after, len(text))
+        begin = np.concatenate(([0], after[:-1])).astype(np.int64) if len(stop) else np.zeros(0, np.int64)
+        back = text[np.maximum(stop - 1, 0)] == _RETURN if len(stop) else np.zeros(0, bool)
+        return cls(text, begin, stop - (back & (stop > begin)), after)
+
+    def proven(self, last: bool) -> np.ndarray:
+        """Numbers of the proven headers among the lines that five lines, or the file's last ones, follow."""
+        n = len(self.begin)
+        size = self.end - self.begin
+        mark = np.where(size > 0, self.data[np.minimum(self.begin, max(len(self.data) - 1, 0))], 0) if n else np.zeros(0, np.uint8)
+        able = n - 3 if last else n - 4
+        if able <= 0:
+            return np.zeros(0, np.int64)
+        follow = np.concatenate((mark, np.zeros(4, mark.dtype)))[4 : 4 + able]
+        ok = (mark[:able] == _AT) & (mark[2 : 2 + able] == _PLUS) & (size[1 : 1 + able] == size[3 : 3 + able])
+        ok &= (mark[1 : 1 + able] != _AT) & (mark[1 : 1 + able] != _PLUS) & ((follow == _AT) | (follow == 0))
+        return np.flatnonzero(ok)
+
+    def texts(self, which: np.ndarray) -> pa.Array:
+        """Some lines as an Arrow array."""
+        # One array in which every line lies between two gaps, the line ends; taking every second element copies the lines.
+        edges = np.stack((self.begin[which], self.end[which]), axis=1).reshape(-1).astype(np.int64)
+        if not len(edges):
+            return pa.array([], pa.large_binary())
+        both = pa.Array.from_buffers(pa.large_binary(), len(edges) - 1, [None, pa.py_buffer(edges), pa.py_buffer(self.data)])
+        return both.take(pa.array(np.arange(0, len(edges), 2)))
+
+    def raw(self, low: int, high: int) -> list[bytes]:
+        """Lines low to high as they stand, with their line ends."""
+        return [self.data[self.begin[i] : self.next[i]].tobytes() for i in range(low, high)]
+
+
+def _blank_free(column: pa.Array) -> bool:
+    _, _, data = column.buffers()
+    text = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
+    return not ((text == 32) | (text == 9) | (text == _RETURN)).any()
+
+
+def _four_line_batch(lines: _Lines, heads: np.ndarray, mode: str) -> Iterator[pa.RecordBatch]:
+    """Batches of records that stand in four lines each."""
+    if not len(heads):
+        return
+    columns = [lines.texts(heads), lines.texts(heads + 1), lines.texts(heads + 3)]
+    if _blank_free(columns[1]) and _blank_free(columns[2]):
+        columns = [c.cast(pa.large_string()).cast(pa.string()) for c in columns]
+        columns[0] = pc.ascii_rtrim(columns[0], "\r\n")
+        yield pa.RecordBatch.from_arrays(columns, ["header", "sequence", "quality"])
+        return
+    # Blanks within lines are rare: they are dropped line by line, and the lengths compared again.
+    yield from _batches(parse_records((x for h in heads.tolist() for x in lines.raw(h, h + 4)), mode))
+
+
+def _batches(records: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+    rows = []
+    for record in records:
+        rows.append(record)
+        if len(rows) == _ROWS:
+            yield _batch(rows)
+            rows = []
+    if rows:
+        yield _batch(rows)
 
 
-def lines_of_range(stream, start: int, end: int) -> Iterator[bytes]:
-    """The lines of the four-line records whose header begins in [start, end)."""
-    at = 0
-    if start:
-        stream.seek(start - 1)
-        at = start - 1 + len(stream.readline())  # the line that holds the byte before the range
-    else:
-        stream.seek(0)
-    window: list[tuple[int, bytes]] = []
-    in_step = start == 0
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    arrays = [pa.array(x, pa.binary()).cast(pa.string()) for x in zip(*rows)]
+    return pa.RecordBatch.from_arrays(arrays, ["header", "sequence", "quality"])
+
+
+def read_range(stream, start: int, end: int, mode: str = "FAILFAST", block: int = BLOCK) -> Iterator[pa.RecordBatch]:
+    """The records of the segments whose header begins in [start, end), and of what stands before a file's first one."""
+    stream.seek(max(start - 1, 0))
+    base = start - 1 + len(stream.readline()) if start else 0  # past the line that holds the byte before the range
+    held, loose, open_, last = b"", [], start == 0, False
+    while not last:
+        more = stream.read(block)
+        last, data = len(more) < block, held + more
+        lines = _Lines.of(data, last)
+        heads = lines.proven(last)
+        # A header within four lines of another one is none; this hardly happens.
+        if len(heads) and (np.diff(heads) < 4).any():
+            kept = [int(heads[0])]
+            for h in heads[1:].tolist():
+                if h >= kept[-1] + 4:
+                    kept.append(h)
+            heads = np.array(kept)
+        count = len(lines.begin)
+        upto = count if last else max(count - 4, 0)
+        if len(heads):
+            upto = max(upto, int(heads[-1]) + 4)
+        first = 0
+        if not open_:
+            heads = heads[lines.begin[heads] + base >= start]
+            if not len(heads):
+                first = upto
+            else:
+                first, open_ = int(heads[0]), True
+                if lines.begin[first] + base >= end:
+                    return
+        beyond = np.flatnonzero(lines.begin[heads] + base >= end)
+        stop = int(heads[beyond[0]]) if len(beyond) else upto
+        heads = heads[: beyond[0]] if len(beyond) else heads
+        if open_:
+            done = 0
+            inner = np.ones(max(stop - first, 0), bool)
+            for j in range(4):
+                inner[heads + j - first] = False
+            for i in (np.flatnonzero(inner) + first).tolist():  # lines of no proven record
+                if not loose and lines.begin[i] == lines.end[i]:
+                    continue
+                ready = int(np.searchsorted(heads, i))
+                if ready > done:
+                    yield from _loose(loose, mode)
+                    yield from _four_line_batch(lines, heads[done:ready], mode)
+                    done = ready
+                loose += lines.raw(i, i + 1)
+            if len(heads) > done:
+                yield from _loose(loose, mode)
+                yield from _four_line_batch(lines, heads[done:], mode)
+        if len(beyond):
+            break
+        cut = int(lines.next[upto - 1]) if upto else 0
+        held, base = data[cut:], base + cut
+    yield from _loose(loose, mode)
+
+
+def _loose(lines: list[bytes], mode: str) -> Iterator[pa.RecordBatch]:
+    """Records of the lines between proven ones: blank lines, wrapped records, or an error. Empties the list."""
+    found = [x for x in lines] if any(x.strip() for x in lines) else []
+    lines.clear()
+    return _batches(parse_records(iter(found), mode))
+
+
+def _is_wrapped(stream) -> bool:
+    """Whether the first record of a file is valid, but isn't proven to stand in four lines, and holds no proven header."""
+    stream.seek(0)
+    data = b""
     while True:
-        while len(window) < 4:
-            line = stream.readline()
-            if not line:
-                break
-            window.append((at, line))
-            at += len(line)
-        if not window or window[0][0] >= end:
-            return
-        if not in_step:
-            if len(window) < 4:
-                return
-            if not _is_header([x for _, x in window]):
-                window.pop(0)
-                continue
-            in_step = True
-        if not window[0][1].strip():
-            window.pop(0)
-            continue
-        yield from (x for _, x in window[:4])
-        window = window[4:]
+        more = stream.read(1 << 16)
+        data += more
+        body = data.lstrip()
+        lines = _Lines.of(body, not more)
+        heads = lines.proven(not more)
+        if not body or (heads[:1] == 0).any():
+            return False
+        if len(lines.begin) >= 5 or not more:
+            rest = iter(lines.raw(0, len(lines.begin)))
+            try:
+                next(parse_records(rest))
+                return not len(heads) or len(lines.begin) - len(list(rest)) <= heads[0]
+            except MalformedRecord:
+                if not more or len(data) > 1 << 20:
+                    return False
 
 
 class FastqReader(DataSourceReader):
@@ -130,25 +275,29 @@ class FastqReader(DataSourceReader):
         return self.ranges(sorted(self.files(), key=lambda x: x[1].path)) or [ByteRange("", 0, 0, True)]
 
     def files(self) -> list[tuple[str, fs.FileInfo]]:
-        """(given path, file) of all files there are."""
+        """(given path, file) of all files there are: files, folders with what lies in them, and globs."""
         out = []
         for given in self.paths:
-            system, path = _resolve(given)
+            system, path = resolve(given)
+            pattern = path if any(c in path for c in "*?[") else None
+            if pattern:
+                parts = pattern.split("/")
+                path = "/".join(parts[: next(i for i, x in enumerate(parts) if any(c in x for c in "*?["))])
             info = system.get_file_info(path)
             found = [info]
             if info.type == fs.FileType.Directory:
-                found = [x for x in system.get_file_info(fs.FileSelector(path)) if x.type == fs.FileType.File]
-                found = [x for x in found if not x.base_name.startswith(("_", "."))]
+                inside = system.get_file_info(fs.FileSelector(path, recursive=True))
+                found = [x for x in inside if x.type == fs.FileType.File and not _hidden(x.path[len(path) :])]
             elif info.type == fs.FileType.NotFound:
                 raise FileNotFoundError(given)
-            out += [(given, x) for x in found]
+            out += [(given, x) for x in found if not pattern or fnmatch.fnmatch(x.path, pattern)]
         return out
 
     def ranges(self, files: list[tuple[str, fs.FileInfo]]) -> list[ByteRange]:
         """Byte ranges of files, in their order."""
         out = []
         for given, x in files:
-            whole = self.wrapped or x.path.endswith((".gz", ".gzip"))
+            whole = self.wrapped or x.path.endswith(PACKED)
             step = max(1, x.size if whole else self.split)
             out += [ByteRange(_address(given, x.path), a, min(a + step, x.size), whole) for a in range(0, x.size, step)]
         return out
@@ -156,21 +305,22 @@ class FastqReader(DataSourceReader):
     def read(self, partition: ByteRange) -> Iterator[pa.RecordBatch]:
         if not partition.path:
             return
-        system, path = _resolve(partition.path)
+        system, path = resolve(partition.path)
         with system.open_input_file(path) as raw:
             stream = io.BufferedReader(raw, 1 << 20)
-            if path.endswith((".gz", ".gzip")):
-                lines = iter(gzip.open(stream))
-            else:
-                lines = iter(stream) if partition.whole else lines_of_range(stream, partition.start, partition.end)
-            rows = []
-            for record in parse_records(lines, self.mode):
-                rows.append(record)
-                if len(rows) == _ROWS:
-                    yield _batch(rows)
-                    rows = []
-            if rows:
-                yield _batch(rows)
+            if path.endswith(PACKED):
+                stream = gzip.open(stream)
+            if self.wrapped or _is_wrapped(stream):
+                if partition.start == 0:
+                    stream.seek(0)
+                    yield from _batches(parse_records(iter(stream), self.mode))
+                return
+            end = 1 << 62 if path.endswith(PACKED) else partition.end
+            yield from read_range(stream, partition.start, end, self.mode)
+
+
+def _hidden(path: str) -> bool:
+    return any(x.startswith(("_", ".")) for x in path.split("/") if x)
 
 
 class FastqStreamReader(FastqReader, DataSourceStreamReader):
@@ -194,12 +344,8 @@ class FastqStreamReader(FastqReader, DataSourceStreamReader):
         """Nothing is kept, so nothing is to be released."""
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    arrays = [pa.array(x, pa.binary()).cast(pa.string()) for x in zip(*rows)]
-    return pa.RecordBatch.from_arrays(arrays, ["header", "sequence", "quality"])
-
-
-def _resolve(address: str) -> tuple[fs.FileSystem, str]:
+def resolve(address: str) -> tuple[fs.FileSystem, str]:
+    """The file system of an address and the path in it."""
     if "://" in address or address.startswith("file:"):
         return fs.FileSystem.from_uri(address.replace("file:/", "file:///") if address.count("/") and "://" not in address else address)
     return fs.LocalFileSystem(), address
@@ -212,8 +358,8 @@ def _address(given: str, path: str) -> str:
 class FastqDataSource(DataSource):
     """``spark.read.format("fastq")`` and ``spark.readStream.format("fastq")`` after ``spark.dataSource.register(FastqDataSource)``.
 
-    Options: ``mode`` (FAILFAST, DROPMALFORMED, PERMISSIVE: header kept, the rest null), ``splitBytes``, and ``wrapped``
-    for files whose records may span more than four lines; these are read file by file.
+    Options: ``mode`` (FAILFAST, DROPMALFORMED, PERMISSIVE: header kept, the rest null), ``splitBytes``, and ``wrapped``,
+    which reads every file whole; without it that is done for the files whose first record spans more than four lines.
     """
 
     @classmethod

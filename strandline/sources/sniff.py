@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import gzip
+
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from strandline.sources.fastq import PACKED, FastqReader, resolve
+
 _HEAD = 8192
+_BLANK = b" \t\r\n\x0b\x0c"
 
 
 def sniff(head: bytes) -> str:
     """fasta or fastq, by the first byte that isn't white space."""
-    body = head.lstrip(b" \t\r\n\x0b\x0c")
+    body = head.lstrip(_BLANK)
     if not body:
         raise ValueError("Empty or whitespace-only file")
     if body[:1] in (b">", b"@"):
@@ -18,13 +23,22 @@ def sniff(head: bytes) -> str:
     raise ValueError(f"Unknown format: expected '@' or '>', found {body[:1].decode('latin-1')!r}")
 
 
+def head_of(stream) -> bytes:
+    """The first bytes of a stream from the first that isn't white space on, however much of that there is."""
+    while block := stream.read(_HEAD):
+        if body := block.lstrip(_BLANK):
+            return body
+    return b""
+
+
 def detect_format(spark: SparkSession, path: str) -> str:
-    """The format of the first file of a path. Gzip is looked into; one file's head is read, on the driver."""
-    files = spark.read.format("binaryFile").load(path).select("path").orderBy("path").limit(1).collect()
+    """The format of the first file of a path. Gzip is looked into; some bytes of one file are read, on the driver."""
+    files = sorted(FastqReader({"path": path}).files(), key=lambda x: x[1].path)
     if not files:
         raise ValueError("Empty or whitespace-only file")
-    lines = spark.read.text(files[0].path).filter(F.trim("value") != "").limit(1).collect()
-    return sniff(lines[0].value[:_HEAD].encode() if lines else b"")
+    given, first = files[0]
+    with resolve(given)[0].open_input_file(first.path) as raw:
+        return sniff(head_of(gzip.open(raw) if first.path.endswith(PACKED) else raw))
 
 
 def detect_format_column(header: Column) -> Column:

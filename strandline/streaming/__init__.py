@@ -14,7 +14,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from strandline.functions import gc_count, n_count, phred_sum, read_length
 from strandline.operators.sampling import reservoir_slot
-from strandline.operators.stats import BINS
+from strandline.operators.pairs import deinterleave, interleave
+from strandline.operators.stats import BINS, summary
 from strandline.sources.fasta import SEPARATOR, parse_record
 from strandline.sources.fastq import FastqDataSource
 
@@ -41,24 +42,28 @@ def dedup_stream(df: DataFrame) -> DataFrame:
 
 
 def stats_stream(df: DataFrame) -> DataFrame:
-    """Running totals for complete mode: total_reads, total_bases, min_length, max_length, score, gc, n."""
-    size = read_length(F.col("sequence"))
-    return df.agg(
-        F.count(F.lit(1)).alias("total_reads"),
-        F.sum(size).alias("total_bases"),
-        F.min(size).alias("min_length"),
-        F.max(size).alias("max_length"),
-        F.sum(phred_sum(F.col("quality"))).alias("score"),
-        F.sum(gc_count(F.col("sequence"))).alias("gc"),
-        F.sum(n_count(F.col("sequence"))).alias("n"),
+    """The running statistics for complete mode, with the columns of ``operators.stats``."""
+    size = F.coalesce(read_length(F.col("sequence")), F.lit(0))
+    total = lambda column: F.coalesce(F.sum(column), F.lit(0))
+    return summary(
+        df.agg(
+            F.count(F.lit(1)).alias("total_reads"),
+            total(size).alias("total_bases"),
+            F.coalesce(F.min(size), F.lit(0)).alias("min_length"),
+            F.coalesce(F.max(size), F.lit(0)).alias("max_length"),
+            total(phred_sum(F.col("quality"))).alias("_score"),
+            total(gc_count(F.col("sequence"))).alias("_gc"),
+            total(n_count(F.col("sequence"))).alias("_n"),
+        )
     )
 
 
 def length_histogram_stream(df: DataFrame, bin_size: int) -> DataFrame:
     """The ten-bin length histogram for complete mode; a stream has no first read, so the bin size is given."""
-    size = read_length(F.col("sequence"))
-    return df.groupBy(F.least(F.floor(size / bin_size), F.lit(BINS - 1)).cast("int").alias("bin")).agg(
-        F.count(F.lit(1)).alias("reads")
+    size = F.coalesce(read_length(F.col("sequence")), F.lit(0))
+    found = df.groupBy(F.least(F.floor(size / bin_size), F.lit(BINS - 1)).cast("int").alias("bin"))
+    return found.agg(F.count(F.lit(1)).alias("reads")).select(
+        "bin", (F.col("bin") * bin_size).cast("long").alias("range_start"), ((F.col("bin") + 1) * bin_size).cast("long").alias("range_end"), "reads"
     )
 
 
@@ -69,6 +74,25 @@ def reservoir_stream(df: DataFrame, k: int, seed: int = 0) -> DataFrame:
     return entered.groupBy("slot").agg(F.max_by(row, "idx").alias("row")).select("slot", "row.*")
 
 
+def interleave_stream(
+    r1: DataFrame, r2: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str
+) -> StreamingQuery:
+    """Interleave the mates that arrive in the same micro-batch of two streams, which must number their reads in idx.
+
+    Both streams are read by one query, told apart by a column, so that a micro-batch holds what is available of both.
+    """
+    both = r1.withColumn("__mate", F.lit(0)).unionByName(r2.withColumn("__mate", F.lit(1)))
+    pick = lambda batch, mate: batch.filter(F.col("__mate") == mate).drop("__mate")
+    return each_batch(both, lambda batch: interleave(pick(batch, 0), pick(batch, 1)), sink, checkpoint)
+
+
+def deinterleave_stream(
+    df: DataFrame, sink: Callable[[DataFrame, DataFrame, int], None], checkpoint: str
+) -> StreamingQuery:
+    """Part each micro-batch into (R1, R2), positions counted within it; the source must number its reads in idx."""
+    return each_batch(df, deinterleave, lambda halves, epoch: sink(*halves, epoch), checkpoint)
+
+
 def each_batch(df: DataFrame, operator: Callable[[DataFrame], DataFrame], sink: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
     """Run an operator that needs a whole table, such as a sort, on each micro-batch of what is available now."""
     write = df.writeStream.foreachBatch(lambda batch, epoch: sink(operator(batch), epoch))

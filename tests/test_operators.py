@@ -1,5 +1,7 @@
 """Operators on small relations: scenarios of dedup, conversion, filters, trimming, sampling, order, pairs, statistics."""
 
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -92,24 +94,6 @@ class TestFilter:
             ops.filter_reads(three, max_n_fraction=1.5)
 
 
-def trim_one(seq, qual, cutoff=None, front=0, tail=0, longest=None):
-    """The trimming rules on one read, base by base."""
-    n = len(seq)
-    scores = [max(ord(c) - 33, 0) for c in qual]
-    head, end = 0, n
-    if cutoff:
-        while head < n and scores[head] < cutoff:
-            head += 1
-        while end > head and scores[end - 1] < cutoff:
-            end -= 1
-    first = head + front
-    last = end - tail if end > tail else first
-    first, last = min(first, last, n), min(last, n)
-    if longest is not None:
-        last = min(last, first + longest)
-    return seq[first:last], qual[first:last]
-
-
 class TestTrim:
     def test_scenarios(self, reads):
         df = reads(("@1", "ACGTACGT", "IIIIIIII"))
@@ -120,18 +104,43 @@ class TestTrim:
         with pytest.raises(ValueError):
             ops.trim_reads(df, trim_front=-1)
 
-    @pytest.mark.parametrize("cutoff", [None, 0, 2, 20])
-    @pytest.mark.parametrize("front,tail", [(0, 0), (2, 3), (30, 0), (0, 30)])
-    @pytest.mark.parametrize("longest", [None, 5])
-    def test_against_one_by_one(self, spark, cutoff, front, tail, longest):
+    CASES = [
+        # quality, what trimming is asked for, which places of the read are left
+        ("IIIIIIII", dict(quality_cutoff=20), "01234567"),
+        ("!!II!I!!", dict(quality_cutoff=20), "2345"),
+        ("!!!!!!!!", dict(quality_cutoff=20), ""),
+        ("5I!!!!I4", dict(quality_cutoff=20), "0123456"),
+        ("!!IIII!!", dict(quality_cutoff=20, trim_front=1, trim_tail=1), "34"),
+        ("!!IIII!!", dict(quality_cutoff=20, trim_front=9), ""),
+        ("IIIIIIII", dict(trim_front=3, max_length=2), "34"),
+        ("IIIIIIII", dict(trim_tail=8), ""),
+        ("IIIIIIII", dict(trim_tail=7), "0"),
+        ("IIIIIIII", dict(trim_front=6, trim_tail=6), ""),
+        ("!!!!IIII", dict(quality_cutoff=0), "01234567"),
+        ("", dict(quality_cutoff=20, trim_front=2, trim_tail=2), ""),
+    ]
+
+    @pytest.mark.parametrize("quality,how,left", CASES)
+    def test_cases(self, reads, quality, how, left):
+        row = ops.trim_reads(reads(("@", "01234567"[: len(quality)], quality)), **how).first()
+        assert row.sequence == left and row.quality == "".join(quality[int(i)] for i in left)
+
+    @pytest.mark.parametrize("cutoff", [2, 20])
+    def test_quality_trimming_stops_at_the_first_good_base_of_either_end(self, spark, cutoff):
         rng = np.random.default_rng(1)
-        rows = []
-        for i in range(120):
-            n = int(rng.integers(0, 25))
-            rows.append((i, "@", "".join(rng.choice(list("ACGTN"), n)), "".join(rng.choice(list("!#5I"), n))))
+        rows = [(i, "@", "A" * n, "".join(rng.choice(list("!#5I"), n))) for i, n in enumerate(rng.integers(0, 25, 120).tolist())]
         df = spark.createDataFrame(rows, "idx long, header string, sequence string, quality string")
-        got = ops.trim_reads(df, cutoff, front, tail, longest).orderBy("idx").collect()
-        assert [(r.sequence, r.quality) for r in got] == [trim_one(s, q, cutoff, front, tail, longest) for _, _, s, q in rows]
+        good = f"[{chr(33 + cutoff)}-~]"
+        for r in ops.trim_reads(df, cutoff).orderBy("idx").collect():
+            found = re.search(f"{good}.*{good}|{good}", rows[r.idx][3])
+            assert r.quality == (found.group() if found else "") and len(r.sequence) == len(r.quality)
+
+    def test_fixed_cuts_are_counted_once(self, spark):
+        rows = [(n, "@", "".join(chr(65 + i) for i in range(n)), "I" * n) for n in range(26)]
+        df = spark.createDataFrame(rows, "idx long, header string, sequence string, quality string")
+        got = {r.idx: r.sequence for r in ops.trim_reads(df, None, 3, 4, 5).collect()}
+        assert all(got[n] == rows[n][2][3 : n - 4][:5] for n in range(7, 26))
+        assert {len(got[n]) for n in range(7)} <= {0, 1, 2, 3}
 
     def test_bounds_are_columns(self, reads):
         first, size = trim_bounds(*quality_ends(F.col("quality"), None), F.length("sequence"), trim_front=1)
@@ -171,6 +180,14 @@ class TestSampling:
         with pytest.raises(ValueError):
             ops.sample_fraction(df, 1.1)
 
+    def test_positions_count_not_ordinals(self, spark):
+        odd = spark.range(2000).filter("id % 2 = 1").select(F.col("id").alias("idx"), F.col("id").alias("old"))
+        got = ops.sample_count(odd, 100, 5).collect()
+        assert [r.idx for r in got] == reservoir(1000, 100, 5) and all(r.old == 2 * r.idx + 1 for r in got)
+        want = [r.idx for r in ops.sample_fraction(self.rows(spark, 1000), 0.1, 5).orderBy("idx").collect()]
+        assert [r.idx for r in ops.sample_fraction(odd, 0.1, 5).orderBy("idx").collect()] == want
+        assert ops.sample_count(odd, 5000).count() == 1000
+
     def test_states_jump_ahead(self):
         state, want = 42, []
         for _ in range(300):
@@ -225,6 +242,13 @@ class TestPairs:
         assert column(one, "header") == ["@0", "@2", "@4"] and column(two, "header") == ["@1", "@3"]
         assert column(one, "idx") == [0, 1, 2]
 
+    def test_positions_count_not_ordinals(self, reads):
+        df = reads(*[(f"@{i}", "A", "I") for i in range(8)])
+        mixed = ops.interleave(df.filter("idx in (1, 3, 5)"), df.filter("idx in (1, 5, 7)"))
+        assert column(mixed, "header") == ["@1", "@1", "@3", "@5", "@5", "@7"] and column(mixed, "idx") == list(range(6))
+        one, two = ops.deinterleave(df.filter("idx % 2 = 1"))
+        assert column(one, "header") == ["@1", "@5"] and column(two, "header") == ["@3", "@7"]
+
 
 class TestStats:
     def test_summary(self, reads):
@@ -248,7 +272,10 @@ class TestStats:
     def test_report(self, reads):
         df = reads(("@1", "ACGT", "IIII"), ("@2", "ACGTACGT", "IIIIIIII"))
         text = ops.format_report(ops.stats(df), ops.length_histogram(df))
-        assert "Mean length:    6.00" in text and "GC content:     50.00%" in text and "#" in text
+        assert text.split("\n")[:4] == ["FASTQ Statistics", "================", "Total reads:      2", "Total bases:      12"]
+        assert "Mean length:      6.00\n\nQuality Statistics\n------------------\nMean quality:     40.00" in text
+        assert text.endswith(f"   8-12           1  {'█' * 40}") or "█" * 40 in text.split("\n")[-1]
+        assert "Length Distribution" not in ops.format_report(ops.stats(df), ops.length_histogram(df.limit(0)))
 
 
 def test_operators_compose(records):

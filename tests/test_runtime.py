@@ -3,7 +3,7 @@
 import __spark_entry__
 from pyspark.sql import functions as F
 
-from strandline.runtime import join_groups, numbered, shared_dir, stage
+from strandline.runtime import join_groups, numbered, scope, shared_dir, stage
 
 
 def test_tables_lie_in_the_shared_folder(spark):
@@ -11,6 +11,15 @@ def test_tables_lie_in_the_shared_folder(spark):
     assert shared_dir(spark).removeprefix("file://") in path
 
 
+def test_scopes_clean_up(spark):
+    from pathlib import Path
+
+    with scope():
+        path = Path(stage(spark.range(3), "t").inputFiles()[0].removeprefix("file://")).parent
+        assert path.exists()
+    assert not path.exists()
+
+
 def test_numbers_are_dense(spark):
     df = numbered(spark.range(1000).repartition(7).sortWithinPartitions("id"), "n")
     assert sorted(r.n for r in df.collect()) == list(range(1000)) and df.columns == ["id", "n"]

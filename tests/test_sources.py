@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 from strandline import cli
 from strandline import operators as ops
 from strandline.sources import detect_format, read_fasta, read_fastq, read_reads, sniff, write_reads
-from strandline.sources.fastq import parse_records
+from strandline.sources.fastq import FastqReader, MalformedRecord, _is_wrapped, parse_records, read_range
 from strandline.streaming import (
+    deinterleave_stream,
     dedup_stream,
     each_batch,
+    interleave_stream,
     length_histogram_stream,
     read_fasta_stream,
     read_fastq_stream,
@@ -117,6 +119,58 @@ class TestFastq:
         got = read_fastq(spark, str(tmp_path), split_bytes=split)
         assert rows(got, "idx", "header", "sequence", "quality") == want
 
+    TRICKY = [
+        # four-line records, with blank lines, a wrapped and an empty record between them
+        "".join(f"@{i}\nACGT{'A' * (i % 7)}\n+\n@+II{'I' * (i % 7)}\n" + ("\n" if i % 5 == 0 else "") for i in range(40))
+        + "@w\nAC\nGT\n+\nII\nII\n@e\n\n+\n\n@z\nA C\n+\nI I\n",
+        # wrapped records throughout
+        "".join(f"@{i}\n{'ACGTACGT' * 3}\n{'AC' * (i % 9)}G\n+x\n{'@IIIIIII' * 3}\n{'+I' * (i % 9)}I\n" for i in range(40)),
+        # a quality of wrong length, a record without one, and junk, each between good ones
+        "".join(f"@{i}\nACGT\n+\n{'II' if i in (9, 30) else 'IIII'}\n" + ("junk\n" if i == 20 else "") for i in range(40)),
+        "@a\nACGTAC\n+\nIIII\n@b\nAC\n+\nII\n@c\nACG\n@d\nAC\n+\nII\n@e\nACGT\n+\nII",
+    ]
+
+    @pytest.mark.parametrize("text", TRICKY)
+    @pytest.mark.parametrize("mode", ["FAILFAST", "DROPMALFORMED", "PERMISSIVE"])
+    def test_ranges_of_any_size_give_the_same(self, tmp_path, text, mode):
+        path = tmp_path / "x.fq"
+        path.write_text(text)
+
+        def read(size, block):
+            reader = FastqReader({"path": str(path), "mode": mode, "splitBytes": str(size)})
+            out = []
+            for part in reader.partitions():
+                with open(path, "rb") as stream:
+                    if _is_wrapped(stream):
+                        out += [r for b in reader.read(part) for r in b.to_pylist()]
+                    else:
+                        out += [r for b in read_range(stream, part.start, part.end, mode, block) for r in b.to_pylist()]
+            return out
+
+        results = []
+        for size, block in [(1 << 30, 1 << 24), (1 << 30, 64), (500, 1 << 24), (137, 100), (50, 7), (11, 33)]:
+            try:
+                results.append(read(size, block))
+            except ValueError as error:
+                results.append(type(error))
+        assert all(r == results[0] for r in results)
+        if text in self.TRICKY[:2]:
+            assert len(results[0]) in (43, 40) and all(r["quality"] is not None for r in results[0])
+        elif mode == "FAILFAST":
+            assert results[0] is MalformedRecord
+        else:
+            good = [r["header"] for r in results[0] if r["sequence"] is not None]
+            assert len(good) == (38 if "junk" in text else 2)
+
+    def test_folders_and_globs(self, spark, tmp_path):
+        (tmp_path / "in" / "deep").mkdir(parents=True)
+        for name in ("a.fq", "deep/b.fq", "deep/c.txt", "_no.fq"):
+            (tmp_path / "in" / name).write_text(f"@{name}\nA\n+\nI\n")
+        assert rows(read_fastq(spark, str(tmp_path / "in")), "header") == [("@a.fq",), ("@deep/b.fq",), ("@deep/c.txt",)]
+        assert rows(read_fastq(spark, str(tmp_path / "in" / "*" / "*.fq")), "header") == [("@deep/b.fq",)]
+        with pytest.raises(Exception, match="nothing"):
+            read_fastq(spark, str(tmp_path / "nothing"))
+
     def test_gzip(self, spark, tmp_path):
         with gzip.open(tmp_path / "x.fq.gz", "wt") as f:
             f.write(FASTQ[0][0])
@@ -132,6 +186,8 @@ class TestSniff:
             sniff(b" \n")
 
     def test_files(self, spark, tmp_path):
+        (tmp_path / "y").write_text("\t\n" * 9000 + ">a\nAC")
+        assert detect_format(spark, str(tmp_path / "y")) == "fasta"
         (tmp_path / "x").write_text("\n  @a\nAC\n+\nII\n")
         assert detect_format(spark, str(tmp_path / "x")) == "fastq"
         assert read_reads(spark, str(tmp_path / "x")).columns == ["idx", "header", "sequence", "quality"]
@@ -145,6 +201,13 @@ class TestWriter:
         assert part.read_text() == "@a x\nACGT\n+\n@+>I\n@b\n\n+\n\n@c\nA\n+\nI\n"
         assert rows(read_fastq(spark, str(tmp_path / "out")), *df.columns) == rows(df, *df.columns)
 
+    def test_nulls(self, spark, tmp_path):
+        df = spark.createDataFrame([(0, "@a", None, None), (1, None, "AC", "II")], "idx long, header string, sequence string, quality string")
+        write_reads(df, str(tmp_path / "out"), single=True)
+        assert next((tmp_path / "out").glob("part-*")).read_text() == "@a\n\n+\n\n\nAC\n+\nII\n"
+        with pytest.raises(Exception, match="differ in length: @b"):
+            write_reads(spark.createDataFrame([(0, "@b", "AC", None)], df.schema), str(tmp_path / "bad"))
+
     def test_fasta(self, spark, tmp_path, records):
         write_reads(records("AC", "GT"), str(tmp_path / "out"), compression="gzip")
         assert rows(read_fasta(spark, str(tmp_path / "out")), "idx", "sequence") == [(0, "AC"), (1, "GT")]
@@ -171,10 +234,14 @@ class TestCli:
         assert say("filter", fq, "-q", 20) == "@a\nACGT\n+\nIIII\n"
         assert say("trim", fq, "-f", 1, "-l", 2) == "@a\nCGT\n+\nIII\n"
         assert say("to-fasta", fq) == ">a\nACGT\n>b\nTT\n"
-        assert "Total bases:    6" in say("stats", fq, "--histogram")
+        assert "Total bases:      6" in say("stats", fq, "--histogram")
         assert say("interleave", fq, fq).count("@a\n") == 2
         say("deinterleave", fq, "-1", tmp_path / "r1", "-2", tmp_path / "r2")
-        assert rows(read_fastq(spark, str(tmp_path / "r2")), "header") == [("@b",)]
+        assert (tmp_path / "r2").read_text() == "@b\nTT\n+\n!!\n"
+        say("sort", fa, "-l", "-r", "-o", tmp_path / "out.fa")
+        assert (tmp_path / "out.fa").read_text() == ">b\nAACT\n>c\nAACT\n>a\nGG\n"
+        say("dedup", fa, "-o", tmp_path / "parts", "--parts")
+        assert rows(read_fasta(spark, str(tmp_path / "parts")), "header") == [(">b",), (">a",)]
 
     def test_standard_input(self, spark, capsys, monkeypatch):
         monkeypatch.setattr("sys.stdin", io.TextIOWrapper(io.BytesIO(b">a\nAC\n>b\nAC\n")))
@@ -184,6 +251,11 @@ class TestCli:
         (tmp_path / "x").write_text("ACGT\n")
         code, _, err = self.run(spark, capsys, "dedup", str(tmp_path / "x"))
         assert code == 1 and "Unknown format" in err
+        (tmp_path / "y").write_text("@a\nACGT\n+\nII\n")
+        for argv in (("dedup", str(tmp_path / "y")), ("stats", str(tmp_path / "y")), ("filter", str(tmp_path / "none"))):
+            code, _, err = self.run(spark, capsys, *argv)
+            assert code == 1 and err.startswith("Error: ") and len(err.splitlines()) == 1
+        assert "none" in err
 
 
 class TestStreams:
@@ -217,12 +289,26 @@ class TestStreams:
         df.repartition(3).write.parquet(str(tmp_path / "in"))
         stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
         r = self.drain(spark, stats_stream(stream), "complete", "totals").first()
-        assert (r.total_reads, r.total_bases, r.score, r.n) == (50, 150, 6000, 10)
+        assert r == ops.stats(df).first() and (r.total_reads, r.mean_quality) == (50, 40.0)
         h = self.drain(spark, length_histogram_stream(stream, 2), "complete", "hist").collect()
         assert sum(x.reads for x in h) == 50
         kept = self.drain(spark, reservoir_stream(stream, 5, 42), "complete", "kept")
         assert {x.idx for x in kept.collect()} == {x.idx for x in ops.sample_count(df, 5, 42).collect()}
 
+    def test_pairs_by_batch(self, spark, tmp_path):
+        df = spark.createDataFrame([(i, f"@{i}", "A", "I") for i in range(6)], "idx long, header string, sequence string, quality string")
+        for name, some in (("one", df.filter("idx in (1, 3)")), ("two", df.filter("idx in (2, 4)")), ("all", df)):
+            some.coalesce(1).write.parquet(str(tmp_path / name))
+        read = lambda name: spark.readStream.schema(df.schema).parquet(str(tmp_path / name))
+        seen = []
+        query = interleave_stream(read("one"), read("two"), lambda b, _: seen.extend(rows(b, "header")), str(tmp_path / "ck1"))
+        query.awaitTermination(120)
+        assert seen == [("@1",), ("@2",), ("@3",), ("@4",)]
+        halves = []
+        query = deinterleave_stream(read("all"), lambda a, b, _: halves.extend([rows(a, "header"), rows(b, "header")]), str(tmp_path / "ck2"))
+        query.awaitTermination(120)
+        assert halves == [[("@0",), ("@2",), ("@4",)], [("@1",), ("@3",), ("@5",)]]
+
     def test_sort_by_batch(self, spark, tmp_path):
         df = spark.createDataFrame([(0, "@b", "A"), (1, "@a", "C")], "idx long, header string, sequence string")
         df.write.parquet(str(tmp_path / "in"))
