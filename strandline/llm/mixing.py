@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import base64
+import os
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +21,9 @@ VOCABULARY = "byte_bpe_50k.tiktoken"
 # Fixed value: how texts are split before byte-pair merging with this vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
+#: As many sources may have a target.
+MOST_TARGETS = 10_000
+
 _BITS, _STEP = 60, 10
 _SCHEMA = "doc_id long, source string, n_tokens long"
 
@@ -35,11 +40,17 @@ def load_encoding(path: str):
 def token_counts(
     df: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", vocabulary: str = f"{TOKENIZERS}/{VOCABULARY}"
 ) -> DataFrame:
-    """(doc_id, source, n_tokens) of each document; a null text has no tokens. The tokenizer is loaded once a task."""
+    """(doc_id, source, n_tokens) of each document; a null text has no tokens.
+
+    The vocabulary is read where the driver finds it and sent to the executors as a file of the session; it is loaded
+    once a task.
+    """
     bound_arrow_batches(df.sparkSession)
+    df.sparkSession.sparkContext.addFile(vocabulary)
+    name = os.path.basename(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoding = load_encoding(vocabulary)
+        encoding = load_encoding(SparkFiles.get(name))
         for batch in batches:
             sizes = [len(encoding.encode_ordinary(t)) if t else 0 for t in batch["text"].to_pylist()]
             yield pa.RecordBatch.from_arrays(
@@ -78,39 +89,37 @@ def _bucket(key: Column, level: int) -> Column:
 def thresholds(sizes: DataFrame, wanted: dict[str, int]) -> dict[str, int]:
     """source -> t: the documents of a source with a key under t hold its wanted tokens, as nearly as whole documents can.
 
-    Tokens are summed by source and by the key's first bits; the bucket in which the sum crosses the wanted tokens is
-    summed again by its next bits, and no other is. The driver gets 1,024 numbers a source and round, whatever the size
-    of the data. Without ties the last bucket is one document, which is taken if that comes nearer.
+    Tokens are summed by source and by the key's first bits; the bucket in which the running sum crosses the wanted
+    tokens is summed again by its next bits, and no other is. The running sums are over 1,024 buckets a source, in the
+    cluster; the driver gets one row a source and round. Without ties the last bucket is one document, which is taken if
+    that comes nearer.
     """
+    spark = sizes.sparkSession
     open_ = {s: (0, 0, w) for s, w in wanted.items() if w > 0}  # source -> bits so far, tokens before, wanted
     out = {s: 0 for s in wanted}
+    order = Window.partitionBy("source").orderBy("b")
     for level in range(_BITS // _STEP):
         if not open_:
             break
-        inside = None
-        for s, (prefix, _, _) in open_.items():
-            one = (F.col("source") == s) & (F.shiftright("key", _BITS - _STEP * level) == prefix)
-            inside = one if inside is None else inside | one
-        histogram: dict[str, dict[int, tuple[int, int]]] = {}
-        grouped = sizes.filter(inside).groupBy("source", _bucket(F.col("key"), level).alias("b"))
-        for r in grouped.agg(F.sum("n_tokens").alias("t"), F.count(F.lit(1)).alias("n")).collect():
-            histogram.setdefault(r.source, {})[r.b] = (r.t, r.n)
+        rule = spark.createDataFrame([(s, *x) for s, x in open_.items()], "source string, prefix long, before long, want long")
+        # One row a target: at most MOST_TARGETS.
+        inside = sizes.join(F.broadcast(rule), "source").filter(F.shiftright("key", _BITS - _STEP * level) == F.col("prefix"))
+        grouped = inside.groupBy("source", "before", "want", _bucket(F.col("key"), level).alias("b"))
+        sums = grouped.agg(F.sum("n_tokens").alias("t"), F.count(F.lit(1)).alias("n"))
+        crossed = sums.withColumn("upto", F.col("before") + F.sum("t").over(order)).filter("upto > want")
+        found = {r.source: r for r in crossed.withColumn("nth", F.row_number().over(order)).filter("nth = 1").collect()}
         again = {}
-        for s, (prefix, before, want) in open_.items():
-            for b in sorted(histogram.get(s, {})):
-                t, n = histogram[s][b]
-                here = prefix << _STEP | b
-                if before + t <= want:
-                    before += t
-                    continue
-                if n == 1 or level + 1 == _BITS // _STEP:
-                    take = before + t - want < want - before
-                    out[s] = (here + take) << (_BITS - _STEP * (level + 1))
-                else:
-                    again[s] = (here, before, want)
-                break
-            else:
+        for s, (prefix, _, want) in open_.items():
+            if s not in found:
                 out[s] = (prefix + 1) << (_BITS - _STEP * level)
+                continue
+            r = found[s]
+            here, before = prefix << _STEP | r.b, r.upto - r.t
+            if r.n == 1 or level + 1 == _BITS // _STEP:
+                take = r.upto - want < want - before
+                out[s] = (here + take) << (_BITS - _STEP * (level + 1))
+            else:
+                again[s] = (here, before, want)
         open_ = again
     return out
 
@@ -134,15 +143,17 @@ def mix(
 
     Documents without source, of a source that is no target, or without a token are not used. A source without
     documents gets 0; repeated targets must not differ, the first counts. Rows that repeat a doc_id are separate
-    documents that are used alike. An empty table gives an empty mix. There may be 10,000 targets.
+    documents that are used alike. An empty table gives an empty mix. There may be ``MOST_TARGETS`` targets.
     """
     spark = df.sparkSession
     chosen = targets.select("source", "target_share", "max_repeats").filter("source is not null").dropDuplicates(["source"])
-    rows = chosen.limit(10_001).collect()
-    if len(rows) > 10_000:
-        raise ValueError("more than 10,000 targets")
+    rows = chosen.limit(MOST_TARGETS + 1).collect()
+    if len(rows) > MOST_TARGETS:
+        raise ValueError(f"more than {MOST_TARGETS} targets")
     wanted = {r.source: (r.target_share or 0.0, r.max_repeats or 0) for r in rows}
-    counted = token_counts(df.filter(F.col(source).isin(list(wanted))), doc_id, source, text, vocabulary).filter("n_tokens > 0")
+    names = spark.createDataFrame([(s,) for s in wanted], "__target string")
+    meant = df.join(F.broadcast(names), F.col(source) == F.col("__target"), "left_semi")
+    counted = token_counts(meant, doc_id, source, text, vocabulary).filter("n_tokens > 0")
     key = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id"), 64 - _BITS)
     sizes = stage(counted.withColumn("key", key), "mix-sizes")
     available = {r.source: r.t for r in sizes.groupBy("source").agg(F.sum("n_tokens").alias("t")).collect()}
@@ -151,7 +162,7 @@ def mix(
     rule = spark.createDataFrame(
         [(s, whole, limits[s]) for s, (_, whole, _) in planned.items()], "source string, whole long, below long"
     )
-    # One row a target: at most 10,000.
+    # One row a target: at most MOST_TARGETS.
     copies = F.col("whole") + (F.col("key") < F.col("below")).cast("long")
     mixed = sizes.join(F.broadcast(rule), "source").select("doc_id", "source", "n_tokens", copies.alias("copies")).filter("copies > 0")
     return mixed, _report(spark, mixed, wanted, available)
@@ -168,7 +179,7 @@ def _report(spark: SparkSession, mixed: DataFrame, wanted: dict, available: dict
         F.max("copies").alias("most_copies"),
     )
     out = base.join(used, "source", "left").fillna(0, ["mixed_tokens", "n_docs", "most_copies"])
-    # The window is over the targets, 10,000 rows at most.
+    # The window is over the targets, MOST_TARGETS rows at most.
     out = out.withColumn("all", F.sum("mixed_tokens").over(Window.partitionBy(F.lit(0))))
     share = F.when(F.col("all") > 0, F.col("mixed_tokens") / F.col("all")).otherwise(0.0)
     return out.select(*base.columns, "mixed_tokens", share.alias("actual_share"), "n_docs", "most_copies")
