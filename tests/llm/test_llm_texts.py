@@ -1,6 +1,7 @@
 """Problems 9 and 10."""
 
 import random
+import re
 
 import numpy as np
 import pytest
@@ -59,6 +60,15 @@ class TestMix:
                 total += t
             assert abs(took - want) == abs(best - want)
 
+    def test_ten_thousand_sources(self, spark):
+        sizes = spark.range(40_000).select(
+            F.concat(F.lit("s"), F.col("id") % 10_000).alias("source"), F.shiftright(F.abs(F.xxhash64("id")), 4).alias("key"), F.lit(10).cast("long").alias("n_tokens")
+        )
+        limits = mixing.thresholds(sizes, {f"s{i}": 20 for i in range(10_000)})
+        rule = spark.createDataFrame(list(limits.items()), "source string, below long")
+        taken = sizes.join(rule, "source").filter("key < below").groupBy("source").count()
+        assert taken.count() == 10_000 and taken.filter("count <> 2").isEmpty()
+
     def test_larger_budgets_contain_smaller_ones(self, tables):
         small, large = (mixing.mix(*tables, total=n)[0] for n in (500, 900))
         a = {r.doc_id: r.copies for r in small.collect()}
@@ -132,9 +142,40 @@ class TestQuality:
         assert (found == truth).mean() > max(0.93, (majority == truth).mean())
 
     def test_line_between_sentences(self):
-        common = frozenset(["the", "is"])
-        inside, size, *_ = quality.sentence_characters(["the pump is", "cylindrical", "the end is near", "12 34"], common)
-        assert (inside, size) == (37, 42)
+        text = "\n".join(["the pump is", "cylindrical", "the end is near", "12 34"])
+        inside = quality.measure([text, "the", ""], quality.CommonWords(["the", "is"]))[:, -1]
+        assert inside.tolist() == [37 / 42, 1.0, 0.0]
+
+    def test_against_one_text_at_a_time(self):
+        rng, known = random.Random(4), ["the", "is", "größe", "x1", "a"]
+        parts = ["the", "THE", "is", "Größe", "x1", "thee", "İs", "½", "_", "a_b", "\t", " ", "\x0b", "\r", "\n", "\n\n", " \n ", ".", ":", "—", "९", "7"]
+        texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(0, 60))) for _ in range(400)]
+        got = quality.measure(texts, quality.CommonWords(known))
+        assert np.array_equal(got, [one_by_one(t, set(known)) for t in texts])
+        assert quality.measure([], quality.CommonWords([])).shape == (0, 8)
+
+
+def one_by_one(text, known):
+    words = re.findall(r"[^\W_]+", text)
+    lines = [x for x in (line.strip(" \t\r\f") for line in text.split("\n")) if x]
+    over = lambda a, b: a / b if b else 0.0
+    kinds = []
+    for line in lines:
+        w = re.findall(r"[^\W_]+", line)
+        common = sum(x.lower() in known for x in w)
+        kinds.append(bool(common) and common >= 0.1 * len(w) and sum(map(len, w)) >= 0.5 * len(line))
+    size = sum(map(len, lines))
+    inside = sum(len(x) for i, x in enumerate(lines) if kinds[i] or (0 < i < len(lines) - 1 and kinds[i - 1] and kinds[i + 1]))
+    return [
+        len(words),
+        over(sum(map(len, words)), len(words)),
+        over(sum(not c.isalnum() and c not in " \t\r\n\f" for c in text), len(text)),
+        over(sum(x[-1] in ".!?;:" for x in lines), len(lines)),
+        over(sum(w.lower() in known for w in words), len(words)),
+        over(sum(c in "0123456789" for c in text), size),
+        over(len(words), len(lines)),
+        over(inside, size),
+    ]
 
 
 def test_all_queries_have_results(spark):
