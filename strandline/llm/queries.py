@@ -75,7 +75,9 @@ def _seen_sql(table: str) -> str:
 @_query(_seen_sql("fasta_reads") + " UNION ALL " + _seen_sql("fastq_reads"))
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records of fasta_reads and fastq_reads whose key was seen before."""
-    return _seen(spark, sf_dir)[0]
+    found, store = _seen(spark, sf_dir)
+    store.close()  # the answers are kept
+    return found
 
 
 @_query(
@@ -90,7 +92,10 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def p2_error_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rate of wrong answers of p2_found, with the hash alone and with the full key verified."""
-    return seen.error_report(_seen(spark, sf_dir)[1], list(_READS))
+    found, store = _seen(spark, sf_dir)
+    report = stage(seen.error_report(found, store, list(_READS)), "seen-report")
+    store.close()
+    return report
 
 
 @_query(

@@ -9,23 +9,26 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.functions import strip_whitespace
-from strandline.runtime import new_path, remove
+from strandline.runtime import new_path, remove, stage
 
 _KEYS = ["h", "key"]
 
+#: A batch of up to so many rows tells the runs which hashes it asks for, and they read only the blocks that may have them.
+SMALL_BATCH = 1000
+
 
 class SeenStore:
     """All keys seen so far, as levelled immutable sorted runs in a shared folder.
 
     A run is a Parquet table of (h, key, scope, first): ``scope`` numbers the key space (here, the table), ``key`` begins
-    with it, h is a 64-bit hash of ``key``. It is hash-bucketed and sorted by h within each bucket, so the minima and
-    maxima of h of files and row groups are the fences of its blocks. A batch is reduced to one row a key by map-side
-    combining (a hot key is one row a task), and probes run after run by a sort-merge join on (h, key): the hash
-    decides almost every comparison and the full key verifies each hit. Runs and batch are bucketed alike, so a run is
-    never shuffled. Keys that no run holds become a new run of level 0; when a level has ``fanout`` runs they are
-    merged, without a shuffle either, into one run of the next level.
-
-    The store keeps one row for each distinct key on disk and no key in memory.
+    with it, h is a 64-bit hash of ``key``. Its blocks are ``buckets`` files by a hash of h, each sorted by h, so that
+    the minima and maxima of h of their row groups are fences. A batch is reduced to one row a key by map-side combining
+    (a hot key is one row a task), and probes run after run by a merge join on h: a run is neither shuffled nor sorted
+    again. The full key verifies each hit. A batch of up to ``SMALL_BATCH`` rows opens no more blocks than it has hashes.
+    Keys that no run holds become a new run of level 0; when a level has ``fanout`` runs they are merged, without a
+    shuffle either, into one run of the next level.
+
+    The store keeps one row for each distinct key on disk and no key in memory. ``close`` removes it.
     """
 
     #: (scope, at) of the records that are new, found without the store; what `error_report` compares it with.
@@ -37,6 +40,8 @@ class SeenStore:
         self.root = new_path(spark, "seen")
         self.levels: list[list[str]] = [[]]
         self.paths: dict[str, str] = {}
+        # A bucket is one file, written in order of h; with this, a scan says so and a merge join need not sort it again.
+        spark.conf.set("spark.sql.legacy.bucketedTableScan.outputOrdering", "true")
 
     def hashed(self, key: Column) -> Column:
         """The hash of a key; fewer bits than 64 are for tests of collisions."""
@@ -50,7 +55,7 @@ class SeenStore:
     def _write(self, df: DataFrame) -> str:
         name = f"seen_{uuid.uuid4().hex}"
         self.paths[name] = f"{self.root}/{name}"
-        df.write.format("parquet").bucketBy(self.buckets, *_KEYS).sortBy(*_KEYS).option("path", self.paths[name]).option(
+        df.write.format("parquet").bucketBy(self.buckets, "h").sortBy("h").option("path", self.paths[name]).option(
             "compression", "zstd"
         ).saveAsTable(name)
         return name
@@ -59,18 +64,42 @@ class SeenStore:
         self.spark.sql(f"DROP TABLE IF EXISTS {name}")
         remove(self.spark, self.paths.pop(name))
 
-    def add(self, batch: DataFrame) -> None:
-        """Take in a batch of (scope, key, at); each new key is recorded with its smallest ``at`` in the batch."""
-        rows = batch.select("scope", F.concat(F.col("scope"), F.lit(":"), F.col("key")).alias("key"), "at")
-        new = rows.groupBy(self.hashed(F.col("key")).alias("h"), "key").agg(
-            F.min("scope").alias("scope"), F.min("at").alias("first")
-        )
+    def close(self) -> None:
+        """Remove all runs."""
+        for name in list(self.paths):
+            self._drop(name)
+        remove(self.spark, self.root)
+        self.levels = [[]]
+
+    def unknown(self, keys: DataFrame, hashes: list[int] | None = None) -> DataFrame:
+        """The rows of ``keys``, which are one for each (h, key), that no run holds; ``hashes`` are theirs, if they are few."""
         for run in self.runs():
-            # An outer join, as the optimizer would push an anti-join below the aggregation, where keys are still hot.
-            old = self.spark.table(run).select(*_KEYS, F.lit(True).alias("hit")).hint("merge")
-            new = new.join(old, _KEYS, "left").filter("hit is null").drop("hit")
-        self.levels[0].append(self._write(new))
+            old = self.spark.table(run).select(F.col("h").alias("old_h"), F.col("key").alias("old_key"))
+            if hashes is not None:
+                old = old.filter(F.col("old_h").isin(hashes))
+            # Keys are compared by order, as equality would become part of the join key, by which no run is bucketed. An
+            # outer join, as the optimizer would push an anti-join below the aggregation, where keys are still hot.
+            same = (F.col("h") == F.col("old_h")) & (F.col("key") <= F.col("old_key")) & (F.col("key") >= F.col("old_key"))
+            keys = keys.join(old.hint("merge"), same, "left").filter("old_h is null").drop("old_h", "old_key")
+        return keys
+
+    def add(self, batch: DataFrame) -> DataFrame:
+        """Take in a batch of (scope, key, at) and answer it: (scope, at) of each record whose key a run or a smaller ``at``
+        of the batch has. Each new key is recorded with its smallest ``at``."""
+        rows = batch.select("scope", F.concat(F.col("scope"), F.lit(":"), F.col("key")).alias("key"), "at")
+        rows = rows.withColumn("h", self.hashed(F.col("key")))
+        hashes = None
+        if self.runs():
+            few = rows.select("h").limit(SMALL_BATCH + 1).collect()
+            hashes = sorted({r.h for r in few}) if len(few) <= SMALL_BATCH else None
+        new = rows.groupBy(*_KEYS).agg(F.min("scope").alias("scope"), F.min("at").alias("first"))
+        run = self._write(self.unknown(new, hashes) if self.runs() else new.repartition(self.buckets, "h"))
+        self.levels[0].append(run)
+        first = self.spark.table(run).select("scope", F.col("first").alias("at")).filter("at is not null")
+        # The first records of new keys are told by their positions, which no hot key can skew.
+        answer = stage(batch.select("scope", "at").join(first, ["scope", "at"], "left_anti").distinct(), "seen-answer")
         self._compact()
+        return answer
 
     def _compact(self) -> None:
         for i in range(len(self.levels)):
@@ -89,13 +118,10 @@ class SeenStore:
             for run in old:
                 self._drop(run)
 
-    def firsts(self) -> DataFrame:
-        """Where each key was first seen: (h, scope, first), for all keys."""
+    def stored(self) -> DataFrame:
+        """(h, scope, first) of all keys."""
         tables = [self.spark.table(run).select("h", "scope", "first") for run in self.runs()]
-        out = tables[0]
-        for x in tables[1:]:
-            out = out.unionByName(x)
-        return out
+        return reduce(lambda a, b: a.unionByName(b), tables)
 
 
 def keys_of(df: DataFrame, scope: int, id_col: str = "idx", sequence: str = "sequence") -> DataFrame:
@@ -128,10 +154,9 @@ def seen_before(
     """(seen, store): (tbl, idx) of each record of each table whose key occurred at a smaller idx of the same table, or
     among ``known``.
 
-    The records go through a ``SeenStore`` in ``batches`` pieces in order of idx, ``known`` first. A record has been
-    seen unless it is the one at which the store first met its key, so the answer is an anti-join on unique positions,
-    which no hot key can skew. Null sequences, sequences without a letter and rows without idx are never seen. Rows
-    that repeat an idx stand or fall together. Empty tables give no rows; only the two named columns are read.
+    The records go through a ``SeenStore`` in ``batches`` pieces in order of idx, ``known`` first; the result is what it
+    answers to each of them as it comes. Null sequences, sequences without a letter and rows without idx are never seen.
+    Rows that repeat an idx stand or fall together. Empty tables give no rows; only the two named columns are read.
     """
     names = list(tables)
     memory = SeenStore(tables[names[0]].sparkSession, **store)
@@ -143,29 +168,28 @@ def seen_before(
     memory.exact = rows.groupBy("scope", "key").agg(F.min("at").alias("at"))
     if known is not None:
         memory.exact = memory.exact.join(early.select("scope", "key").distinct(), ["scope", "key"], "left_anti")
-    memory.exact = memory.exact.select("scope", "at").distinct()
-    for piece in pieces(rows.select("at"), batches) or [F.lit(True)]:
-        memory.add(rows.filter(piece))
-    firsts = memory.firsts().filter("first is not null").select("scope", F.col("first").alias("at"))
-    out = rows.select("scope", "at").join(firsts, ["scope", "at"], "left_anti").distinct()
+    memory.exact = rows.select("scope", "at").join(memory.exact.select("scope", "at"), ["scope", "at"], "left_anti").distinct()
+    out = union([memory.add(rows.filter(piece)) for piece in pieces(rows.select("at"), batches) or [F.lit(True)]])
     name = F.element_at(F.array(*[F.lit(x) for x in names]), F.col("scope") + 1)
     return out.select(name.alias("tbl"), F.col("at").alias("idx")), memory
 
 
-def error_report(memory: SeenStore, names: list[str]) -> DataFrame:
+def error_report(seen: DataFrame, memory: SeenStore, names: list[str]) -> DataFrame:
     """(tbl, distinct_keys, hash_only_wrong, hash_only_rate, verified_wrong): how often the hash alone would have called
-    a new key seen.
+    a new key seen, and how many answers are wrong.
 
-    Every such key shares its hash with another key of its scope in the store. verified_wrong counts the records whose
-    answer by the store differs from an exact minimum of ``at`` for each key, which is found without the store.
+    Every key that the hash alone would have taken for another shares its hash with another key of its scope in the
+    store. verified_wrong counts the records whose answer in ``seen`` differs from that of an exact minimum of ``at`` for
+    each key, which is found without the store.
     """
-    got = memory.firsts().filter("first is not null").select("scope", F.col("first").alias("at")).distinct()
-    both = got.withColumn("got", F.lit(1)).join(memory.exact.withColumn("exact", F.lit(1)), ["scope", "at"], "full")
-    wrong = both.groupBy("scope").agg(F.count(F.when(F.expr("got is null or exact is null"), 1)).alias("verified_wrong"))
-    by_hash = memory.firsts().groupBy("scope", "h").agg(F.count(F.lit(1)).alias("n"))
-    out = by_hash.groupBy("scope").agg(F.sum("n").alias("distinct_keys"), F.sum(F.col("n") - 1).alias("hash_only_wrong"))
-    return out.join(wrong, "scope", "left").select(
-        F.element_at(F.array(*[F.lit(x) for x in names]), F.col("scope") + 1).alias("tbl"),
+    scopes = F.element_at(F.array(*[F.lit(x) for x in names]), F.col("scope") + 1).alias("tbl")
+    exact = memory.exact.select(scopes, F.col("at").alias("idx"))
+    both = seen.withColumn("got", F.lit(1)).join(exact.withColumn("exact", F.lit(1)), ["tbl", "idx"], "full")
+    wrong = both.groupBy("tbl").agg(F.count(F.when(F.expr("got is null or exact is null"), 1)).alias("verified_wrong"))
+    by_hash = memory.stored().groupBy("scope", "h").agg(F.count(F.lit(1)).alias("n"))
+    out = by_hash.groupBy(scopes).agg(F.sum("n").alias("distinct_keys"), F.sum(F.col("n") - 1).alias("hash_only_wrong"))
+    return out.join(wrong, "tbl", "left").select(
+        "tbl",
         "distinct_keys",
         "hash_only_wrong",
         (F.col("hash_only_wrong") / F.col("distinct_keys")).alias("hash_only_rate"),

@@ -78,17 +78,18 @@ class TestSeen:
         known = spark.createDataFrame([(0, "TTTTGGGG"), (1, None), (2, "acgt")], SEQ)
         got, store = seen.seen_before({"t": df}, known, batches=batches, hash_bits=bits, fanout=fanout)
         assert {r.idx for r in got.collect()} == brute_seen(rows, ["TTTTGGGG", "acgt"])
-        report = seen.error_report(store, ["t"]).first()
+        report = seen.error_report(got, store, ["t"]).first()
         assert report.verified_wrong == 0
         assert (report.hash_only_wrong > 0) == (bits == 2)
 
     def test_a_lost_key_is_reported(self, spark, monkeypatch):
-        df = spark.createDataFrame([(0, "AC"), (1, "GG"), (2, "A C")], SEQ)
-        _, store = seen.seen_before({"t": df}, batches=1)
-        assert seen.error_report(store, ["t"]).first().verified_wrong == 0
-        firsts = store.firsts
-        monkeypatch.setattr(store, "firsts", lambda: firsts().filter("first = 0"))
-        assert seen.error_report(store, ["t"]).first().verified_wrong == 1
+        df = spark.createDataFrame([(0, "AC"), (1, "GG"), (2, "A C"), (3, "GG")], SEQ)
+        got, store = seen.seen_before({"t": df}, batches=2)
+        assert seen.error_report(got, store, ["t"]).first().verified_wrong == 0
+        unknown = seen.SeenStore.unknown
+        monkeypatch.setattr(seen.SeenStore, "unknown", lambda self, keys, _: unknown(self, keys, []) if self.runs() else keys)
+        got, store = seen.seen_before({"t": df}, batches=2)
+        assert seen.error_report(got, store, ["t"]).first().verified_wrong == 2
 
     def test_tables_do_not_mix(self, spark):
         one = spark.createDataFrame([(0, "AC"), (1, "GG")], SEQ)
@@ -101,14 +102,33 @@ class TestSeen:
         assert sorted(r.idx for r in seen.seen_before({"t": late})[0].collect()) == [3, 5]
         assert seen.seen_before({"t": late.limit(0)})[0].count() == 0
 
-    def test_runs_are_not_shuffled(self, spark, dirty):
+    def test_runs_are_neither_shuffled_nor_sorted(self, spark, dirty):
         store = seen.SeenStore(spark)
         rows = seen.keys_of(dirty[0], 0)
         store.add(rows.filter("at < 300"))
+        new = rows.filter("at >= 300").groupBy(store.hashed(F.col("key")).alias("h"), "key").agg(F.min("at"))
+        plan = store.unknown(new)._jdf.queryExecution().executedPlan().toString()
+        run = plan[plan.index("SortMergeJoin") :].split("Scan parquet spark_catalog")[0].split("\n")[-4:]
+        assert not any("Exchange" in x or "Sort" in x for x in run), plan
         store.add(rows.filter("at >= 300"))
         assert len(store.runs()) == 2
-        assert store.firsts().count() == len({re.sub("[ \t\r\n]", "", s) for _, s in dirty[1] if re.search("[A-Za-z]", s or "")})
-
+        assert store.stored().count() == len({re.sub("[ \t\r\n]", "", s) for _, s in dirty[1] if re.search("[A-Za-z]", s or "")})
+        store.close()
+        assert not store.paths
+
+    def test_a_small_batch_reads_few_blocks(self, spark):
+        store = seen.SeenStore(spark, buckets=64)
+        text = lambda col: F.concat(F.lit("AC"), col.cast("string"))
+        many = spark.range(2000).select(F.lit(0).alias("scope"), text(F.col("id")).alias("key"), F.col("id").alias("at"))
+        store.add(many)
+        few = [(0, f"AC{i}", 5000 + i) for i in (3, 700, 5001, 5002, 5003, 5004)]
+        plans, unknown = [], store.unknown
+        store.unknown = lambda keys, hashes: plans.append(unknown(keys, hashes)) or plans[0]
+        answer = store.add(spark.createDataFrame(few, "scope int, key string, at long"))
+        assert sorted(r["at"] for r in answer.collect()) == [5003, 5700]
+        opened = re.search(r"SelectedBucketsCount: (\d+) out of 64", plans[0]._jdf.queryExecution().executedPlan().toString())
+        assert int(opened.group(1)) <= 6
+        store.close()
 
 class TestFormatting:
     def pairs(self, rows):
