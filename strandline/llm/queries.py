@@ -153,17 +153,59 @@ def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.split_oversized(_table(spark, sf_dir, "fasta_reads"))
 
 
+@_query(
+    f"SELECT idx, CAST(length({_LETTERS}) AS BIGINT) AS n_letters, md5({_LETTERS}) AS hash, true AS sizes_hold, true AS overlaps_hold, "
+    f"true AS gaps_hold FROM fasta_reads WHERE length({_LETTERS}) > 5000"
+)
+def p5_reassembled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records of fasta_reads with more than 5,000 letters put together again from their pieces, and whether all pieces
+    have at most 5,000 letters, overlap by 200, and end at a gap wherever one can be reached."""
+    pieces = chunking.split_oversized(_table(spark, sf_dir, "fasta_reads"))
+    parts = F.sort_array(F.collect_list(F.struct("piece_no", "piece_start", "piece_end", "cut_by", "piece")))
+    rows = pieces.groupBy("idx").agg(parts.alias("p"))
+    new = F.transform("p", lambda x, i: F.when(i == 0, x["piece"]).otherwise(F.substring(x["piece"], 201, 1 << 20)))
+    text = F.array_join(new, "")
+    sizes = F.forall("p", lambda x: (F.length(x["piece"]) <= 5000) & (F.length(x["piece"]) == x["piece_end"] - x["piece_start"]))
+    laps = F.transform("p", lambda x, i: (i == 0) | (x["piece_start"] == F.get("p", i - 1)["piece_end"] - 200))
+    # A piece that isn't the last ends at the start of a run of N, or there is none in reach.
+    reach = lambda x: F.substring(x["piece"], 1000, 1 << 20)
+    gaps = F.forall("p", lambda x: (x["cut_by"] != "landmark") | ~reach(x).rlike("[^N]N{10}"))
+    return rows.select(
+        "idx",
+        F.length(text).cast("long").alias("n_letters"),
+        F.md5(text).alias("hash"),
+        sizes.alias("sizes_hold"),
+        F.forall(laps, lambda x: x).alias("overlaps_hold"),
+        gaps.alias("gaps_hold"),
+    )
+
+
 def _spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.shared_spans(_table(spark, sf_dir, "fasta_reads"), _table(spark, sf_dir, "control_library"))
 
 
-@_query()
+_WINDOWS = (
+    f"t AS (SELECT idx, {_LETTERS} AS s FROM fasta_reads UNION ALL SELECT -1 - idx, {_LETTERS} FROM control_library), "
+    "l AS (SELECT idx, s FROM t WHERE length(s) >= 60), "
+    "w AS (SELECT idx, p, md5_number(substr(s, p + 1, 60)) AS h FROM (SELECT idx, s, unnest(range(length(s) - 59)) AS p FROM l)), "
+    "h AS (SELECT h FROM w GROUP BY h HAVING min(idx) <> max(idx)), "
+    "q AS (SELECT idx, p FROM w JOIN h USING (h) WHERE idx >= 0), "
+    "r AS (SELECT idx, p, CASE WHEN p <= lag(p) OVER (PARTITION BY idx ORDER BY p) + 60 THEN 0 ELSE 1 END AS fresh FROM q), "
+    "g AS (SELECT idx, p, sum(fresh) OVER (PARTITION BY idx ORDER BY p) AS k FROM r), "
+    "spans AS (SELECT idx, min(p) AS span_start, max(p) + 60 AS span_end FROM g GROUP BY idx, k)"
+)
+
+
+@_query(f"WITH {_WINDOWS} SELECT idx, CAST(span_start AS BIGINT) AS span_start, CAST(span_end AS BIGINT) AS span_end FROM spans")
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The maximal runs of shared positions of each record of fasta_reads."""
     return _spans(spark, sf_dir)
 
 
-@_query()
+@_query(
+    f"WITH {_WINDOWS} SELECT t.idx, CAST(length(s) AS BIGINT) AS n_letters, CAST(coalesce(sum(span_end - span_start), 0) AS BIGINT) AS n_shared "
+    "FROM t LEFT JOIN spans ON spans.idx = t.idx WHERE t.idx >= 0 AND length(s) > 0 GROUP BY t.idx, s"
+)
 def p6_shared_amount(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many letters of each record of fasta_reads are shared, of how many."""
     sizes = _table(spark, sf_dir, "fasta_reads").select("idx", F.length(letters(F.col("sequence"))).cast("long").alias("n_letters"))
@@ -173,7 +215,24 @@ def p6_shared_amount(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@_query()
+def _similar(table: str) -> str:
+    """The pairs of a table by shared substrings, all of them counted."""
+    return (
+        f"SELECT '{table}' AS tbl, a.idx AS idx_a, b.idx AS idx_b FROM (SELECT a.idx AS i, b.idx AS j, count(*) AS c FROM g_{table} a "
+        f"JOIN g_{table} b ON a.w = b.w AND a.idx < b.idx GROUP BY 1, 2) JOIN n_{table} a ON a.idx = i JOIN n_{table} b ON b.idx = j "
+        "WHERE 2 * c >= a.n + b.n - c"
+    )
+
+
+_GRAMS = ", ".join(
+    f"s_{t} AS (SELECT min(idx) AS idx, {_LETTERS} AS s FROM {t} WHERE length({_LETTERS}) >= 10 GROUP BY {_LETTERS}), "
+    f"g_{t} AS (SELECT DISTINCT idx, substr(s, p + 1, 10) AS w FROM (SELECT idx, s, unnest(range(length(s) - 9)) AS p FROM s_{t})), "
+    f"n_{t} AS (SELECT idx, count(*) AS n FROM g_{t} GROUP BY idx)"
+    for t in _READS
+)
+
+
+@_query(f"WITH {_GRAMS} " + " UNION ALL ".join(_similar(t) for t in _READS))
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pairs of different texts within a table whose sets of 10-letter substrings overlap by half or more."""
     parts = [
@@ -182,7 +241,19 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
-@_query()
+@_query(
+    f"WITH RECURSIVE {_GRAMS}, pairs AS MATERIALIZED ({' UNION ALL '.join(_similar(t) for t in _READS)}), "
+    "ties AS (SELECT tbl, idx_a AS u, idx_b AS v FROM pairs UNION ALL SELECT tbl, idx_b, idx_a FROM pairs), "
+    "reach(tbl, u, v) AS (SELECT tbl, u, u FROM ties UNION SELECT reach.tbl, reach.u, ties.v FROM reach JOIN ties ON ties.tbl = reach.tbl "
+    "AND ties.u = reach.v), c AS (SELECT tbl, u, min(v) AS class_id FROM reach GROUP BY tbl, u), "
+    "n AS (SELECT tbl, u, count(*) AS n_links FROM ties GROUP BY tbl, u), "
+    + "m AS ("
+    + " UNION ALL ".join(
+        f"SELECT '{t}' AS tbl, idx, min(idx) OVER (PARTITION BY {_LETTERS}) AS f FROM {t} WHERE {_LETTERS} <> ''" for t in _READS
+    )
+    + ") SELECT m.tbl, idx, coalesce(class_id, f) AS class_id, coalesce(n_links, 0) AS n_links FROM m LEFT JOIN c ON c.tbl = m.tbl AND c.u = f "
+    "LEFT JOIN n ON n.tbl = m.tbl AND n.u = f"
+)
 def p7_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The class of each record with letters of both tables and its text's number of links."""
     out = None
@@ -194,7 +265,16 @@ def p7_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-@_query()
+def _runs(table: str, number: str) -> str:
+    return (
+        f"SELECT DISTINCT {number}, md5_number(array_to_string(w[p + 1 : p + 13], ' ')) AS h FROM (SELECT {number}, w, unnest(range(len(w) - 12)) AS p "
+        rf"FROM (SELECT {number}, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS w FROM {table}) WHERE len(w) >= 13)"
+    )
+
+
+@_query(
+    f"SELECT DISTINCT doc_id, item_id FROM ({_runs('documents', 'doc_id')}) d JOIN ({_runs('eval_items', 'item_id')}) i ON d.h = i.h"
+)
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold 13 or more consecutive words of an evaluation item, and the items."""
     return leaks.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "eval_items"))

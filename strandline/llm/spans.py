@@ -11,15 +11,18 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandline.llm.letters import joined, letters, mixed, spread, window_hashes, windows_hashes
+from strandline.llm.letters import joined, letters, mixed, spread, windows_hashes
 from strandline.runtime import bound_arrow_batches, join_groups, stage
 
-#: Letters of a suffix's prefix that decide its group.
+#: Letters of a suffix's shortest prefix that decides its group.
 PREFIX = 20
 
-#: Suffixes in a group, about; decides the number of groups.
+#: Suffixes in a group, at most, before its prefix is lengthened; also about as many as a task takes at once.
 GROUP = 1 << 21
 
+#: Groups that may be too large at the same time. The list of them travels with the tasks.
+MOST_LARGE = 1 << 18
+
 #: The record that a stretch travels as when several records are known to have it: another one to each of them.
 SEVERAL = -(2**62) - 2
 
@@ -36,25 +39,71 @@ def _running_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (width - reach)], x[width - reach :]) if reach < width else x
 
 
-def stretches(codes: np.ndarray, lengths: np.ndarray, min_len: int, prefix: int):
-    """(row, start, count, group, ends): each row's suffixes of at least ``min_len`` letters in stretches of one group,
-    of at most min_len suffixes each; ends are hashes of a stretch's first and last min_len letters, which together
-    are all its letters.
+def prefix_lengths(min_len: int, prefix: int) -> list[int]:
+    """The lengths that a prefix may have: the shortest, and as it is lengthened, up to the whole depth."""
+    more = min_len - prefix
+    return sorted({prefix, prefix + more // 2, prefix + 3 * more // 4, min_len})
+
+
+def _bucket(group: np.ndarray, bits: int) -> np.ndarray:
+    return (mixed(group * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def _among(values: np.ndarray, table: np.ndarray) -> np.ndarray:
+    return table[np.minimum(np.searchsorted(table, values), len(table) - 1)] == values if len(table) else np.zeros(len(values), bool)
+
+
+def grouped(codes: np.ndarray, lengths: np.ndarray, min_len: int, prefix: int, large: list[np.ndarray], bits: int):
+    """(at, row, group, deepest) of the suffixes of at least ``min_len`` letters: place, row and group of each, and which of
+    them have as long a prefix as ``large`` asks for.
 
-    The group of a suffix is the prefix of least hash among those of the suffixes that start in its first min_len
-    letters: equal runs of min_len letters always fall in one group, and neighbouring suffixes mostly share theirs, so
-    they travel as one stretch of letters, some 4 letters a suffix, not min_len.
+    The prefix of a suffix is found within its first min_len letters: the ``prefix`` letters of least hash, the leftmost
+    of equal ones. Equal runs of min_len letters so have equal prefixes, and neighbouring suffixes mostly share theirs.
+    ``large`` has, for each length of prefixes but the last, the sorted buckets of the groups that are too large. The
+    prefixes of their suffixes are lengthened to either side, within the first min_len letters, so that again as many
+    neighbouring suffixes as can share one. At full length a group is one run of min_len letters.
     """
     counts = np.maximum(lengths - min_len + 1, 0)
     starts = np.concatenate(([0], np.cumsum(lengths)[:-1])) if len(lengths) else np.zeros(0, np.int64)
-    if not counts.sum():
+    at, row = spread(starts, counts), np.repeat(np.arange(len(lengths)), counts)
+    if not len(at):
+        return at, row, np.zeros(0, np.uint64), at
+    (short,) = windows_hashes(codes, (prefix,), 17)
+    group = _running_min(short, min_len - prefix + 1)[at]
+    deepest = np.arange(len(at))
+    if not large or not len(large[0]):
+        return at, row, group, deepest
+    deepest = np.flatnonzero(_among(_bucket(group, bits), large[0]))
+    places = np.flatnonzero(_among(_bucket(short, bits), large[0]))
+    nth = np.searchsorted(places, at[deepest])
+    while len(wrong := np.flatnonzero(short[places[nth]] != group[deepest])):
+        nth[wrong] += 1
+    place = places[nth]  # where the shortest prefix stands
+    for length, some in zip(prefix_lengths(min_len, prefix)[1:], [*large[1:], None]):
+        shift = place - at[deepest]
+        step = min_len - length + 1
+        before = np.minimum(shift // step * step, length - prefix)
+        (long,) = windows_hashes(codes, (length,), 17 + length)
+        group[deepest] = long[place - before]
+        if some is None or not len(some):
+            break
+        more = _among(_bucket(group[deepest], bits), some)
+        deepest, place = deepest[more], place[more]
+    return at, row, group, deepest
+
+
+def stretches(codes: np.ndarray, lengths: np.ndarray, min_len: int, prefix: int, large: list[np.ndarray] = (), bits: int = 12):
+    """(row, start, count, group, ends): each row's suffixes of at least ``min_len`` letters in stretches of one group,
+    of at most min_len suffixes each; ends are hashes of a stretch's first and last min_len letters, which together
+    are all its letters. Neighbouring suffixes of one group travel as one stretch of letters, some 4 letters a suffix,
+    not min_len.
+    """
+    at, row, group, _ = grouped(codes, lengths, min_len, prefix, large, bits)
+    if not len(at):
         none = np.zeros(0, np.int64)
         return none, none, none, none.view(np.uint64), none.view(np.uint64)
-    short, whole = windows_hashes(codes, (prefix, min_len), 17)
-    least = _running_min(short, min_len - prefix + 1)
-    at = spread(starts, counts)
-    row = np.repeat(np.arange(len(lengths)), counts)
-    group = least[at]
+    starts = np.concatenate(([0], np.cumsum(lengths)[:-1]))
+    (whole,) = windows_hashes(codes, (min_len,), 17)
     first = np.ones(len(at), bool)
     first[1:] = (group[1:] != group[:-1]) | (row[1:] != row[:-1])
     first = np.flatnonzero(first)
@@ -155,24 +204,78 @@ def _unpack(blob: bytes, kinds: tuple) -> list[np.ndarray]:
 _KINDS = (np.int64, np.int64, np.int32, np.uint8)  # record, start, letters of each stretch; their letters
 
 
+def packed(text: np.ndarray, width: int) -> np.ndarray:
+    """Each run of ``width`` (up to 12) letters as an integer that sorts as the letters do; beyond the end, as if blanks
+    followed."""
+    one = np.concatenate((text & np.uint8(31), np.zeros(width, np.uint8))).astype(np.uint64)
+    out, have, power, reach = None, 0, one, 1
+    while True:
+        if width & reach:
+            n = len(power) - have if out is not None else len(power)
+            out = power if out is None else (out[:n] << np.uint64(5 * reach)) | power[have : have + n]
+            have += reach
+        if reach * 2 > width:
+            return out[: len(text)]
+        power = (power[:-reach] << np.uint64(5 * reach)) | power[reach:]
+        reach *= 2
+
+
+def sorted_suffixes(text: np.ndarray, at: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """(order, deep): the suffixes at ``at`` in order of their first ``depth`` letters, and for each the letters that it
+    has in common with the one before, as far as is compared: ``depth`` or fewer.
+
+    The first 12 letters sort all suffixes; after that only those that are still equal are sorted by 8 letters more, so
+    that suffixes come apart as they do on the way down a suffix tree.
+    """
+    first, more = min(12, depth), packed(text, min(8, depth))
+    key = packed(text, first)[at]
+    order = np.argsort(key)
+    key = key[order]
+    common = np.zeros(len(at), np.int32)
+    common[1:][key[1:] == key[:-1]] = first
+    done = first
+    while done < depth:
+        tied = np.zeros(len(at), bool)  # in a run of suffixes that agree so far
+        tied[1:] = common[1:] >= done
+        tied[:-1] |= tied[1:]
+        rows = np.flatnonzero(tied)
+        if not len(rows):
+            break
+        node = np.cumsum(common[rows] < done).astype(np.uint64) - np.uint64(1)
+        # The last letters may be compared twice, which changes nothing.
+        key = more[at[order[rows]] + min(done, depth - 8 if depth >= 8 else 0)]
+        if node[-1] < 1 << 24:
+            key = node << np.uint64(40) | key
+            new = np.argsort(key)
+        else:
+            new = np.lexsort((key, node))
+        order[rows], key, node = order[rows[new]], key[new], node[new]
+        done = min(done + 8, depth)
+        common[rows[1:][(key[1:] == key[:-1]) & (node[1:] == node[:-1])]] = done
+    return order, common
+
+
 def shared_suffixes(
     record: np.ndarray, start: np.ndarray, size: np.ndarray, text: np.ndarray, min_len: int
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(record, start, end) of the runs of suffixes, end exclusive, whose first ``min_len`` letters also begin a suffix
     of another record in the group.
 
-    The suffixes are sorted by the hash of their first min_len letters; runs of equal ones are the nodes of the group's
-    suffix tree at depth min_len, and those with suffixes of two or more records are the ones that matter. Letters are
-    compared before a node counts, so a hash collision makes no shared span.
+    The group's suffix tree, as its leaves in order and the letters that neighbours have in common. An inner node of
+    depth min_len or more is a run of neighbours that have that many in common; if its leaves are of two or more
+    records, its letters are a repeat between records, and all its leaves are shared.
     """
     counts = (size - min_len + 1).astype(np.int64)
     begin = np.concatenate(([0], np.cumsum(size.astype(np.int64))[:-1]))
     at = spread(begin, counts)
     owner = np.repeat(np.arange(len(record)), counts)
-    hashes = window_hashes(text, min_len, 23)[at]
-    order = np.argsort(hashes, kind="stable")
+    order, common = sorted_suffixes(text, at, min_len)
+    first = np.flatnonzero(common < min_len)
+    records = record[owner[order]]
+    several = np.minimum.reduceat(records, first) != np.maximum.reduceat(records, first)
     shared = np.zeros(len(at), bool)
-    _mark(hashes[order], record[owner[order]], at[order], order, text, min_len, shared)
+    shared[order] = np.repeat(several, np.diff(np.append(first, len(at))))
+    # A node of SEVERAL alone is shared, too, but its records were told so where they were found to be several.
     # Neighbouring shared suffixes of one stretch make one run.
     flag = np.concatenate(([0], shared.view(np.int8), [0]))
     edge = np.diff(flag)
@@ -186,35 +289,52 @@ def shared_suffixes(
     return record[o], start[o] + opens - first[o], start[o] + closes - first[o]
 
 
-def _mark(hashes, records, at, order, text, min_len, shared) -> None:
-    """Set ``shared`` for the suffixes, given in order of their hashes, that agree with one of another record."""
-    if not len(hashes):
-        return
-    first = np.concatenate(([0], np.flatnonzero(hashes[1:] != hashes[:-1]) + 1))
-    size = np.diff(np.concatenate((first, [len(hashes)])))
-    several = np.minimum.reduceat(records, first) != np.maximum.reduceat(records, first)
-    node = np.repeat(first, size)
-    for part in np.array_split(np.flatnonzero(np.repeat(several, size)), 1 + len(hashes) * min_len // (1 << 26)):
-        same = np.ones(len(part), bool)
-        mine, model = at[part], at[node[part]]
-        for j in range(0, min_len, 8):
-            j = min(j, min_len - 8) if min_len >= 8 else j
-            if min_len >= 8:
-                words = np.lib.stride_tricks.sliding_window_view(text, 8)
-                same &= (words[mine + j] == words[model + j]).all(axis=1)
+def large_groups(texts: DataFrame, min_len: int, prefix: int, group: int, bits: int, most: int) -> list[np.ndarray]:
+    """For each length of prefixes but the last, the buckets of groups with more than ``most`` suffixes, in order.
+
+    Suffixes are counted by a hash of their prefix in 2 ** bits buckets, first by the shortest; those in large buckets
+    are counted again by longer prefixes. Tasks count for themselves before the sums meet. There are fewer than
+    suffixes / most large buckets, whatever the data.
+    """
+    out: list[np.ndarray] = []
+    for _ in prefix_lengths(min_len, prefix)[:-1]:
+        counts = texts.select("s").mapInArrow(_counter(min_len, prefix, out, bits), "bucket long, n long")
+        rows = counts.groupBy("bucket").agg(F.sum("n").alias("n")).filter(F.col("n") > most).select("bucket").collect()
+        if not rows:
+            break
+        out.append(np.sort(np.array([r.bucket for r in rows], np.int64)))
+    return out
+
+
+def _counter(min_len: int, prefix: int, large: list[np.ndarray], bits: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        dense = bits <= 20
+        total = np.zeros(1 << bits if dense else 0, np.int64)
+        send = lambda b, n: pa.RecordBatch.from_arrays([pa.array(b, pa.int64()), pa.array(n, pa.int64())], ["bucket", "n"])
+        for codes, lengths, _ in _chunks(batches):
+            _, _, group, deepest = grouped(codes, lengths, min_len, prefix, large, bits)
+            bucket = _bucket(group[deepest], bits)
+            if dense:
+                total += np.bincount(bucket, minlength=len(total))
             else:
-                same &= text[mine + j] == text[model + j]
-        if same.all():
-            shared[order[part]] = True
-            continue
-        # A collision: sort these nodes by their letters and judge them again.
-        for f in np.unique(node[part]):
-            rows = np.arange(f, f + int(size[np.searchsorted(first, f)]))
-            by: dict[bytes, list[int]] = {}
-            for r in rows:
-                by.setdefault(text[at[r] : at[r] + min_len].tobytes(), []).append(r)
-            for members in by.values():
-                shared[order[members]] = len(set(records[members].tolist())) > 1
+                yield send(*np.unique(bucket, return_counts=True))
+        some = np.flatnonzero(total)
+        yield send(some, total[some])
+
+    return run
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray | None]]:
+    """(letters end to end, lengths, ids) of some texts at a time."""
+    for batch in batches:
+        codes, lengths = joined(batch["s"])
+        ids = batch["rec"].to_numpy() if "rec" in batch.schema.names else None
+        ends, at = np.cumsum(lengths), 0
+        while at < len(lengths):
+            done = ends[at - 1] if at else 0
+            end = max(at + 1, int(np.searchsorted(ends, done + _CHUNK, "right")))
+            yield codes[int(done) : int(ends[end - 1])], lengths[at:end], ids[at:end] if ids is not None else None
+            at = end
 
 
 def shared_spans(
@@ -230,11 +350,11 @@ def shared_spans(
     ``min_len`` letters which also occurs in the letters of another record or of ``known``; end exclusive.
 
     Prefix-partitioned suffix trees. Records with equal letters are merged first: a copy shares all its letters, so
-    only one of each group travels. The suffixes are cut into groups of about ``group`` by a prefix found in their
-    first min_len letters (see ``stretches``), travel as stretches of letters, and each group's tree is built in
-    memory down to depth min_len. Equal stretches of a map task travel once: those of two or more records are
-    settled there (see ``Settled``), so a repeat that a third of all records contain reaches its group as one stretch a
-    task.
+    only one of each group travels. Prefixes are counted, and those of more than ``group`` suffixes are lengthened until
+    each group fits (see ``large_groups`` and ``grouped``). The suffixes travel to their groups as stretches of letters,
+    and each group's tree is built in memory down to depth min_len (see ``shared_suffixes``). Equal stretches of a map
+    task travel once: those of two or more records are settled there (see ``Settled``), so a repeat that a third of all
+    records contain reaches its group as one stretch a task.
 
     Null sequences and those of fewer than min_len letters have no span. A record never shares with itself. Repeated
     rows are copies of each other. Rows of one id with different letters are one record. An empty table gives no rows;
@@ -255,7 +375,9 @@ def shared_spans(
     texts = stage(texts.select("rec", "n", F.length("s").cast("long").alias("size"), *marks, "s"), "span-texts")
     total = texts.agg(F.sum("size")).first()[0] or 0
     groups = max(1, -(-total // group))
-    sent = texts.select("rec", "s").mapInArrow(_cutter(min_len, prefix, groups), _SENT)
+    bits = min(30, max(12, (64 * groups).bit_length()))
+    large = large_groups(texts, min_len, prefix, group, bits, max(group, total // MOST_LARGE))
+    sent = texts.select("rec", "s").mapInArrow(_cutter(min_len, prefix, groups, large, bits), _SENT)
     sent = sent.repartition(min(groups, 10_000), "part").sortWithinPartitions("part")
     runs = sent.mapInArrow(_builder(min_len), _RUNS)
     return _merged(runs, texts, min_len).unionByName(_copies(rows, texts, marks))
@@ -265,18 +387,11 @@ _SENT = "part int, blob binary, rec long, a long, b long"
 _RUNS = "rec long, a long, b long"
 
 
-def _cutter(min_len: int, prefix: int, groups: int):
+def _cutter(min_len: int, prefix: int, groups: int, large: list[np.ndarray] = (), bits: int = 12):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent = Settled()
-        for batch in batches:
-            codes, lengths = joined(batch["s"])
-            ids, ends, at = batch["rec"].to_numpy(), np.cumsum(lengths), 0
-            while at < len(ids):
-                done = ends[at - 1] if at else 0
-                end = max(at + 1, int(np.searchsorted(ends, done + _CHUNK, "right")))
-                some = codes[int(done) : int(ends[end - 1])], lengths[at:end], ids[at:end]
-                yield from _route(*some, min_len, prefix, groups, sent)
-                at = end
+        for some in _chunks(batches):
+            yield from _route(*some, stretches(*some[:2], min_len, prefix, large, bits), min_len, groups, sent)
 
     return run
 
@@ -300,9 +415,9 @@ def _builder(min_len: int):
     return run
 
 
-def _route(codes, lengths, ids, min_len, prefix, groups, sent: Settled) -> Iterator[pa.RecordBatch]:
+def _route(codes, lengths, ids, found, min_len, groups, sent: Settled) -> Iterator[pa.RecordBatch]:
     """The stretches of some records by part, and the runs that are settled at once, which only pass through."""
-    row, start, count, group, ends = stretches(codes, lengths, min_len, prefix)
+    row, start, count, group, ends = found
     if not len(row):
         return
     begin, size, record = np.concatenate(([0], np.cumsum(lengths)[:-1]))[row] + start, count + min_len - 1, ids[row]

@@ -123,11 +123,61 @@ class TestSpans:
             assert got == want
         assert sent[0] < sent[1] < sent[2]
 
-    def test_collisions_are_resolved_by_letters(self):
-        text = np.frombuffer(b"ACGTACGTAACCGGTTAACCACGTACGTAACC", np.uint8)
-        shared = np.zeros(3, bool)
-        spans._mark(np.array([7, 7, 7], np.uint64), np.array([1, 2, 3]), np.array([0, 8, 20]), np.arange(3), text, 12, shared)
-        assert shared.tolist() == [True, False, True]
+    def test_suffixes_are_sorted_by_their_letters(self):
+        rng = np.random.default_rng(3)
+        for alphabet, depth in ((b"AB", 40), (b"ACGT", 13), (b"ACGTNXYZ", 60), (b"A", 25), (b"AC", 5)):
+            text = rng.choice(np.frombuffer(alphabet, np.uint8), 900)
+            text[300:400] = text[500:600]
+            at = rng.permutation(900 - depth)[:700]
+            order, common = spans.sorted_suffixes(text, at, depth)
+            found = [text[a : a + depth].tobytes() for a in at[order]]
+            assert found == sorted(found)
+            for one, other, n in zip(found, found[1:], common[1:]):
+                same = next((i for i in range(depth) if one[i] != other[i]), depth)
+                assert n <= same and (n == depth) == (same == depth)
+
+    @pytest.mark.parametrize("seed", range(12))
+    def test_lengthened_prefixes_change_nothing(self, seed):
+        """As in ``test_records_of_few_blocks``, with every, some or no bucket taken for too large."""
+        rng = random.Random(seed)
+        blocks = ["".join(rng.choice("ACGT") for _ in range(rng.choice([5, 20, 41, 60]))) for _ in range(5)] + ["N" * 70]
+        texts = sorted({"".join(rng.choice(blocks) for _ in range(rng.randrange(1, 7))) for _ in range(8)})
+        batch = pa.RecordBatch.from_pydict({"s": texts, "rec": list(range(len(texts)))})
+        want = {
+            (i, p)
+            for i, t in enumerate(texts)
+            for p in range(len(t) - 39)
+            if any(t[p : p + 40] in other for j, other in enumerate(texts) if j != i)
+        }
+        every = np.arange(1 << 12)
+        some = np.sort(np.random.default_rng(seed).choice(every, 2000, replace=False))
+        for large in ([], [some], [every], [every, some], [every, every, every], [some, every, some]):
+            out = list(spans._cutter(40, 12, 3, large)(iter([batch])))
+            runs = list(spans._builder(40)(iter(sorted_batches(out))))
+            assert {(r, p) for x in runs for r, a, b in zip(*x.to_pydict().values()) for p in range(a, b)} == want
+
+    def test_a_motif_in_a_third_of_records_makes_no_large_group(self, spark):
+        rng = np.random.default_rng(5)
+        dna = np.frombuffer(b"ACGT", np.uint8)
+        motif = rng.choice(dna, 59)
+        largest, most = {}, 600
+        assert spans.prefix_lengths(60, 20) == [20, 40, 50, 60]
+        for n in (3000, 9000):
+            codes = rng.choice(dna, (n, 160))
+            codes[::3, 40:99] = motif
+            data = [(i, c.tobytes().decode()) for i, c in enumerate(codes)]
+            texts = spark.createDataFrame(data, "rec long, s string").repartition(4)
+            large = spans.large_groups(texts, 60, 20, most, 20, most)
+            lengths = np.full(n, 160)
+            _, _, plain, _ = spans.grouped(codes.reshape(-1), lengths, 60, 20, [], 20)
+            at, _, group, _ = spans.grouped(codes.reshape(-1), lengths, 60, 20, large, 20)
+            assert len(large) == 3 and np.unique(plain, return_counts=True)[1].max() > n // 3
+            _, place, size = np.unique(group, return_index=True, return_counts=True)
+            # What is larger still is one run of 60 letters over and over, which travels once a task.
+            for g, p in zip(group[place[size > most]], place[size > most]):
+                assert len({codes.reshape(-1)[x : x + 60].tobytes() for x in at[group == g]}) == 1
+            largest[n] = size[size <= most].max()
+        assert largest[9000] <= most
 
 
 def brute_pairs(rows, k=10):
