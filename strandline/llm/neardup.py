@@ -1,9 +1,8 @@
-"""Problem 7: near-duplicate records with small edits, insertions or moved blocks."""
+"""Problem 7: near-duplicate records with small edits, insertions or moved blocks, by MinHash banding."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -13,68 +12,70 @@ from pyspark.sql import functions as F
 from strandline.llm.letters import joined, letters, mixed, spread, window_hashes
 from strandline.runtime import bound_arrow_batches, join_groups, stage
 
-#: Anchors of a fingerprint, and its coordinates on each of them.
-ANCHORS, ROWS = 16, 2
+#: Bands of a fingerprint, and its coordinates in each of them.
+BANDS, ROWS = 16, 2
 
-#: Chance that the words of two texts agree in fewer coordinates than `agreements_needed` says.
-MISS = 1e-3
+#: Texts of one band key that a task compares; the key is hot beyond, and split in blocks of about so many texts.
+HOT = 2048
+
+#: 64-bit words of a signature, see ``signatures``.
+WORDS = 8
 
 #: Letters that are fingerprinted at once.
 _CHUNK = 1 << 21
 
-_SIGN = 0x5555555555555555
-
 
-def fingerprints(codes: np.ndarray, lengths: np.ndarray, k: int, anchors: int, rows: int):
-    """(which, keys, words): the rows with at least k letters, and for each the 64-bit keys of its anchors and its word.
+def fingerprints(codes: np.ndarray, lengths: np.ndarray, k: int, bands: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """(which, keys): the rows with at least k letters, and for each the 64-bit keys of its bands.
 
-    A fingerprint is a word of ``anchors * rows`` coordinates, the minima of as many hashes over the distinct k-letter
-    substrings. Each anchor is the code word that agrees with it on one block of ``rows`` coordinates and is blank
-    elsewhere. The word has two bits of each of the first 32 coordinates; it estimates a similarity and decides nothing.
+    A fingerprint has ``bands * rows`` coordinates, the minima of as many hashes over the distinct k-letter substrings. A
+    band is a block of ``rows`` of them, and its key a hash of their values.
     """
     counts = np.maximum(lengths - k + 1, 0)
     which = np.flatnonzero(counts)
     starts = np.concatenate(([0], np.cumsum(lengths)[:-1]))[which] if len(lengths) else np.zeros(0, np.int64)
     counts = counts[which]
-    keys, words = np.empty((len(which), anchors), np.uint64), np.zeros(len(which), np.uint64)
+    keys = np.empty((len(which), bands), np.uint64)
     rng = np.random.default_rng(11)
-    factors = rng.integers(0, 2**31, anchors * rows, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+    factors = rng.integers(0, 2**31, bands * rows, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+    for at, end, own, begin in _some(codes, starts, counts, k):
+        for a in range(bands):
+            key = np.full(end - at, a + 1, np.uint64)
+            for c in range(a * rows, (a + 1) * rows):
+                key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + np.minimum.reduceat(own * factors[c], begin))
+            keys[at:end, a] = key
+    return which, keys
+
+
+def _some(codes: np.ndarray, starts: np.ndarray, counts: np.ndarray, k: int):
+    """(first row, end, hashes of the substrings, where each row's begin) of some rows at a time."""
     cut = np.searchsorted(np.cumsum(counts), np.arange(_CHUNK, int(counts.sum()) + _CHUNK, _CHUNK), "left") + 1
     at = 0
-    for end in np.unique(np.minimum(cut, len(which))):
+    for end in np.unique(np.minimum(cut, len(starts))).tolist():
         if end == at:
             continue
         low, high = int(starts[at]), int(starts[end - 1] + counts[end - 1] + k - 1)
         hashes = (window_hashes(codes[low:high], k, 3) >> np.uint64(32)).astype(np.uint32)
         own = hashes[spread(starts[at:end] - low, counts[at:end])]
-        begin = np.concatenate(([0], np.cumsum(counts[at:end])[:-1]))
-        for a in range(anchors):
-            key = np.full(end - at, a + 1, np.uint64)
-            for c in range(a * rows, (a + 1) * rows):
-                least = np.minimum.reduceat(own * factors[c], begin)
-                key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + least)
-                if c < 32:
-                    words[at:end] |= ((least * np.uint32(0x9E3779B1)) >> np.uint32(30)).astype(np.uint64) << np.uint64(2 * c)
-            keys[at:end, a] = key
-        at = int(end)
-    return which, keys, words
+        yield at, end, own, np.concatenate(([0], np.cumsum(counts[at:end])[:-1]))
+        at = end
 
 
-def agreements_needed(coordinates: int, similarity: float, miss: float = MISS) -> int:
-    """In how many of a word's coordinates two texts of that similarity agree, but for a chance of ``miss``: each agrees
-    if the minima are equal, and for one in four of the others."""
-    p, below = similarity + (1 - similarity) / 4, 0.0
-    for t in range(coordinates + 1):
-        below += comb(coordinates, t) * p**t * (1 - p) ** (coordinates - t)
-        if below > miss:
-            return t
-    return coordinates
+def signatures(codes: np.ndarray, lengths: np.ndarray, k: int, words: int = WORDS) -> np.ndarray:
+    """A bitmap of each row's k-letter substrings, 64 * ``words`` bits: each substring sets the bit that its hash names.
 
-
-def agreements(x: np.ndarray, y: np.ndarray, coordinates: int) -> np.ndarray:
-    """In how many coordinates words agree."""
-    differ = x ^ y
-    return coordinates - np.bitwise_count((differ | differ >> np.uint64(1)) & np.uint64(_SIGN)).astype(np.int64)
+    A bit that one row has and another has not is a substring that they don't share, so bitmaps bound what two rows can
+    have in common, and never from below.
+    """
+    counts = np.maximum(lengths - k + 1, 0)
+    starts = np.concatenate(([0], np.cumsum(lengths)[:-1])) if len(lengths) else np.zeros(0, np.int64)
+    out = np.zeros((len(lengths), words), np.uint64)
+    full = np.flatnonzero(counts)
+    for at, end, own, begin in _some(codes, starts[full], counts[full], k):
+        bit = (own * np.uint32(0x9E3779B1)) % np.uint32(64 * words)
+        row = np.repeat(full[at:end], np.diff(np.append(begin, len(own))))
+        np.bitwise_or.at(out, (row, bit >> np.uint32(6)), np.uint64(1) << (bit & np.uint32(63)).astype(np.uint64))
+    return out
 
 
 def distinct_texts(df: DataFrame, id_col: str, sequence: str, k: int) -> DataFrame:
@@ -84,23 +85,25 @@ def distinct_texts(df: DataFrame, id_col: str, sequence: str, k: int) -> DataFra
     return rows.filter(F.length("s") >= k).groupBy("s").agg(F.min("idx").alias("idx")).select("idx", "s")
 
 
-def candidate_pairs(texts: DataFrame, k: int, anchors: int, rows: int) -> DataFrame:
-    """(idx_a, idx_b), idx_a < idx_b, with repeats: the texts that share an anchor, all of them.
+def candidate_pairs(texts: DataFrame, k: int, bands: int, rows: int, threshold: tuple[int, int], hot: int = HOT) -> DataFrame:
+    """(idx_a, idx_b), idx_a < idx_b: the texts that share a band key and may reach the threshold.
 
-    Each text goes to all its anchors. The rows are sorted by anchor, and a Python task pairs them up in a sorted
-    stream, without a list of any whole anchor: rows that wait for partners are two integers each.
+    Each text goes to the keys of all its bands. The rows are sorted by key, and a Python task pairs them up in a sorted
+    stream: rows that wait for partners are two integers each. A key of more than ``hot`` texts only passes through that
+    task, and is compared in blocks, see ``_hot_pairs``.
     """
     bound_arrow_batches(texts.sparkSession)
 
     def anchor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             codes, lengths = joined(batch["s"])
-            which, keys, _ = fingerprints(codes, lengths, k, anchors, rows)
-            ids = np.repeat(batch["idx"].to_numpy()[which], anchors)
+            which, keys = fingerprints(codes, lengths, k, bands, rows)
+            ids = np.repeat(batch["idx"].to_numpy()[which], bands)
             yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), pa.array(ids)], ["a", "idx"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = [np.zeros(0, np.int64)] * 2
+        names = ["a", "idx_a", "idx_b"]
+        rest, over = [np.zeros(0, np.int64)] * 2, False  # rows of the last key; whether it is hot and they were passed on
         for batch in batches:
             waiting = len(rest[0])
             a, ids = (np.concatenate((r, batch[c].to_numpy())) for r, c in zip(rest, ("a", "idx")))
@@ -108,20 +111,103 @@ def candidate_pairs(texts: DataFrame, k: int, anchors: int, rows: int) -> DataFr
                 continue
             first = np.concatenate(([0], np.flatnonzero(a[1:] != a[:-1]) + 1))
             size = np.diff(np.concatenate((first, [len(a)])))
+            large = size > hot
+            large[0] |= over and waiting > 0
+            passed = np.repeat(large, size)
+            if over:
+                passed[:waiting] = False
+            some = np.flatnonzero(passed)
+            if len(some):
+                yield pa.RecordBatch.from_arrays([pa.array(a[some]), pa.array(ids[some]), pa.nulls(len(some), pa.int64())], names)
             place = np.arange(len(a)) - np.repeat(first, size)
-            # Every new row with all rows of its anchor before it; those of earlier batches wait in `rest`.
-            left = np.flatnonzero((np.arange(len(a)) >= waiting) & (place > 0))
+            # Every new row with all rows of its key before it; those of earlier batches wait in `rest`.
+            left = np.flatnonzero((np.arange(len(a)) >= waiting) & (place > 0) & ~np.repeat(large, size))
             for part in _parts(left, place[left]):
                 partner, own = spread(part - place[part], place[part]), np.repeat(part, place[part])
                 x, y = ids[own], ids[partner]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["idx_a", "idx_b"]
-                )
-            rest = [x[first[-1] :] for x in (a, ids)]
+                pair = [pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))]
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(x), pa.int64()), *pair], names)
+            over = bool(large[-1])
+            keep = len(a) - 1 if over else first[-1]  # of a hot key one row tells that it goes on
+            rest = [x[keep:] for x in (a, ids)]
 
     keyed = texts.mapInArrow(anchor, "a long, idx long")
     parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return keyed.repartition(parts, "a").sortWithinPartitions("a").mapInArrow(compare, "idx_a long, idx_b long")
+    out = keyed.repartition(parts, "a").sortWithinPartitions("a").mapInArrow(compare, "a long, idx_a long, idx_b long")
+    found = stage(out.distinct(), "near-pairs")
+    pairs, large = found.filter("a is null").select("idx_a", "idx_b"), found.filter("a is not null")
+    if large.isEmpty():
+        return pairs
+    return stage(pairs.union(_hot_pairs(large.select("a", F.col("idx_a").alias("idx")), texts, k, threshold, hot)).distinct(), "near-pairs")
+
+
+def _hot_pairs(large: DataFrame, texts: DataFrame, k: int, threshold: tuple[int, int], hot: int) -> DataFrame:
+    """(idx_a, idx_b), with repeats: the pairs of texts of hot keys that may reach the threshold.
+
+    A hot key's texts are cut into blocks of about ``hot`` by a hash of their ids, and each two blocks meet in a cell of
+    their own, so no task has more than two blocks in memory and the work of the hottest key is spread evenly. Within a
+    cell texts are held against each other by their signatures and numbers of substrings, which bound a similarity from
+    above: what doesn't reach the threshold by that bound can't reach it, and nothing else is left out.
+    """
+    one, other = threshold
+    names = [f"w{i}" for i in range(WORDS)]
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            codes, lengths = joined(batch["s"])
+            words = signatures(codes, lengths, k).view(np.int64)
+            grams = np.concatenate([_sizes(batch["s"].slice(i, 1 << 13), k) for i in range(0, len(batch), 1 << 13)])
+            yield pa.RecordBatch.from_arrays(
+                [batch["idx"], pa.array(grams, pa.int64()), *[pa.array(words[:, i]) for i in range(WORDS)]], ["idx", "n", *names]
+            )
+
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, parts = None, []
+        for batch in batches:
+            edge = [0, *(np.flatnonzero(np.diff(batch["cell"].to_numpy())) + 1).tolist(), len(batch)]
+            for low, high in zip(edge, edge[1:]):
+                if low == high:
+                    continue
+                cell = batch["cell"][low].as_py()
+                if cell != last and parts:
+                    yield from _cell(pa.Table.from_batches(parts), names, one, other)
+                    parts = []
+                last = cell
+                parts.append(batch.slice(low, high - low))
+        if parts:
+            yield from _cell(pa.Table.from_batches(parts), names, one, other)
+
+    sizes = stage(large.groupBy("a").agg(F.count(F.lit(1)).alias("size")), "near-hot")
+    signed = stage(texts.join(large.select("idx").distinct(), "idx", "left_semi").mapInArrow(sign, f"idx long, n long, {', '.join(f'{w} long' for w in names)}"), "near-signed")
+    blocks = F.ceil(F.col("size") / hot)
+    rows = join_groups(large, sizes, ["a"], "size", large.count()).join(signed, "idx")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("idx"), blocks)).withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    cell = F.xxhash64("a", F.least("block", "with"), F.greatest("block", "with"))
+    rows = rows.select(cell.alias("cell"), "a", "block", "with", "idx", "n", *names)
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, "cell").sortWithinPartitions("cell").mapInArrow(cells, "idx_a long, idx_b long")
+
+
+def _cell(rows: pa.Table, names: list[str], one: int, other: int) -> Iterator[pa.RecordBatch]:
+    """The pairs of a cell that may reach the threshold: within a block, or between two."""
+    ids, n, block, other_block = (rows[c].to_numpy() for c in ("idx", "n", "block", "with"))
+    words = np.stack([rows[w].to_numpy() for w in names], axis=1).view(np.uint64)
+    own = block == other_block
+    inner = own.all()
+    left = np.arange(len(ids)) if inner else np.flatnonzero(block < other_block)
+    right = left if inner else np.flatnonzero(block > other_block)
+    for i, x in enumerate(left.tolist()):
+        y = right[i + 1 :] if inner else right
+        only_x, only_y = (np.bitwise_count(m).sum(axis=1, dtype=np.int64) for m in (words[x] & ~words[y], words[y] & ~words[x]))
+        common = np.minimum(n[x] - only_x, n[y] - only_y)
+        y = y[(common * other >= (n[x] + n[y] - common) * one) & (ids[y] != ids[x])]
+        if len(y):
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[x], ids[y])), pa.array(np.maximum(ids[x], ids[y]))], ["idx_a", "idx_b"])
+
+
+def _sizes(column: pa.Array, k: int) -> np.ndarray:
+    """How many distinct k-letter substrings each row has."""
+    return np.bincount((_grams(column, k) >> np.uint64(5 * k)).astype(np.int64), minlength=len(column))
 
 
 def _parts(rows: np.ndarray, weights: np.ndarray, most: int = 1 << 20) -> list[np.ndarray]:
@@ -178,31 +264,31 @@ def similar_pairs(
     sequence: str = "sequence",
     k: int = 10,
     threshold: tuple[int, int] = (1, 2),
-    anchors: int = ANCHORS,
+    bands: int = BANDS,
     rows: int = ROWS,
 ) -> DataFrame:
     """(idx_a, idx_b, common, total), idx_a < idx_b: the pairs of distinct texts whose sets of k-letter substrings have
     an intersection (common) of at least ``threshold`` (numerator, denominator) of their union (total).
 
-    MinHash banding in place of anchor-point covering, whose guarantee it does not give: a text goes to the keys of its
-    own bands only, not to every anchor within covering radius plus threshold. Fingerprints are words of anchors * rows min-hash coordinates over a large alphabet; the
-    code words are those with one block of ``rows`` coordinates filled in and blanks elsewhere, so each fingerprint
-    lies within the covering radius, (anchors - 1) * rows, of exactly ``anchors`` code words and is replicated to all of
-    them. Two fingerprints that differ in fewer than ``anchors`` coordinates share an anchor for certain, others with a
-    probability of 1 - (1 - J**rows)**anchors: 0.99 at J = 0.5, 0.999 at 0.6, for the default 16 blocks of 2. Every pair
-    that shares an anchor is verified by its exact sets, so no row is wrong and none is lost after the anchors.
+    MinHash banding. It stands in place of anchor-point covering, whose guarantee it does not give: no covering code over
+    min-hash fingerprints was found that reaches a similarity of 0.5 at a bearable number of copies (see the README). A
+    text goes to the keys of its ``bands`` bands of ``rows`` min-hashes, and two texts share one with a probability of
+    1 - (1 - J**rows)**bands: 0.99 at J = 0.5, 0.999 at 0.6, for the default 16 bands of 2. Every pair that shares a key
+    is verified by its exact sets, so no row is wrong and none is lost after the bands. In keys of many texts (a third of
+    all may share an adapter) pairs are first held against an upper bound of their similarity, which loses none.
 
     Only the record with the smallest id of each group with equal letters takes part; nulls and texts of fewer than k
     letters have no pairs. k may be at most 12. Repeated rows make no difference, an empty table gives no rows, other
-    columns are not read. Copies never meet in an anchor; a group of texts that are all similar gives all its pairs, as
+    columns are not read. Copies never meet at a key; a group of texts that are all similar gives all its pairs, as
     they are the result.
     """
     if not 1 <= k <= 12:
         raise ValueError("k must be from 1 to 12")
     texts = stage(distinct_texts(df, id_col, sequence, k), "near-texts")
     one, other = threshold
-    pairs = stage(candidate_pairs(texts, k, anchors, rows).distinct(), "near-pairs")
-    # The texts of a pair come together by two joins on unique ids, in which only texts of candidates survive.
+    pairs = candidate_pairs(texts, k, bands, rows, threshold)
+    # The texts of a pair come together by two joins on unique ids, in which only texts of candidates survive. A hub's
+    # pairs are many short rows of one key; adaptive execution splits such a partition.
     a = texts.select(F.col("idx").alias("idx_a"), F.col("s").alias("sa"))
     b = texts.select(F.col("idx").alias("idx_b"), F.col("s").alias("sb"))
     scored = pairs.join(a, "idx_a").join(b, "idx_b").select("idx_a", "idx_b", "sa", "sb")
@@ -215,22 +301,26 @@ def classes(pairs: DataFrame, texts: DataFrame, rounds: int = 50) -> DataFrame:
     number of its own pairs; a text without a pair is its own class.
 
     Alternating large-star and small-star steps (Kiveris and others, Connected Components in MapReduce and Beyond,
-    2014) on tables in the shared folder; nothing is collected, and a hub's links are never listed in one place.
+    2014) on tables in the shared folder; nothing is collected, and a hub's links never meet in one task (see
+    ``join_groups``).
     """
-    spark = pairs.sparkSession
     both = pairs.select(F.col("idx_a").alias("u"), F.col("idx_b").alias("v")).union(pairs.select("idx_b", "idx_a"))
     links = both.groupBy("u").agg(F.count(F.lit(1)).alias("n_links"))
     edges = stage(pairs.select(F.col("idx_b").alias("u"), F.col("idx_a").alias("v")).distinct(), "edges")
     before = None
+    lowest = lambda df: df.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+    mark = F.sum(F.shiftrightunsigned(F.xxhash64("u", "v"), 40))  # 24 bits, so that no number of edges overflows
+    count = edges.count()
     for _ in range(rounds):
         both = edges.union(edges.select("v", "u"))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        down = large.filter("u != v").distinct()
-        low = down.groupBy("u").agg(F.min("v").alias("m"))
-        small = down.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", "m"))
-        edges = stage(small.filter("u != v").distinct(), "edges")
-        now = edges.agg(F.count(F.lit(1)), F.sum("u"), F.sum("v")).first()
+        low = lowest(both).withColumn("m", F.least("m", "u"))
+        large = join_groups(both, low, ["u"], "n", 2 * count).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        down = stage(large.filter("u != v").distinct(), "down")
+        low = lowest(down)
+        small = join_groups(down, low, ["u"], "n", down.count()).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        edges = stage(small.union(low.select("u", "m")).filter("u != v").distinct(), "edges")
+        now = edges.agg(F.count(F.lit(1)), mark).first()
+        count = now[0]
         if now == before:
             break
         before = now

@@ -220,36 +220,44 @@ class TestNearDuplicates:
         two = neardup.fingerprints(codes, lengths, 10, 4, 2)
         assert all((x == y).all() for x, y in zip(one, two))
 
-    def test_words_agree_as_often_as_sets_overlap(self):
+    def test_keys_agree_as_often_as_sets_overlap(self):
         rng = np.random.default_rng(3)
         base = rng.choice(np.frombuffer(b"ACGT", np.uint8), 3000)
-        codes = np.concatenate((base, base[1000:], base[:1000], rng.choice(np.frombuffer(b"ACGT", np.uint8), 2000)))
-        _, _, words = neardup.fingerprints(codes, np.array([3000, 3000, 2000]), 10, 16, 2)
-        near, far = neardup.agreements(words[[0, 0]], words[[1, 2]], 32)
-        assert near >= 28 and far <= 20
-
-    def test_needed_agreements_leave_the_chance_asked_for(self):
-        draws = np.random.default_rng(5).binomial(32, 0.5 + 0.5 / 4, 400_000)
-        needed = neardup.agreements_needed(32, 0.5, 0.01)
-        assert (draws < needed).mean() <= 0.0105 and (draws <= needed).mean() > 0.0095
-        assert neardup.agreements_needed(32, 1.0) == 32
-
-    def test_pairs_whose_words_disagree_are_compared_too(self, spark):
-        rng, n = np.random.default_rng(9), 20000
-        own = rng.choice(np.frombuffer(b"ACGT", np.uint8), (2, n, 309))
-        own[1, :, :209] = own[0, :, :209]  # 200 of 300 substrings in common: a similarity of 0.5, but for chance repeats
-        _, keys, words = neardup.fingerprints(own.reshape(-1), np.full(2 * n, 309), 10, 16, 2)
-        far = neardup.agreements(words[:n], words[n:], 32) < neardup.agreements_needed(32, 0.5)
-        grams = lambda t: {t[i : i + 10] for i in range(300)}
-        expected, rows = set(), []
-        for i in np.flatnonzero(far & (keys[:n] == keys[n:]).any(axis=1)):
-            one, two = (own[side, i].tobytes().decode() for side in (0, 1))
-            if 2 * len(grams(one) & grams(two)) >= len(grams(one) | grams(two)):
-                expected.add((len(rows), len(rows) + 1))
-                rows += [(len(rows), one), (len(rows) + 1, two)]
-        assert expected
-        out = neardup.similar_pairs(spark.createDataFrame(rows, "idx long, sequence string"))
-        assert {(r.idx_a, r.idx_b) for r in out.collect()} == expected
+        other = np.concatenate((base[:1500], rng.choice(np.frombuffer(b"ACGT", np.uint8), 1500)))
+        _, keys = neardup.fingerprints(np.concatenate((base, other)), np.array([3000, 3000]), 10, 600, 1)
+        grams = [{t[i : i + 10].tobytes() for i in range(len(t) - 9)} for t in (base, other)]
+        assert abs((keys[0] == keys[1]).mean() - len(grams[0] & grams[1]) / len(grams[0] | grams[1])) < 0.06
+
+    def test_signatures_bound_what_is_shared(self):
+        rng = np.random.default_rng(9)
+        texts = ["".join(rng.choice(list("ACGT"), rng.integers(5, 400))) for _ in range(60)]
+        texts += [t[: len(t) // 2] + texts[0] for t in texts]
+        codes, lengths = np.frombuffer("".join(texts).encode(), np.uint8), np.array([len(t) for t in texts])
+        words, sizes = neardup.signatures(codes, lengths, 10), neardup._sizes(pa.array(texts), 10)
+        sets = [{t[i : i + 10] for i in range(len(t) - 9)} for t in texts]
+        assert sizes.tolist() == [len(s) for s in sets]
+        for x, a in zip(words, sets):
+            for y, b in zip(words, sets):
+                assert len(a & b) <= len(a) - int(np.bitwise_count(x & ~y).sum())
+
+    def test_hot_keys_lose_no_pair(self, spark, monkeypatch):
+        """An adapter in a third of the reads, which alone makes no two of them similar."""
+        rng = np.random.default_rng(2)
+        dna = lambda n: "".join(rng.choice(list("ACGT"), n))
+        adapter, rows = dna(40), []
+        for i in range(900):
+            rows.append(((adapter if i % 3 == 0 else dna(40)) + dna(60)))
+        for i in range(0, 90, 3):
+            rows.append(rows[i][:50] + "A" + rows[i][51:])
+        rows = list(enumerate(rows))
+        table = spark.createDataFrame(rows, SEQ)
+        plain = {tuple(r) for r in neardup.similar_pairs(table).collect()}
+        monkeypatch.setattr(neardup.candidate_pairs, "__defaults__", (12,))
+        assert {tuple(r) for r in neardup.similar_pairs(table).collect()} == plain and len(plain) >= 20
+        # Hardly any pair that has no more in common than the adapter leaves its cell.
+        texts = neardup.distinct_texts(table, "idx", "sequence", 10)
+        hot = neardup.candidate_pairs(texts, 10, 16, 2, (1, 2), 12).count()
+        assert hot < neardup.candidate_pairs(texts, 10, 16, 2, (1, 2), 10**6).count() / 4
 
     def test_classes(self, spark):
         links = [(1, 2), (2, 3), (3, 4), (4, 5), (7, 8), (10, 11), (10, 12), (10, 13)]
@@ -260,6 +268,13 @@ class TestNearDuplicates:
         assert [got[i][0] for i in (1, 2, 3, 4, 5, 7, 8, 10, 11, 12, 13)] == [1] * 5 + [7] * 2 + [10] * 4
         assert got[10][1] == 3 and got[3][1] == 2 and got[0] == (0, 0)
 
+    def test_large_ids_and_hubs(self, spark):
+        low = 5 * 10**18
+        pairs = spark.range(1, 3000).select(F.lit(low).alias("idx_a"), (F.col("id") + low).alias("idx_b"))
+        texts = spark.range(3001).select((F.col("id") + low).alias("idx"))
+        got = {r.idx: (r.class_id, r.n_links) for r in neardup.classes(pairs, texts).collect()}
+        assert got[low] == (low, 2999) and got[low + 7] == (low, 1) and got[low + 3000] == (low + 3000, 0)
+
     def test_every_record_has_a_class(self, spark, tmp_path):
         rng = random.Random(6)
         text = lambda n: "".join(rng.choice("ACGT") for _ in range(n))
