@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -14,22 +14,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandline.llm.letters import mixed, spread
-from strandline.runtime import bound_arrow_batches
+from strandline.runtime import bound_arrow_batches, small, stage
 
 #: A maximal run of Unicode letters or digits.
 WORD = re.compile(r"[^\W_]+")
 
-#: Characters of items that one pass over the documents searches for; more items take more passes.
-ITEM_BLOCK = 16 << 20
-
 #: Upper limits of the size classes of document blocks, in shingles.
 SIZES = (9, 12, 16, 24)
 
 #: Chance that the search misses a passage that a document holds in full.
 MISS = 1e-6
 
+#: Bits of a filter for each of its keys, places of a key among them, and the most bits it may have (16 MB).
+KEY_BITS, PLACES, MOST_BITS = 32, 4, 27
+
 _MULT = 0x9E3779B97F4A7C15
 
+#: Numbers that take the place of a min-hash's in the keys of shingles of poor passages, and of whole runs of words.
+_POOR, _RUN = 1 << 20, 1 << 21
+
+#: Rows of passages and documents that are joined once as a broadcast: some 25 MB.
+_BROADCAST = 200_000
+
 
 class Words(dict):
     """64-bit hashes of words in lower case, by the word as it stands; forgets all when it has grown large."""
@@ -68,94 +74,125 @@ def permutations_for(size: int, passage: int, miss: float = MISS) -> int:
     return 1 if share == 1 else math.ceil(math.log(miss) / math.log(1 - share))
 
 
-@dataclass
-class ItemIndex:
-    """Search structure over the passages of a block of items; it is small and travels to the tasks as it is."""
+@dataclass(frozen=True)
+class Search:
+    """What to search for: runs of ``words`` words, as sets of shingles of ``shingle`` words."""
 
     words: int
     shingle: int
     sizes: tuple[int, ...]
     miss: float
-    factors: np.ndarray = field(default=None)
-    minima: list[np.ndarray] = field(default_factory=list)
-    rare: np.ndarray = field(default=None)
-    grams: np.ndarray = field(default=None)
-    gram_items: np.ndarray = field(default=None)
-    gram_words: np.ndarray = field(default=None)
-
-    def build(self, items: list[tuple[int, str]]) -> ItemIndex:
-        """Index each run of ``words`` words of each item: its min-hashes, and the run itself for verification."""
-        passage, known = self.passage, Words()
-        most = max(permutations_for(s, passage, self.miss) for s in self.sizes)
-        rng = np.random.default_rng(29)
-        self.factors = rng.integers(0, 2**31, most, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
-        mins, rare, grams, owner, runs = [], [], [], [], []
-        for item, text in items:
-            w = word_hashes(text, known)
-            if len(w) < self.words:
-                continue
-            x = _short(shingle_hashes(w, self.shingle))
-            windows = np.lib.stride_tricks.sliding_window_view(x, passage)
-            mins.append(np.stack([(windows * f).min(axis=1) for f in self.factors]))
-            s = np.sort(windows, axis=1)
-            poor = ((s[:, 1:] == s[:, :-1]).any(axis=1)) if passage > 1 else np.zeros(len(s), bool)
-            rare.append(windows[poor].reshape(-1))
-            grams.append(shingle_hashes(w, self.words))
-            owner.append(np.full(len(grams[-1]), item))
-            runs.append(np.lib.stride_tricks.sliding_window_view(w, self.words))
-        none = np.zeros(0, np.uint32)
-        self.minima = [np.unique(m) for m in np.concatenate(mins, axis=1)] if mins else [none] * most
-        # Passages that repeat a shingle have fewer to share than the search allows for: any of theirs makes a candidate.
-        self.rare = np.unique(np.concatenate(rare)) if rare else none
-        g = np.concatenate(grams) if grams else np.zeros(0, np.uint64)
-        order = np.argsort(g, kind="stable")
-        self.grams = g[order]
-        self.gram_items = np.concatenate(owner)[order] if owner else np.zeros(0, np.int64)
-        self.gram_words = np.concatenate(runs)[order] if runs else np.zeros((0, self.words), np.uint64)
-        return self
 
     @property
     def passage(self) -> int:
         """Shingles in a passage."""
         return self.words - self.shingle + 1
 
+    @property
+    def factors(self) -> np.ndarray:
+        """A factor for each min-hash; larger blocks use more of them."""
+        most = max(permutations_for(s, self.passage, self.miss) for s in self.sizes)
+        return np.random.default_rng(29).integers(0, 2**31, most, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+
 
 def _short(x: np.ndarray) -> np.ndarray:
     return (x >> np.uint64(32)).astype(np.uint32)
 
 
-def _member(values: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """Which values are in a sorted table."""
-    if not len(table) or not len(values):
-        return np.zeros(len(values), bool)
-    return table[np.minimum(np.searchsorted(table, values), len(table) - 1)] == values
+def _key(number: int, values: np.ndarray) -> np.ndarray:
+    """The filter key of the values of a min-hash."""
+    return mixed(values.astype(np.uint64) * np.uint64(_MULT) + np.uint64((number + 1) * 0xD1B54A32D192ED03 % 2**64))
+
 
+def _places(key: np.ndarray, bits: int) -> Iterator[np.ndarray]:
+    low, high = key & np.uint64(2**31 - 1), key >> np.uint64(33) | np.uint64(1)
+    for i in range(PLACES):
+        yield (low + np.uint64(i) * high) & np.uint64(2**bits - 1)
 
-class _Filter:
-    """A bit for each value of a table, to answer most look-ups without a search."""
 
-    def __init__(self, table: np.ndarray, bits: int = 22):
-        self.shift = np.uint32(32 - bits)
-        self.table, self.set = table, np.zeros(1 << bits, bool)
-        self.set[self._place(table)] = True
+class Filter:
+    """A set of keys of which a look-up may say yes by chance, but never no: one bit for each of several places of a key.
 
-    def _place(self, values: np.ndarray) -> np.ndarray:
-        return (values * np.uint32(0x9E3779B1)) >> self.shift
+    It is put together in the cluster, 4 KB at a time, and its size is bounded whatever the number of keys; beyond
+    2 ** MOST_BITS / KEY_BITS of them more look-ups say yes, and the join that follows sorts them out.
+    """
 
-    def __call__(self, values: np.ndarray) -> np.ndarray:
-        out = self.set[self._place(values)]
-        some = np.flatnonzero(out)
-        out[some] = _member(values[some], self.table)
+    def __init__(self, bits: int, parts: list[tuple[int, bytes]]):
+        self.bits, whole = bits, np.zeros(max(4096, 2**bits // 8), np.uint8)
+        for number, part in parts:
+            whole[number * 4096 : (number + 1) * 4096] = np.frombuffer(part, np.uint8)
+        self.set = whole
+
+    @classmethod
+    def of(cls, keys: DataFrame) -> Filter:
+        """The filter of a column ``key`` of distinct keys."""
+        bits = min(MOST_BITS, max(15, (keys.count() * KEY_BITS).bit_length()))
+        low, high = F.col("key").bitwiseAND(F.lit(2**31 - 1)), F.shiftrightunsigned("key", 33).bitwiseOR(F.lit(1).cast("long"))
+        places = [(low + high * F.lit(i)).bitwiseAND(F.lit(2**bits - 1)) for i in range(PLACES)]
+        at = keys.select(F.explode(F.array(*places)).alias("at"))
+        # These functions count places from 1.
+        parts = at.groupBy((F.bitmap_bucket_number(F.col("at") + 1) - 1).alias("number")).agg(
+            F.bitmap_construct_agg(F.bitmap_bit_position(F.col("at") + 1)).alias("part")
+        )
+        return cls(bits, [(r.number, bytes(r.part)) for r in parts.collect()])  # at most 4,096 rows
+
+    def __call__(self, key: np.ndarray) -> np.ndarray:
+        out, some = np.zeros(len(key), bool), np.arange(len(key))
+        for place in _places(key, self.bits):
+            at = place[some]
+            some = some[(self.set[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & np.uint8(1)).astype(bool)]
+        out[some] = True
         return out
 
 
-def candidate_blocks(x: np.ndarray, lengths: np.ndarray, index: ItemIndex, filters: list[_Filter], rare: _Filter):
+def item_keys(items: DataFrame, search: Search) -> DataFrame:
+    """(key): the filter keys of the passages of items (i, t): their min-hashes, and their runs of words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, factors, passage = Words(), search.factors, search.passage
+        for batch in batches:
+            for text in batch["t"].to_pylist():
+                w = word_hashes(text, known)
+                if len(w) < search.words:
+                    continue
+                windows = np.lib.stride_tricks.sliding_window_view(_short(shingle_hashes(w, search.shingle)), passage)
+                keys = [_key(j, (windows * f).min(axis=1)) for j, f in enumerate(factors)]
+                # Passages that repeat a shingle have fewer to share than the search allows for: any of theirs makes a candidate.
+                s = np.sort(windows, axis=1)
+                poor = (s[:, 1:] == s[:, :-1]).any(axis=1) if passage > 1 else np.zeros(len(s), bool)
+                keys += [_key(_POOR, windows[poor].reshape(-1)), _key(_RUN, shingle_hashes(w, search.words))]
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(keys)).view(np.int64))], ["key"])
+
+    return items.select("t").mapInArrow(run, "key long").distinct()
+
+
+def item_runs(items: DataFrame, search: Search) -> DataFrame:
+    """(run, item_id): each run of words of items (i, t), as the bytes of the hashes of its words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Words()
+        for batch in batches:
+            for item, text in zip(batch["i"].to_pylist(), batch["t"].to_pylist()):
+                w = word_hashes(text, known)
+                if len(w) >= search.words:
+                    runs = _run_bytes(w, np.arange(len(w) - search.words + 1), search.words)
+                    yield pa.RecordBatch.from_arrays([runs, pa.array(np.full(len(runs), item))], ["run", "item_id"])
+
+    return items.select("i", "t").mapInArrow(run, "run binary, item_id long").distinct()
+
+
+def _run_bytes(words: np.ndarray, at: np.ndarray, width: int) -> pa.Array:
+    view = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(words, width)[at])
+    return pa.Array.from_buffers(pa.binary(8 * width), len(at), [None, pa.py_buffer(view)]).cast(pa.binary())
+
+
+def candidate_blocks(x: np.ndarray, lengths: np.ndarray, search: Search, held: Filter):
     """(start, size) in shingles of the blocks that may hold a passage, for documents of ``lengths`` shingles end to end.
 
     Each document is cut into blocks that overlap by a passage less one shingle, so that every passage lies in one block
     whole. Blocks are partitioned by size, and each size class looks up as many min-hashes as it needs.
     """
-    passage, most = index.passage, index.sizes[-1]
+    passage, most = search.passage, search.sizes[-1]
     step = most - passage + 1
     starts = np.concatenate(([0], np.cumsum(lengths)[:-1])) if len(lengths) else np.zeros(0, np.int64)
     able = lengths >= passage
@@ -167,20 +204,20 @@ def candidate_blocks(x: np.ndarray, lengths: np.ndarray, index: ItemIndex, filte
     hit = np.zeros(len(begin), bool)
     if not len(begin):
         return begin, size
-    low = 0
-    for high in index.sizes:
+    poor = held(_key(_POOR, x))
+    low, factors = 0, search.factors
+    for high in search.sizes:
         rows = np.flatnonzero((size > low) & (size <= high)) if low else np.flatnonzero(size <= high)
         low = high
         for part in np.array_split(rows, 1 + len(rows) * high // (1 << 20)):
             if not len(part):
                 continue
-            own = x[spread(begin[part], size[part])]
+            own = spread(begin[part], size[part])
             edge = np.concatenate(([0], np.cumsum(size[part])[:-1]))
-            found = np.zeros(len(part), bool)
-            for j in range(permutations_for(high, passage, index.miss)):
-                found |= filters[j](np.minimum.reduceat(own * index.factors[j], edge))
-            if len(index.rare):
-                found |= np.logical_or.reduceat(rare(own), edge)
+            found = np.logical_or.reduceat(poor[own], edge)
+            own = x[own]
+            for j in range(permutations_for(high, passage, search.miss)):
+                found |= held(_key(j, np.minimum.reduceat(own * factors[j], edge)))
             hit[part] = found
     return begin[hit], size[hit]
 
@@ -194,7 +231,6 @@ def leaks(
     words: int = 13,
     shingle: int = 5,
     sizes: tuple[int, ...] = SIZES,
-    item_block: int = ITEM_BLOCK,
     miss: float = MISS,
 ) -> DataFrame:
     """(doc_id, item_id): the documents that hold ``words`` or more consecutive words which stand in the same order,
@@ -202,64 +238,59 @@ def leaks(
 
     Size-partitioned MinHash containment search. The items' passages of ``words`` words, as sets of shingles, are the
     queries; blocks of the documents are the domain, partitioned by size, with as many min-hashes for each size class as
-    containment needs there (see ``permutations_for``). Passages that are found are verified by their exact words, so no
-    pair is wrong; a passage is missed with a probability of ``miss``, and a pair usually shares several.
-
-    The documents are read once for each ``item_block`` characters of items and never shuffled: an item block's index
-    is all that travels, and its size is bounded. Null and blank texts, items of fewer than ``words`` words and empty
-    tables give no rows; repeated rows make no difference; other columns are not read.
+    containment needs there (see ``permutations_for``). The passages' min-hashes become a filter of bounded size, which
+    is all that travels to the documents; these are read once, whatever the number of items. The runs of words of
+    candidate blocks are then joined with those of the items on the hashes of all their words, so no pair is wrong; a
+    passage is missed with a probability of ``miss``, and a pair usually shares several.
+
+    A document sends each run once. The items' runs are broadcast if they were counted to be few, else both sides are
+    shuffled. Null and blank texts, items of fewer than ``words`` words and empty tables give no rows; repeated rows make
+    no difference; other columns are not read.
     """
     if not 0 < shingle <= words or sizes[-1] < words - shingle + 1 or list(sizes) != sorted(sizes):
         raise ValueError("0 < shingle <= words and rising sizes, the last at least a passage, must hold")
     bound_arrow_batches(docs.sparkSession)
+    search = Search(words, shingle, tuple(sizes), miss)
     chosen = items.select(F.col(item_id).cast("long").alias("i"), F.col(text).alias("t")).filter("t is not null and i is not null").distinct()
-    total = chosen.agg(F.sum(F.length("t"))).first()[0] or 0
-    blocks = max(1, -(-total // item_block))
+    held = Filter.of(stage(item_keys(chosen, search), "leak-keys"))
+    runs = stage(item_runs(chosen, search), "leak-runs")
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).filter(F.length("text") >= words)
-    out = None
-    for b in range(blocks):
-        some = chosen if blocks == 1 else chosen.filter(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b)
-        index = ItemIndex(words, shingle, tuple(sizes), miss).build([(r.i, r.t) for r in some.collect()])
-        one = rows.mapInArrow(_searcher(index), "doc_id long, item_id long")
-        out = one if out is None else out.unionByName(one)
-    return out.distinct()
+    found = rows.mapInArrow(_searcher(search, held), "run binary, doc_id long")
+    return found.join(small(runs, _BROADCAST), "run").select("doc_id", "item_id").distinct()
 
 
-def _searcher(index: ItemIndex):
+def _searcher(search: Search, held: Filter):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, filters, rare = Words(), [_Filter(m) for m in index.minima], _Filter(index.rare)
+        known = Words()
         for batch in batches:
             hashes = [word_hashes(t, known) for t in batch["text"].to_pylist()]
             sizes = np.fromiter(map(len, hashes), np.int64, len(hashes))
-            docs, items = search(np.concatenate(hashes) if hashes else np.zeros(0, np.uint64), sizes, index, filters, rare)
-            if len(docs):
-                pairs = np.unique(np.stack((docs, items)), axis=1)
-                ids = pa.array(batch["doc_id"].to_numpy(zero_copy_only=False)[pairs[0]], pa.int64(), from_pandas=True)
-                yield pa.RecordBatch.from_arrays([ids, pa.array(pairs[1])], ["doc_id", "item_id"])
+            words = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
+            doc, first = candidate_runs(words, sizes, search, held)
+            if len(first):
+                ids = pa.array(batch["doc_id"].to_numpy(zero_copy_only=False)[doc], pa.int64(), from_pandas=True)
+                yield pa.RecordBatch.from_arrays([_run_bytes(words, first, search.words), ids], ["run", "doc_id"])
 
     return run
 
 
-def search(words: np.ndarray, sizes: np.ndarray, index: ItemIndex, filters, rare) -> tuple[np.ndarray, np.ndarray]:
-    """(document, item) of each verified passage, for documents given as word hashes end to end."""
-    counts = np.maximum(sizes - index.shingle + 1, 0)
+def candidate_runs(words: np.ndarray, sizes: np.ndarray, search: Search, held: Filter) -> tuple[np.ndarray, np.ndarray]:
+    """(document, first word) of each run of words in a candidate block that the filter holds too, for documents given as
+    word hashes end to end."""
+    counts = np.maximum(sizes - search.shingle + 1, 0)
     word_at = np.concatenate(([0], np.cumsum(sizes)[:-1])) if len(sizes) else np.zeros(0, np.int64)
     every = spread(word_at, counts)  # the word at which each shingle begins
+    none = np.zeros(0, np.int64)
     if not len(every):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    x = _short(shingle_hashes(words, index.shingle))[every]
-    begin, size = candidate_blocks(x, counts, index, filters, rare)
-    # Exact containment: the runs of words of the candidate blocks against those of the items.
-    runs = np.unique(spread(begin, size - index.passage + 1))
+        return none, none
+    begin, size = candidate_blocks(_short(shingle_hashes(words, search.shingle))[every], counts, search, held)
+    runs = np.unique(spread(begin, size - search.passage + 1))
     if not len(runs):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return none, none
     first = every[runs]
-    grams = shingle_hashes(words, index.words)[first]
-    low, high = np.searchsorted(index.grams, grams, "left"), np.searchsorted(index.grams, grams, "right")
-    row = np.repeat(np.arange(len(first)), high - low)
-    entry = spread(low, high - low)
-    view = np.lib.stride_tricks.sliding_window_view(words, index.words)
-    same = (view[first[row]] == index.gram_words[entry]).all(axis=1)
-    doc = np.searchsorted(word_at, first[row[same]], "right") - 1
+    grams = shingle_hashes(words, search.words)[first]
     # Empty documents begin where the next one does; the last of them with words is meant.
-    return doc, index.gram_items[entry[same]]
+    doc = np.searchsorted(word_at, first, "right") - 1
+    some = np.flatnonzero(held(_key(_RUN, grams)))
+    _, once = np.unique(np.stack((doc[some].astype(np.uint64), grams[some])), axis=1, return_index=True)
+    return doc[some[once]], first[some[once]]

@@ -328,14 +328,23 @@ class TestLeaks:
             docs.append((d, rng.choice([" ", ", ", "\n", "_"]).join(t).upper() if d % 3 else " ".join(t)))
         return docs + [(500, None), (501, "  "), (502, "THE_the, the;the " * 10)], items
 
-    @pytest.mark.parametrize("block", [1 << 20, 300])
-    def test_against_brute_force(self, spark, tables, block):
+    @pytest.mark.parametrize("rows,bits", [(200_000, 27), (1, 27), (200_000, 5)])
+    def test_against_brute_force(self, spark, tables, monkeypatch, rows, bits):
+        """With a filter of good size and with one that says yes to everything, by a broadcast and by a shuffle."""
+        monkeypatch.setattr(leaks, "_BROADCAST", rows)
+        monkeypatch.setattr(leaks, "MOST_BITS", bits)
         docs, items = tables
         d = spark.createDataFrame(docs, "doc_id long, text string").withColumn("item_id", F.lit(1))
-        got = leaks.leaks(d, spark.createDataFrame(items, "item_id long, text string"), item_block=block)
+        got = leaks.leaks(d, spark.createDataFrame(items, "item_id long, text string"))
         want = brute_leaks(docs, items, 13)
         assert {tuple(r) for r in got.collect()} == want and len(want) > 30 and (502, 92) in want
 
+    def test_filter_holds_its_keys_and_few_others(self, spark):
+        keys = leaks._key(3, np.arange(20_000))
+        held = leaks.Filter.of(spark.createDataFrame([(int(k),) for k in keys.view(np.int64)], "key long"))
+        assert held(keys).all() and held(leaks._key(4, np.arange(20_000))).mean() < 0.005
+        assert not leaks.Filter.of(spark.createDataFrame([], "key long"))(keys).any()
+
     def test_empty(self, spark, tables):
         docs, items = tables
         d, i = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
