@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from strandline.llm.letters import letters
 from strandline.runtime import join_groups, stage
 
-#: KEY=VALUE attributes of a FASTA header, in any order, parted by blanks or bars.
-ATTRIBUTE = r"([A-Z]+=[^|=]*?)(?=\s*(?:\||\s[A-Z]+=|$))"
+#: Where a KEY=VALUE attribute of a FASTA header begins, and what may part it from the next one.
+ATTRIBUTE, BETWEEN = "([A-Z]+=)", " ;|\t\r\n"
+
+_MARK = "\x01"
 
 
 def squashed(column: Column) -> Column:
@@ -20,9 +22,10 @@ def squashed(column: Column) -> Column:
 
 
 def attributes(header: Column) -> Column:
-    """The attributes of a FASTA header as an array of normalized pairs; null has none."""
-    found = F.regexp_extract_all(F.coalesce(header, F.lit("")), F.lit(ATTRIBUTE), 1)
-    return F.transform(found, lambda x: F.upper(F.trim(x)))
+    """The KEY=VALUE attributes of a FASTA header, in upper case, as an array in their order; blanks, bars or semicolons
+    part them. A null header has none, and what stands before the first isn't one."""
+    parts = F.split(F.regexp_replace(F.coalesce(header, F.lit("")), ATTRIBUTE, f"{_MARK}$1"), _MARK)
+    return F.transform(F.slice(parts, 2, 1 << 20), lambda x: F.upper(F.rtrim(x, F.lit(BETWEEN))))
 
 
 def multiset_hash(pairs: list[Column], salt: int = 0, arrays: list[Column] = ()) -> Column:
@@ -36,8 +39,11 @@ def multiset_hash(pairs: list[Column], salt: int = 0, arrays: list[Column] = ())
     return reduce(lambda a, b: a + b, parts)
 
 
-def duplicate_groups(df: DataFrame, id_col: str, fields: dict[str, Column]) -> tuple[DataFrame, DataFrame, bool]:
-    """(records, groups, exact): the light records and the groups of two or more of them with equal fields.
+def duplicate_groups(
+    df: DataFrame, id_col: str, fields: dict[str, Column], more: tuple[Column, ...] = ()
+) -> tuple[DataFrame, DataFrame, bool]:
+    """(records, groups, exact): the light records, with ``more`` columns, and the groups of two or more of them with equal
+    fields.
 
     Fingerprints are two multiset hashes over (field name, normalized value). The values travel once, to a hash
     aggregation on (fingerprint, values) that compares whole values without sorting and merges copies in the map
@@ -48,7 +54,7 @@ def duplicate_groups(df: DataFrame, id_col: str, fields: dict[str, Column]) -> t
     values = [value.alias(f"v{i}") for i, (_, value) in enumerate(sorted(fields.items()))]
     some = reduce(lambda a, b: a | b, [F.coalesce(v, F.lit("")) != "" for v in fields.values()])
     whole = df.filter(some).select(
-        F.col(id_col).alias("id"), multiset_hash(named, 1).alias("f1"), multiset_hash(named, 2).alias("f2"), *values
+        F.col(id_col).alias("id"), multiset_hash(named, 1).alias("f1"), multiset_hash(named, 2).alias("f2"), *more, *values
     )
     names = [f"v{i}" for i in range(len(values))]
     equal = whole.groupBy("f1", "f2", *names).agg(F.min("id").alias("idx_a"), F.count(F.lit(1)).alias("n"))
@@ -77,18 +83,18 @@ def copies(df: DataFrame, id_col: str, fields: dict[str, Column]) -> DataFrame:
 def collapse(df: DataFrame, id_col: str, fields: dict[str, Column], header: Column | None = None) -> DataFrame:
     """One row for each record: (idx, n_copies, n_headers), idx the smallest id, n_copies the records it stands for.
 
-    n_headers counts the different headers among them by the multiset hash of their attributes, so the order of
-    attributes makes no difference; it is the estimate of an HyperLogLog sketch, exact for small groups. Edge cases as in ``copies``.
+    n_headers counts the different headers among them by multiset hashes of their attributes, 112 bits together, so the
+    order of attributes makes no difference and nothing is estimated. Fingerprints are verified as in ``copies``; after
+    that only fingerprints and header hashes are grouped, first together and then by fingerprint alone. Edge cases as in
+    ``copies``.
     """
-    some = reduce(lambda a, b: a | b, [F.coalesce(v, F.lit("")) != "" for v in fields.values()])
-    names = [f"v{i}" for i in range(len(fields))]
-    kinds = multiset_hash([], 3, [attributes(header)]) if header is not None else F.lit(0)
-    whole = df.filter(some).select(
-        F.col(id_col).alias("id"), kinds.alias("h"), *[v.alias(n) for n, (_, v) in zip(names, sorted(fields.items()))]
-    )
-    return whole.groupBy(*names).agg(
-        F.min("id").alias("idx"), F.count(F.lit(1)).alias("n_copies"), F.approx_count_distinct("h", 0.02).alias("n_headers")
-    ).drop(*names)
+    heads = [multiset_hash([], i, [attributes(header)]) if header is not None else F.lit(0) for i in (3, 4)]
+    more = tuple(h.alias(f"h{i}") for i, h in enumerate(heads))
+    records, groups, exact = duplicate_groups(df, id_col, fields, more)
+    keys = ["f1", "f2"] if exact else [c for c in groups.columns if c not in ("idx_a", "n")]
+    one = records.groupBy(*keys, "h0", "h1").agg(F.min("id").alias("idx"), F.count(F.lit(1)).alias("n"))
+    out = one.groupBy(*keys).agg(F.min("idx").alias("idx"), F.sum("n").alias("n_copies"), F.count(F.lit(1)).alias("n_headers"))
+    return out.select("idx", "n_copies", "n_headers")
 
 
 def sequence_fields(sequence: str = "sequence") -> dict[str, Column]:

@@ -107,7 +107,15 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return formatting.copies(_table(spark, sf_dir, "fasta_reads"), "idx", formatting.sequence_fields())
 
 
-@_query()
+_ATTRIBUTES = (
+    r"list_sort(list_transform(string_split(regexp_replace(coalesce(header, ''), '([A-Z]+=)', chr(1) || '\1', 'g'), chr(1))[2:], "
+    "lambda x: upper(rtrim(x, ' ;|' || chr(9) || chr(10) || chr(13)))))"
+)
+
+
+@_query(
+    f"SELECT min(idx) AS idx, count(*) AS n_copies, count(DISTINCT {_ATTRIBUTES}) AS n_headers FROM fasta_reads WHERE {_LETTERS} <> '' GROUP BY {_LETTERS}"
+)
 def p3_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One record for each distinct letters of fasta_reads, with its number of copies and of different headers."""
     reads = _table(spark, sf_dir, "fasta_reads")

@@ -151,13 +151,23 @@ class TestFormatting:
 
     def test_collapse_counts_copies_and_headers(self, spark):
         df = spark.createDataFrame(
-            [(0, ">A1 OS=x LEN=2", "AC"), (1, ">A1|LEN=2|OS=x", "a c"), (2, ">B OS=y LEN=2", "A-C"), (3, None, "G"), (4, ">", None)],
+            [(0, ">A1 OS=x LEN=2", "AC"), (1, ">A1|LEN=2;OS=x", "a c"), (2, ">B OS=y LEN=2", "A-C"), (3, None, "G"), (4, ">", None)],
             "idx long, header string, sequence string",
         )
         got = formatting.collapse(df, "idx", formatting.sequence_fields(), F.col("header"))
         assert sorted(tuple(r) for r in got.collect()) == [(0, 3, 2), (3, 1, 1)]
         assert formatting.collapse(df.limit(0), "idx", formatting.sequence_fields(), F.col("header")).count() == 0
 
+    def test_attributes(self, spark):
+        heads = [(">A OS=a b;LEN=2 | FN=x y\r",), (">A [no such]",), (None,), (">A FN=",)]
+        got = spark.createDataFrame(heads, "h string").select(formatting.attributes(F.col("h"))).collect()
+        assert [r[0] for r in got] == [["OS=A B", "LEN=2", "FN=X Y"], [], [], ["FN="]]
+
+    def test_collapse_counts_many_headers_exactly(self, spark):
+        df = spark.range(3000).select(F.col("id").alias("idx"), F.format_string(">A N=%d;M=1", F.col("id") % 777).alias("header"), F.lit("ac").alias("sequence"))
+        got = formatting.collapse(df, "idx", formatting.sequence_fields(), F.col("header"))
+        assert [tuple(r) for r in got.collect()] == [(0, 3000, 777)]
+
     def test_several_fields_ignore_their_order(self, spark):
         df = spark.createDataFrame([(0, "a b", "C!"), (1, "AB", "c"), (2, "c", "ab")], "idx long, p string, q string")
         fields = {"p": formatting.squashed(F.col("p")), "q": formatting.squashed(F.col("q"))}
