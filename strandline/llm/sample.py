@@ -88,8 +88,9 @@ def arrived(df: DataFrame, batch: str, most: int = 4) -> list[DataFrame]:
     low, high = df.agg(F.min(batch), F.max(batch)).first()
     if low is None:
         return [df]
-    step, at = -(-(high - low + 1) // most), F.coalesce(F.col(batch), F.lit(low))
-    return [df.filter((at >= a) & (at < a + step)) for a in range(low, high + 1, step)]
+    step, at = -(-(high - low + 1) // most), F.col(batch)
+    pieces = [(at >= a) & (at < a + step) for a in range(low, high + 1, step)]  # as the scan can use them
+    return [df.filter(pieces[0] | at.isNull()), *[df.filter(x) for x in pieces[1:]]]
 
 
 def sample_pieces(pieces: list[DataFrame], k: int, id_cols: list[str], seed: int = 0, delta: float = 1e-4) -> DataFrame:
