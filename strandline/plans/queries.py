@@ -62,12 +62,15 @@ def _states(seed: int) -> str:
 SAMPLE_K, SAMPLE_F, SAMPLE_SEED = 1000, 0.1, 42
 
 
-@_query(
+SAMPLED_SQL = (
     f"{_states(SAMPLE_SEED)}, t AS (SELECT idx, idx AS slot FROM fastq_reads WHERE idx < {SAMPLE_K} UNION ALL SELECT idx, "
     f"CAST(s % (idx + 1) AS BIGINT) FROM fastq_reads JOIN g ON n = idx - {SAMPLE_K - 1} WHERE idx >= {SAMPLE_K}), "
     f"w AS (SELECT slot, max(idx) AS idx FROM t WHERE slot < {SAMPLE_K} GROUP BY slot) "
     "SELECT w.slot, r.idx, header, sequence, quality FROM w JOIN fastq_reads r USING (idx)"
 )
+
+
+@_query(SAMPLED_SQL)
 def sample_count(spark, sf_dir):
     """A seeded reservoir sample of 1,000 reads, with each read's slot."""
     return ops.sample_count(all_fastq(spark, sf_dir), SAMPLE_K, SAMPLE_SEED)
@@ -164,13 +167,14 @@ def _trimmed(name: str, cutoff=None, front=0, tail=0, longest=None, shortest=Non
     _query(_trim_sql(cutoff, front, tail, longest, shortest))(query)
 
 
+TRIM_SQL = _trim_sql(30, 0, 0, None, None)
 _trimmed("trim_quality", cutoff=30)
 _trimmed("trim_fixed", front=5, tail=90)
 _trimmed("trim_max_length", cutoff=20, longest=80)
 _trimmed("trim_then_min_length", cutoff=32, front=3, tail=4, longest=120, shortest=70)
 
 
-def _stats_sql(source: str) -> str:
+def stats_sql(source: str) -> str:
     return (
         f"WITH r AS (SELECT coalesce(strlen(sequence), 0) AS l, {_SUM} AS q, {_N} AS n, length(sequence) - "
         f"length(regexp_replace(sequence, '[GCgc]', '', 'g')) AS g FROM {source}), "
@@ -182,17 +186,22 @@ def _stats_sql(source: str) -> str:
     )
 
 
-@_query(_stats_sql(BASES_SQL))
+@_query(stats_sql(BASES_SQL))
 def stats(spark, sf_dir):
     """Summary statistics of the FASTQ records."""
     return ops.stats(fastq_bases(spark, sf_dir))
 
 
-@_query(
-    f"WITH r AS (SELECT idx, coalesce(strlen(sequence), 0) AS l FROM {BASES_SQL}), b AS (SELECT greatest(arg_min(l, idx) // 10, 1) AS w FROM r) "
-    "SELECT CAST(least(l // w, 9) AS INTEGER) AS bin, CAST(least(l // w, 9) * w AS BIGINT) AS range_start, "
-    "CAST((least(l // w, 9) + 1) * w AS BIGINT) AS range_end, count(*) AS reads FROM r, b GROUP BY 1, 2, 3"
-)
+def histogram_sql(source: str, width: str) -> str:
+    """The histogram of a relation; ``width`` is an expression over its lengths l."""
+    return (
+        f"WITH r AS (SELECT idx, coalesce(strlen(sequence), 0) AS l FROM {source}), b AS (SELECT {width} AS w FROM r LIMIT 1) "
+        "SELECT CAST(least(l // w, 9) AS INTEGER) AS bin, CAST(least(l // w, 9) * w AS BIGINT) AS range_start, "
+        "CAST((least(l // w, 9) + 1) * w AS BIGINT) AS range_end, count(*) AS reads FROM r, b GROUP BY 1, 2, 3"
+    )
+
+
+@_query(histogram_sql(BASES_SQL, "greatest(arg_min(l, idx) // 10, 1)"))
 def length_histogram(spark, sf_dir):
     """The ten-bin length histogram of the FASTQ records."""
     return ops.length_histogram(fastq_bases(spark, sf_dir))
@@ -285,13 +294,13 @@ def dedup_sort_reverse(spark, sf_dir):
 _FILTERED = f"(SELECT * FROM {BASES_SQL} WHERE {_MEAN} >= CAST(20 AS FLOAT) AND strlen(sequence) >= 40)"
 
 
-@_query(_stats_sql(_FILTERED))
+@_query(stats_sql(_FILTERED))
 def filter_stats(spark, sf_dir):
     """Pipeline: filter by quality and length, then sum up."""
     return fastq_bases(spark, sf_dir).transform(ops.filter_reads, 20, 40).transform(ops.stats)
 
 
-@_query(_stats_sql(f"(SELECT * FROM ({_trim_sql(25, 2, 2, 140, 50)}) WHERE {_MEAN} >= CAST(30 AS FLOAT))"))
+@_query(stats_sql(f"(SELECT * FROM ({_trim_sql(25, 2, 2, 140, 50)}) WHERE {_MEAN} >= CAST(30 AS FLOAT))"))
 def trim_filter_stats(spark, sf_dir):
     """Pipeline: trim, filter, sum up."""
     trimmed = fastq(spark, sf_dir).transform(ops.trim_reads, 25, 2, 2, 140, 50)
@@ -315,11 +324,11 @@ def _wrapped(column: str) -> Column:
     f"regexp_replace(header, '[\\r\\n]+$', '') AS header, sequence, quality FROM {FASTQ_SQL})"
 )
 def fastq_wrapped_round_trip(spark, sf_dir):
-    """FASTQ records written with lines of 20 bases and scores, and read again by ranges of 4,000 bytes."""
+    """FASTQ records written with lines of 20 bases and scores, and read again by ranges of 64,000 bytes."""
     path = new_path(spark, "fastq-wrapped")
     text = F.concat_ws("\n", "header", _wrapped("sequence"), F.lit("+"), _wrapped("quality"))
     fastq(spark, sf_dir).orderBy("idx").select(text.alias("value")).write.text(path)
-    return read_fastq(spark, path, split_bytes=4000)
+    return read_fastq(spark, path, split_bytes=64_000)
 
 
 _BARE = "CASE WHEN header LIKE '>%' THEN header ELSE concat('>', coalesce(header, '')) END"

@@ -43,21 +43,20 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, label: str) -> str:
-    """A fresh path for a table in the shared folder."""
-    return f"{shared_dir(spark)}/strandline-{label}-{uuid.uuid4().hex}"
+    """A fresh path in the shared folder. What is written there is removed when the enclosing ``scope`` ends, or else with the
+    process."""
+    path = f"{shared_dir(spark)}/strandline-{label}-{uuid.uuid4().hex}"
+    _staged[path] = spark
+    return path
 
 
-#: Tables staged by this process that were not removed yet.
+#: Paths given out by this process that were not removed yet.
 _staged: dict[str, SparkSession] = {}
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as a Parquet table in the shared folder and read it back: later steps restart from there.
-
-    The table is removed when the enclosing ``scope`` ends, or else with the process.
-    """
+    """Write ``df`` as a Parquet table in the shared folder and read it back: later steps restart from there."""
     path = new_path(df.sparkSession, label)
-    _staged[path] = df.sparkSession
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -136,8 +135,8 @@ def positions(df: DataFrame, dense: bool | None = None) -> DataFrame:
 def numbered(df: DataFrame, column: str, label: str = "numbered") -> DataFrame:
     """``df`` with each row's position, from 0, in the order of its partitions and of the rows within them.
 
-    The rows are written once with their place in their partition; the counts of the partitions, one row a task, are
-    added up and joined back. So no task sees more than its own partition, as it would with an unpartitioned
+    The rows are written once with their place in their partition; the counts of the partitions, one row a task and so no
+    more than there are files, are added up and joined back. So no task sees more than its own partition, as it would with an unpartitioned
     row_number, and the numbers can't change when a task runs again.
     """
     placed = stage(df.withColumn("__at", F.monotonically_increasing_id()), label)
@@ -145,7 +144,8 @@ def numbered(df: DataFrame, column: str, label: str = "numbered") -> DataFrame:
     sizes = placed.groupBy(task.alias("__task")).agg(F.count(F.lit(1)).alias("__n"))
     order = Window.orderBy("__task").rowsBetween(Window.unboundedPreceding, -1)
     before = sizes.select("__task", F.coalesce(F.sum("__n").over(order), F.lit(0)).alias("__before"))
-    out = placed.withColumn("__task", task).withColumn("__place", place).join(small(before), "__task")
+    few = len(placed.inputFiles()) <= BROADCAST_ROWS
+    out = placed.withColumn("__task", task).withColumn("__place", place).join(F.broadcast(before) if few else before, "__task")
     return out.withColumn(column, F.col("__before") + F.col("__place")).drop("__at", "__task", "__place", "__before")
 
 
