@@ -16,18 +16,66 @@ def letters(column: Column) -> Column:
 
 
 def joined(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The bytes of an Arrow string column end to end without a copy, and each row's number of bytes; null has none."""
+    """The bytes of an Arrow string or binary column end to end without a copy, and each row's number of bytes; null has none."""
     if column.null_count:
-        column = column.fill_null("")
+        column = column.fill_null(b"" if pa.types.is_binary(column.type) else "")
     if not len(column):
         return np.zeros(0, np.uint8), np.zeros(0, np.int64)
-    kind = np.int64 if pa.types.is_large_string(column.type) else np.int32
+    kind = np.int64 if pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type) else np.int32
     _, offsets, data = column.buffers()
     at = np.frombuffer(offsets, kind)[column.offset : column.offset + len(column) + 1].astype(np.int64)
     text = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
     return text[at[0] : at[-1]], np.diff(at)
 
 
+#: The first byte of a packed text: letters that fill up its last byte, or that the letters follow as they are.
+_PLAIN = 4
+
+
+def pack(codes: np.ndarray, lengths: np.ndarray) -> pa.Array:
+    """Texts, given end to end, as binary values: four letters a byte where all are A, C, G or T."""
+    starts = np.concatenate(([0], np.cumsum(lengths)[:-1])) if len(lengths) else np.zeros(0, np.int64)
+    two = np.full(256, 4, np.uint8)
+    two[[65, 67, 71, 84]] = range(4)
+    bits = two[codes]
+    odd = np.concatenate(([0], np.cumsum(bits == 4)))
+    plain = odd[starts + lengths] > odd[starts]
+    fill = np.where(plain, _PLAIN, -lengths % 4)
+    size = 1 + np.where(plain, lengths, (lengths + fill) // 4)
+    edge = np.concatenate(([0], np.cumsum(size)))
+    out = np.zeros(int(edge[-1]), np.uint8)
+    out[edge[:-1]] = fill
+    some = np.flatnonzero(plain)
+    out[spread(edge[some] + 1, lengths[some])] = codes[spread(starts[some], lengths[some])]
+    some = np.flatnonzero(~plain)
+    padded = 4 * (size[some] - 1)
+    four = np.zeros(int(padded.sum()), np.uint8)
+    at = np.concatenate(([0], np.cumsum(padded)[:-1])) if len(some) else np.zeros(0, np.int64)
+    four[spread(at, lengths[some])] = bits[spread(starts[some], lengths[some])]
+    four = four.reshape(-1, 4)
+    out[spread(edge[some] + 1, size[some] - 1)] = four[:, 0] | four[:, 1] << 2 | four[:, 2] << 4 | four[:, 3] << 6
+    return pa.Array.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(edge.astype(np.int64)), pa.py_buffer(out)]).cast(pa.binary())
+
+
+def unpack(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(codes, lengths) of packed texts."""
+    data, size = joined(column)
+    edge = np.concatenate(([0], np.cumsum(size))).astype(np.int64)
+    fill = data[edge[:-1]]
+    plain = fill == _PLAIN
+    lengths = np.where(plain, size - 1, 4 * (size - 1) - fill)
+    starts = np.concatenate(([0], np.cumsum(lengths)[:-1])) if len(lengths) else np.zeros(0, np.int64)
+    out = np.zeros(int(lengths.sum()), np.uint8)
+    some = np.flatnonzero(plain)
+    out[spread(starts[some], lengths[some])] = data[spread(edge[some] + 1, lengths[some])]
+    some = np.flatnonzero(~plain)
+    four = data[spread(edge[some] + 1, size[some] - 1)]
+    letter = np.frombuffer(b"ACGT", np.uint8)[(four[:, None] >> np.array([0, 2, 4, 6], np.uint8) & np.uint8(3)).reshape(-1)]
+    at = np.concatenate(([0], np.cumsum(4 * (size[some] - 1))[:-1])) if len(some) else np.zeros(0, np.int64)
+    out[spread(starts[some], lengths[some])] = letter[spread(at, lengths[some])]
+    return out, lengths
+
+
 def window_hashes(codes: np.ndarray, width: int, salt: int) -> np.ndarray:
     """A 64-bit polynomial hash of each window of ``width`` bytes of ``codes``.
 
@@ -73,3 +121,19 @@ def spread(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
         return np.zeros(0, np.int64)
     shift = np.repeat(starts - np.concatenate(([0], np.cumsum(counts)[:-1])), counts)
     return np.arange(total, dtype=np.int64) + shift
+
+
+def packed(text: np.ndarray, width: int) -> np.ndarray:
+    """Each run of ``width`` (up to 12) letters as an integer that sorts as the letters do; beyond the end, as if blanks
+    followed."""
+    one = np.concatenate((text & np.uint8(31), np.zeros(width, np.uint8))).astype(np.uint64)
+    out, have, power, reach = None, 0, one, 1
+    while True:
+        if width & reach:
+            n = len(power) - have if out is not None else len(power)
+            out = power if out is None else (out[:n] << np.uint64(5 * reach)) | power[have : have + n]
+            have += reach
+        if reach * 2 > width:
+            return out[: len(text)]
+        power = (power[:-reach] << np.uint64(5 * reach)) | power[reach:]
+        reach *= 2

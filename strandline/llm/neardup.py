@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.letters import joined, letters, mixed, spread, window_hashes
+from strandline.llm.letters import joined, letters, mixed, pack, packed, spread, unpack, window_hashes
 from strandline.runtime import bound_arrow_batches, join_groups, stage
 
 #: Bands of a fingerprint, and its coordinates in each of them.
@@ -79,10 +79,16 @@ def signatures(codes: np.ndarray, lengths: np.ndarray, k: int, words: int = WORD
 
 
 def distinct_texts(df: DataFrame, id_col: str, sequence: str, k: int) -> DataFrame:
-    """(idx, s): one row for each distinct letters, with the smallest id; those of fewer than k letters have no
-    k-letter substring and are left out."""
+    """(idx, p): one row for each distinct letters, with the smallest id; those of fewer than k letters have no
+    k-letter substring and are left out. The letters are packed, as they will travel with each pair."""
+    bound_arrow_batches(df.sparkSession)
     rows = df.select(F.col(id_col).cast("long").alias("idx"), letters(F.col(sequence)).alias("s"))
-    return rows.filter(F.length("s") >= k).groupBy("s").agg(F.min("idx").alias("idx")).select("idx", "s")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch["idx"], pack(*joined(batch["s"]))], ["idx", "p"])
+
+    return rows.filter(F.length("s") >= k).groupBy("s").agg(F.min("idx").alias("idx")).select("idx", "s").mapInArrow(run, "idx long, p binary")
 
 
 def candidate_pairs(texts: DataFrame, k: int, bands: int, rows: int, threshold: tuple[int, int], hot: int = HOT) -> DataFrame:
@@ -96,7 +102,7 @@ def candidate_pairs(texts: DataFrame, k: int, bands: int, rows: int, threshold:
 
     def anchor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            codes, lengths = joined(batch["s"])
+            codes, lengths = unpack(batch["p"])
             which, keys = fingerprints(codes, lengths, k, bands, rows)
             ids = np.repeat(batch["idx"].to_numpy()[which], bands)
             yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), pa.array(ids)], ["a", "idx"])
@@ -154,9 +160,9 @@ def _hot_pairs(large: DataFrame, texts: DataFrame, k: int, threshold: tuple[int,
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            codes, lengths = joined(batch["s"])
+            codes, lengths = unpack(batch["p"])
             words = signatures(codes, lengths, k).view(np.int64)
-            grams = np.concatenate([_sizes(batch["s"].slice(i, 1 << 13), k) for i in range(0, len(batch), 1 << 13)])
+            grams = np.concatenate([_sizes(batch["p"].slice(i, 1 << 13), k) for i in range(0, len(batch), 1 << 13)])
             yield pa.RecordBatch.from_arrays(
                 [batch["idx"], pa.array(grams, pa.int64()), *[pa.array(words[:, i]) for i in range(WORDS)]], ["idx", "n", *names]
             )
@@ -218,12 +224,12 @@ def _parts(rows: np.ndarray, weights: np.ndarray, most: int = 1 << 20) -> list[n
 
 
 def _grams(column: pa.Array, k: int) -> np.ndarray:
-    """The distinct k-letter substrings of each row, as row << 5k | letters, in order."""
-    codes, lengths = joined(column)
+    """The distinct k-letter substrings of each row of packed texts, as row << 5k | letters, in order."""
+    codes, lengths = unpack(column)
     counts = np.maximum(lengths - k + 1, 0)
     starts = np.concatenate(([0], np.cumsum(lengths)[:-1]))
     row = np.repeat(np.arange(len(lengths), dtype=np.uint64), counts)
-    keys = np.sort((row << np.uint64(5 * k)) | _packed(codes, k)[spread(starts, counts)])
+    keys = np.sort((row << np.uint64(5 * k)) | packed(codes, k)[spread(starts, counts)])
     return keys[np.concatenate(([True], keys[1:] != keys[:-1]))] if len(keys) else keys
 
 
@@ -248,16 +254,6 @@ def _jaccard(k: int):
     return run
 
 
-def _packed(codes: np.ndarray, k: int) -> np.ndarray:
-    """Windows of k <= 12 letters A-Z as exact integers."""
-    n = max(0, len(codes) - k + 1)
-    out = np.zeros(n, np.uint64)
-    five = codes.astype(np.uint64) - np.uint64(65)
-    for j in range(k):
-        out = (out << np.uint64(5)) | five[j : j + n]
-    return out
-
-
 def similar_pairs(
     df: DataFrame,
     id_col: str = "idx",
@@ -289,8 +285,8 @@ def similar_pairs(
     pairs = candidate_pairs(texts, k, bands, rows, threshold)
     # The texts of a pair come together by two joins on unique ids, in which only texts of candidates survive. A hub's
     # pairs are many short rows of one key; adaptive execution splits such a partition.
-    a = texts.select(F.col("idx").alias("idx_a"), F.col("s").alias("sa"))
-    b = texts.select(F.col("idx").alias("idx_b"), F.col("s").alias("sb"))
+    a = texts.select(F.col("idx").alias("idx_a"), F.col("p").alias("sa"))
+    b = texts.select(F.col("idx").alias("idx_b"), F.col("p").alias("sb"))
     scored = pairs.join(a, "idx_a").join(b, "idx_b").select("idx_a", "idx_b", "sa", "sb")
     out = scored.mapInArrow(_jaccard(k), "idx_a long, idx_b long, common long, total long")
     return out.filter(F.col("common") * other >= F.col("total") * one)

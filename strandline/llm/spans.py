@@ -11,7 +11,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandline.llm.letters import joined, letters, mixed, spread, windows_hashes
+from strandline.llm.letters import joined, letters, mixed, packed, spread, windows_hashes
 from strandline.runtime import bound_arrow_batches, join_groups, stage
 
 #: Letters of a suffix's shortest prefix that decides its group.
@@ -204,22 +204,6 @@ def _unpack(blob: bytes, kinds: tuple) -> list[np.ndarray]:
 _KINDS = (np.int64, np.int64, np.int32, np.uint8)  # record, start, letters of each stretch; their letters
 
 
-def packed(text: np.ndarray, width: int) -> np.ndarray:
-    """Each run of ``width`` (up to 12) letters as an integer that sorts as the letters do; beyond the end, as if blanks
-    followed."""
-    one = np.concatenate((text & np.uint8(31), np.zeros(width, np.uint8))).astype(np.uint64)
-    out, have, power, reach = None, 0, one, 1
-    while True:
-        if width & reach:
-            n = len(power) - have if out is not None else len(power)
-            out = power if out is None else (out[:n] << np.uint64(5 * reach)) | power[have : have + n]
-            have += reach
-        if reach * 2 > width:
-            return out[: len(text)]
-        power = (power[:-reach] << np.uint64(5 * reach)) | power[reach:]
-        reach *= 2
-
-
 def sorted_suffixes(text: np.ndarray, at: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """(order, deep): the suffixes at ``at`` in order of their first ``depth`` letters, and for each the letters that it
     has in common with the one before, as far as is compared: ``depth`` or fewer.

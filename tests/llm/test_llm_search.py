@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandline.llm import leaks, neardup, queries, spans
+from strandline.llm.letters import pack, unpack
 
 SEQ = "idx long, sequence string"
 
@@ -228,12 +229,24 @@ class TestNearDuplicates:
         grams = [{t[i : i + 10].tobytes() for i in range(len(t) - 9)} for t in (base, other)]
         assert abs((keys[0] == keys[1]).mean() - len(grams[0] & grams[1]) / len(grams[0] | grams[1])) < 0.06
 
+    @pytest.mark.parametrize("alphabet", ["ACGT", "ACGTN", "A", "QWERTY"])
+    def test_packed_texts(self, alphabet):
+        rng = np.random.default_rng(4)
+        texts = ["", "A", "ACGTA"] + ["".join(rng.choice(list(alphabet), rng.integers(0, 40))) for _ in range(50)]
+        codes, lengths = np.frombuffer("".join(texts).encode(), np.uint8), np.array([len(t) for t in texts])
+        packed = pack(codes, lengths)
+        for low in (0, 3):
+            back, sizes = unpack(packed.slice(low))
+            assert back.tobytes().decode() == "".join(texts[low:]) and sizes.tolist() == lengths[low:].tolist()
+        assert len(packed[2].as_py()) == 3
+        assert unpack(pack(codes[:0], lengths[:0]))[0].size == 0
+
     def test_signatures_bound_what_is_shared(self):
         rng = np.random.default_rng(9)
         texts = ["".join(rng.choice(list("ACGT"), rng.integers(5, 400))) for _ in range(60)]
         texts += [t[: len(t) // 2] + texts[0] for t in texts]
         codes, lengths = np.frombuffer("".join(texts).encode(), np.uint8), np.array([len(t) for t in texts])
-        words, sizes = neardup.signatures(codes, lengths, 10), neardup._sizes(pa.array(texts), 10)
+        words, sizes = neardup.signatures(codes, lengths, 10), neardup._sizes(pack(codes, lengths), 10)
         sets = [{t[i : i + 10] for i in range(len(t) - 9)} for t in texts]
         assert sizes.tolist() == [len(s) for s in sets]
         for x, a in zip(words, sets):
