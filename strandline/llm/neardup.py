@@ -233,6 +233,17 @@ def _grams(column: pa.Array, k: int) -> np.ndarray:
     return keys[np.concatenate(([True], keys[1:] != keys[:-1]))] if len(keys) else keys
 
 
+def _grams_of_runs(column: pa.Array, ids: np.ndarray, k: int) -> np.ndarray:
+    """``_grams`` where neighbouring rows of one id have one text, which is then taken apart once."""
+    first = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
+    grams = _grams(column.take(pa.array(first)), k)
+    size = np.bincount((grams >> np.uint64(5 * k)).astype(np.int64), minlength=len(first))
+    run = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(ids))))
+    begin = np.concatenate(([0], np.cumsum(size)[:-1]))
+    row = np.repeat(np.arange(len(ids), dtype=np.uint64), size[run])
+    return row << np.uint64(5 * k) | grams[spread(begin[run], size[run])] & np.uint64(2 ** (5 * k) - 1)
+
+
 def _jaccard(k: int):
     most = min(1 << 14, 1 << (64 - 5 * k))  # rows whose number fits beside k letters of 5 bits
 
@@ -240,7 +251,7 @@ def _jaccard(k: int):
         for whole in batches:
             for at in range(0, len(whole), most):
                 batch = whole.slice(at, most)
-                a, b = _grams(batch["sa"], k), _grams(batch["sb"], k)
+                a, b = _grams(batch["sa"], k), _grams_of_runs(batch["sb"], batch["idx_b"].to_numpy(), k)
                 both = np.sort(np.concatenate((a, b)), kind="stable")
                 twice = both[1:][both[1:] == both[:-1]]
                 count = lambda x: np.bincount((x >> np.uint64(5 * k)).astype(np.int64), minlength=len(batch))
