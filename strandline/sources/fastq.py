@@ -2,8 +2,8 @@
 
 The marker of a FASTQ record may also begin a quality line, so no separator splits these files safely. What is safe is a
 *proven* header: a line that begins with ``@``, then one that doesn't begin with a marker, then one that begins with
-``+``, then one as long as the second, then the end of the file, a blank line or another ``@``. Whether a line is proven
-follows from five lines alone, so every reader of any byte range agrees on it. The proven headers cut a file into
+``+``, then one as long as the second, then the end of the file, a blank line or another ``@``; and none of the three lines
+before it is like that. Whether a line is proven follows from eight lines alone, so every reader of any byte range agrees on it. The proven headers cut a file into
 segments; a segment belongs to the range in which its header lies, and whoever reads it reads it to its end, be that
 beyond the range. So all ranges together read every line once, whatever their size, and give the same records or the
 same error. A file whose first record isn't proven (its records span more lines) is read whole by its first range.
@@ -112,7 +112,8 @@ class _Lines:
         return cls(text, begin, stop - (back & (stop > begin)), after)
 
     def proven(self, last: bool) -> np.ndarray:
-        """Numbers of the proven headers among the lines that five lines, or the file's last ones, follow."""
+        """Numbers of the proven headers, among the lines that four more, or the file's last ones, follow. Of the first three
+        lines it can't be told unless they are a file's."""
         n = len(self.begin)
         size = self.end - self.begin
         mark = np.where(size > 0, self.data[np.minimum(self.begin, max(len(self.data) - 1, 0))], 0) if n else np.zeros(0, np.uint8)
@@ -122,7 +123,8 @@ class _Lines:
         follow = np.concatenate((mark, np.zeros(4, mark.dtype)))[4 : 4 + able]
         ok = (mark[:able] == _AT) & (mark[2 : 2 + able] == _PLUS) & (size[1 : 1 + able] == size[3 : 3 + able])
         ok &= (mark[1 : 1 + able] != _AT) & (mark[1 : 1 + able] != _PLUS) & ((follow == _AT) | (follow == 0))
-        return np.flatnonzero(ok)
+        like = np.flatnonzero(ok)
+        return like[np.diff(like, prepend=-4) > 3]
 
     def texts(self, which: np.ndarray) -> pa.Array:
         """Some lines as an Arrow array."""
@@ -176,39 +178,29 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 def read_range(stream, start: int, end: int, mode: str = "FAILFAST", block: int = BLOCK) -> Iterator[pa.RecordBatch]:
     """The records of the segments whose header begins in [start, end), and of what stands before a file's first one."""
-    stream.seek(max(start - 1, 0))
-    base = start - 1 + len(stream.readline()) if start else 0  # past the line that holds the byte before the range
-    held, loose, open_, last = b"", [], start == 0, False
+    base = _three_lines_before(stream, start)
+    stream.seek(base)
+    held, loose, open_, last, done = b"", [], start == 0, False, 0
     while not last:
         more = stream.read(block)
         last, data = len(more) < block, held + more
         lines = _Lines.of(data, last)
+        done = max(done, int(np.searchsorted(lines.begin, start - base)))  # lines that are there for those after them
         heads = lines.proven(last)
-        # A header within four lines of another one is none; this hardly happens.
-        if len(heads) and (np.diff(heads) < 4).any():
-            kept = [int(heads[0])]
-            for h in heads[1:].tolist():
-                if h >= kept[-1] + 4:
-                    kept.append(h)
-            heads = np.array(kept)
-        count = len(lines.begin)
-        upto = count if last else max(count - 4, 0)
+        heads = heads[heads >= done]
+        upto = len(lines.begin) if last else max(len(lines.begin) - 4, done)
         if len(heads):
             upto = max(upto, int(heads[-1]) + 4)
-        first = 0
+        first = done
         if not open_:
-            heads = heads[lines.begin[heads] + base >= start]
-            if not len(heads):
-                first = upto
-            else:
-                first, open_ = int(heads[0]), True
-                if lines.begin[first] + base >= end:
-                    return
+            first, open_ = (int(heads[0]), True) if len(heads) else (upto, False)
+            if open_ and lines.begin[first] + base >= end:
+                return
         beyond = np.flatnonzero(lines.begin[heads] + base >= end)
         stop = int(heads[beyond[0]]) if len(beyond) else upto
         heads = heads[: beyond[0]] if len(beyond) else heads
         if open_:
-            done = 0
+            sent = 0
             inner = np.ones(max(stop - first, 0), bool)
             for j in range(4):
                 inner[heads + j - first] = False
@@ -216,21 +208,34 @@ def read_range(stream, start: int, end: int, mode: str = "FAILFAST", block: int
                 if not loose and lines.begin[i] == lines.end[i]:
                     continue
                 ready = int(np.searchsorted(heads, i))
-                if ready > done:
+                if ready > sent:
                     yield from _loose(loose, mode)
-                    yield from _four_line_batch(lines, heads[done:ready], mode)
-                    done = ready
+                    yield from _four_line_batch(lines, heads[sent:ready], mode)
+                    sent = ready
                 loose += lines.raw(i, i + 1)
-            if len(heads) > done:
+            if len(heads) > sent:
                 yield from _loose(loose, mode)
-                yield from _four_line_batch(lines, heads[done:], mode)
+                yield from _four_line_batch(lines, heads[sent:], mode)
         if len(beyond):
             break
-        cut = int(lines.next[upto - 1]) if upto else 0
-        held, base = data[cut:], base + cut
+        kept = max(upto - 3, 0)
+        cut = int(lines.next[kept - 1]) if kept else 0
+        held, base, done = data[cut:], base + cut, upto - kept
     yield from _loose(loose, mode)
 
 
+def _three_lines_before(stream, start: int) -> int:
+    """Where the third line before the one that begins at or after ``start`` begins, or an earlier one."""
+    back = 1024
+    while back < start:
+        stream.seek(start - back)
+        data = stream.read(back)
+        if data.count(b"\n") >= 5:
+            return start - back + data.index(b"\n") + 1
+        back *= 4
+    return 0
+
+
 def _loose(lines: list[bytes], mode: str) -> Iterator[pa.RecordBatch]:
     """Records of the lines between proven ones: blank lines, wrapped records, or an error. Empties the list."""
     found = [x for x in lines] if any(x.strip() for x in lines) else []

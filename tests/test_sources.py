@@ -162,6 +162,31 @@ class TestFastq:
             good = [r["header"] for r in results[0] if r["sequence"] is not None]
             assert len(good) == (38 if "junk" in text else 2)
 
+    def test_ranges_of_random_files_give_the_same(self):
+        rng = random.Random(11)
+        for _ in range(60):
+            text = ""
+            for i in range(rng.randrange(1, 8)):
+                n = rng.choice([0, 1, 2, 5, 9])
+                lines = [f"@{i}", "".join(rng.choice("ACGT") for _ in range(n)), "+", "".join(rng.choice("@+I!") for _ in range(n))]
+                what = rng.random()
+                if what < 0.2:
+                    lines[3] = rng.choice([lines[3][:-1], lines[3] + "I"])
+                elif what < 0.3:
+                    lines.pop(rng.randrange(4))
+                elif what < 0.4:
+                    lines.insert(rng.randrange(5), rng.choice(["", "junk"]))
+                text += "".join(x + rng.choice(["\n", "\r\n"]) for x in lines)
+            for mode in ("FAILFAST", "DROPMALFORMED", "PERMISSIVE"):
+                results = []
+                for size, block in ((10**6, 10**6), (10**6, 7), (9, 10**6), (14, 5), (3, 100)):
+                    try:
+                        parts = [read_range(io.BytesIO(text.encode()), a, a + size, mode, block) for a in range(0, len(text), size)]
+                        results.append([r for part in parts for batch in part for r in batch.to_pylist()])
+                    except ValueError:
+                        results.append("error")
+                assert all(r == results[0] for r in results), text
+
     def test_folders_and_globs(self, spark, tmp_path):
         (tmp_path / "in" / "deep").mkdir(parents=True)
         for name in ("a.fq", "deep/b.fq", "deep/c.txt", "_no.fq"):
