@@ -344,14 +344,17 @@ def fasta_round_trip(spark, sf_dir):
     return read_fasta(spark, path)
 
 
+_LONG = f"(SELECT row_number() OVER (ORDER BY idx) - 1 AS n, * FROM {BASES_SQL} WHERE strlen(sequence) >= 100)"
+
+
 @_query(
-    "SELECT 2 * (row_number() OVER (PARTITION BY idx % 2 ORDER BY idx) - 1) + idx % 2 AS idx, header, sequence, quality "
-    f"FROM {ALL_FASTQ_SQL} WHERE (idx // 2) % 3 <> 1"
+    f"SELECT 2 * n AS idx, header, sequence, quality FROM {_LONG} UNION ALL "
+    f"SELECT 2 * n + 1 AS idx, header, {_REVCOMP} AS sequence, reverse(quality) AS quality FROM {_LONG}"
 )
 def filter_interleave(spark, sf_dir):
-    """Pipeline: drop every third pair, then zip the rest; the ordinals of both sides have gaps."""
-    rest = all_fastq(spark, sf_dir).filter(F.expr("(idx div 2) % 3 <> 1"))
-    return ops.interleave(rest.filter("idx % 2 = 0"), rest.filter("idx % 2 = 1"))
+    """Pipeline: filter by length, and zip what is left with its opposite strand; the ordinals of both sides have gaps."""
+    kept = fastq_bases(spark, sf_dir).transform(ops.filter_reads, min_length=100)
+    return ops.interleave(kept, ops.revcomp(kept))
 
 
 _DISTINCT = f"(SELECT row_number() OVER (ORDER BY idx) - 1 AS idx, header, sequence, quality FROM ({_first(BASES_SQL, _ALL)}))"

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import contextlib
+import hashlib
 import io
 import sys
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -141,8 +143,8 @@ def _run(spark: SparkSession, argv: list[str], stdin: bytes | None = None) -> tu
     return code, out.getvalue(), err.getvalue()
 
 
-_FA = f"(SELECT idx, concat('>r', idx) AS header, coalesce(sequence, '') AS sequence FROM {FASTA_SQL} WHERE idx < 400)"
-_FQ = f"(SELECT idx, concat('@r', idx) AS header, sequence, quality FROM {FASTQ_SQL} WHERE idx < 400)"
+_FA = f"(SELECT idx, concat('>r', idx) AS header, coalesce(sequence, '') AS sequence FROM {FASTA_SQL})"
+_FQ = f"(SELECT idx, concat('@r', idx) AS header, sequence, quality FROM {FASTQ_SQL})"
 _FA_LINES = "string_agg(concat(header, chr(10), sequence, chr(10)), '' ORDER BY {order})"
 _FQ_LINES = "string_agg(concat(header, chr(10), sequence, chr(10), '+', chr(10), quality, chr(10)), '' ORDER BY idx)"
 _ONCE = "SELECT *, min(idx) OVER (PARTITION BY sequence) AS f"
@@ -161,12 +163,12 @@ _ONCE = "SELECT *, min(idx) OVER (PARTITION BY sequence) AS f"
     f"SELECT 'standard input', md5({_FA_LINES.format(order='idx')}) FROM ({_ONCE} FROM {_FA}) WHERE idx = f"
 )
 def command_line(spark, sf_dir):
-    """Tools of the command line on files of the first records, as the hash of each one's output: its feature is one file."""
+    """Tools of the command line on files of all records, as the hash of each one's output."""
     fa, fq, out = (new_path(spark, x).removeprefix("file://") for x in ("fa", "fq", "out"))
-    few = lambda df, mark: df.filter("idx < 400").withColumn("header", F.concat(F.lit(mark), F.lit("r"), F.col("idx")))
-    write_reads(few(fasta(spark, sf_dir), ">"), f"file://{fa}", single=True)
-    write_reads(few(fastq(spark, sf_dir), "@"), f"file://{fq}", single=True)
-    text = "".join(x.value + "\n" for x in spark.read.text(f"file://{fa}").collect())  # 800 lines
+    named = lambda df, mark: df.withColumn("header", F.concat(F.lit(mark), F.lit("r"), F.col("idx")))
+    write_reads(named(fasta(spark, sf_dir), ">"), f"file://{fa}", single=True)
+    write_reads(named(fastq(spark, sf_dir), "@"), f"file://{fq}", single=True)
+    (part,) = Path(fa).glob("part-*")
     commands = {
         "dedup": ["dedup", fa],
         "sort": ["sort", fa, "-l", "-r"],
@@ -180,12 +182,10 @@ def command_line(spark, sf_dir):
     }
     rows = []
     for tool, argv in commands.items():
-        _, said, _ = _run(spark, argv, text.encode() if tool == "standard input" else None)
-        if tool == "deinterleave":
-            with open(f"{out}2") as file:
-                said = file.read()
-        rows.append((tool, said))
-    return spark.createDataFrame(rows, "tool string, said string").select("tool", F.md5("said").alias("hash"))
+        _, said, _ = _run(spark, argv, part.read_bytes() if tool == "standard input" else None)
+        text = Path(f"{out}2").read_bytes() if tool == "deinterleave" else said.encode()
+        rows.append((tool, hashlib.md5(text).hexdigest()))
+    return spark.createDataFrame(rows, "tool string, hash string")
 
 
 _ERRORS = {
