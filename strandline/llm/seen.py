@@ -83,9 +83,9 @@ class SeenStore:
             keys = keys.join(old.hint("merge"), same, "left").filter("old_h is null").drop("old_h", "old_key")
         return keys
 
-    def add(self, batch: DataFrame) -> DataFrame:
-        """Take in a batch of (scope, key, at) and answer it: (scope, at) of each record whose key a run or a smaller ``at``
-        of the batch has. Each new key is recorded with its smallest ``at``."""
+    def add(self, batch: DataFrame, answer: bool = True) -> DataFrame | None:
+        """Take in a batch of (scope, key, at) and, unless told not to, answer it: (scope, at) of each record whose key a run
+        or a smaller ``at`` of the batch has. Each new key is recorded with its smallest ``at``."""
         rows = batch.select("scope", F.concat(F.col("scope"), F.lit(":"), F.col("key")).alias("key"), "at")
         rows = rows.withColumn("h", self.hashed(F.col("key")))
         hashes = None
@@ -95,11 +95,13 @@ class SeenStore:
         new = rows.groupBy(*_KEYS).agg(F.min("scope").alias("scope"), F.min("at").alias("first"))
         run = self._write(self.unknown(new, hashes) if self.runs() else new.repartition(self.buckets, "h"))
         self.levels[0].append(run)
-        first = self.spark.table(run).select("scope", F.col("first").alias("at")).filter("at is not null")
-        # The first records of new keys are told by their positions, which no hot key can skew.
-        answer = stage(batch.select("scope", "at").join(first, ["scope", "at"], "left_anti").distinct(), "seen-answer")
+        out = None
+        if answer:
+            first = self.spark.table(run).select("scope", F.col("first").alias("at")).filter("at is not null")
+            # The first records of new keys are told by their positions, which no hot key can skew.
+            out = stage(batch.select("scope", "at").join(first, ["scope", "at"], "left_anti").distinct(), "seen-answer")
         self._compact()
-        return answer
+        return out
 
     def _compact(self) -> None:
         for i in range(len(self.levels)):
@@ -164,7 +166,7 @@ def seen_before(
     rows = union([keys_of(tables[name], i, id_col, sequence) for i, name in enumerate(names)]).filter("at is not null")
     if known is not None:
         early = union([keys_of(known, i, id_col, sequence) for i in range(len(names))])
-        memory.add(early.withColumn("at", F.lit(None).cast("long")))
+        memory.add(early.withColumn("at", F.lit(None).cast("long")), answer=False)
     memory.exact = rows.groupBy("scope", "key").agg(F.min("at").alias("at"))
     if known is not None:
         memory.exact = memory.exact.join(early.select("scope", "key").distinct(), ["scope", "key"], "left_anti")
