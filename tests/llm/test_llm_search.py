@@ -272,6 +272,52 @@ class TestNearDuplicates:
         hot = neardup.candidate_pairs(texts, 10, 16, 2, (1, 2), 12).count()
         assert hot < neardup.candidate_pairs(texts, 10, 16, 2, (1, 2), 10**6).count() / 4
 
+    def test_pairs_that_meet_by_chance_are_not_written(self, spark, monkeypatch):
+        """Reads share an adapter and few are similar: what goes to disk follows the similar ones, under no hot key."""
+        rng = np.random.default_rng(12)
+        dna = lambda n: "".join(rng.choice(list("ACGT"), n))
+        adapter = dna(40)
+        rows = [adapter + dna(rng.integers(50, 300)) for _ in range(500)]
+        rows += [r[:50] + "A" + r[51:] for r in rows[:40]]
+        rows = list(enumerate(rows))
+        written, plain = {}, neardup.stage
+
+        def counted(df, label):
+            out = plain(df, label)
+            written[label] = written.get(label, 0) + out.count()
+            return out
+
+        monkeypatch.setattr(neardup, "stage", counted)
+        got = {tuple(r)[:2] for r in neardup.similar_pairs(spark.createDataFrame(rows, SEQ)).collect()}
+        assert got == brute_pairs(rows) and 30 <= len(got) < 100
+        assert len(got) <= written["near-pairs"] < 3 * len(got)
+        assert written["near-band"] < neardup.BANDS * 3 * len(got)
+
+    def test_bounds_hold_for_bitmaps_of_any_size(self):
+        rng = np.random.default_rng(10)
+        texts = ["".join(rng.choice(list("ACGT"), int(n))) for n in 10 ** rng.uniform(1, 3.5, 50)] + ["A" * 500]
+        texts += [t[: len(t) * 2 // 3] + texts[0] for t in texts] + [t[len(t) // 10 :] + "ACGT" * 3 for t in texts]
+        codes, lengths = np.frombuffer("".join(texts).encode(), np.uint8), np.array([len(t) for t in texts])
+        sets = [{t[i : i + 10] for i in range(len(t) - 9)} for t in texts]
+        n = np.array([len(s) for s in sets])
+        words = 1 << np.ceil(np.log2(np.maximum(n / 32, 1))).astype(np.int64)
+        edge = np.concatenate(([0], np.cumsum(words)))
+        flat = neardup.signatures(codes, lengths, 10, words)
+        marks = neardup.Bitmaps(n, pa.array([flat[a:b].tobytes() for a, b in zip(edge, edge[1:])], pa.binary()))
+        x, y = (a.reshape(-1) for a in np.meshgrid(np.arange(len(texts)), np.arange(len(texts))))
+        near = marks.near(x, y, (1, 2))
+        true = np.array([2 * len(sets[a] & sets[b]) >= len(sets[a] | sets[b]) for a, b in zip(x, y)])
+        assert len(set(words.tolist())) > 4 and near[true].all() and true.sum() > len(texts) + 20
+        assert (near & ~true).sum() < 0.1 * len(x)
+
+    def test_long_substrings(self, spark, monkeypatch):
+        rows = sequences(7, 120)
+        df, want = spark.createDataFrame(rows, SEQ), brute_pairs(rows, 12)
+        for hot in (neardup.HOT, 5):
+            monkeypatch.setattr(neardup.candidate_pairs, "__defaults__", (hot,))
+            got = {tuple(r)[:2] for r in neardup.similar_pairs(df, k=12).collect()}
+            assert got <= want and len(got) >= 0.98 * len(want) > 50
+
     def test_classes(self, spark):
         links = [(1, 2), (2, 3), (3, 4), (4, 5), (7, 8), (10, 11), (10, 12), (10, 13)]
         pairs = spark.createDataFrame(links, "idx_a long, idx_b long")
