@@ -1,14 +1,18 @@
 """Readers, writers, the command line and streams."""
 
+import contextlib
 import gzip
+import hashlib
 import io
 import random
+import tracemalloc
 
 import pytest
 from pyspark.sql import functions as F
 
 from strandline import cli
 from strandline import operators as ops
+from strandline.plans import services
 from strandline.sources import detect_format, read_fasta, read_fastq, read_reads, sniff, write_reads
 from strandline.sources.fastq import FastqReader, MalformedRecord, _is_wrapped, parse_records, read_range
 from strandline.streaming import (
@@ -272,6 +276,36 @@ class TestCli:
         monkeypatch.setattr("sys.stdin", io.TextIOWrapper(io.BytesIO(b">a\nAC\n>b\nAC\n")))
         assert self.run(spark, capsys, "dedup")[1] == ">a\nAC\n"
 
+    def test_letters_over_the_end_of_a_block(self, spark, tmp_path):
+        text = "".join(f">{i}{'é' * 700}\nAC\n" for i in range(1001))
+        (tmp_path / "x.fa").write_text(text)
+        out = io.StringIO()
+        with contextlib.redirect_stdout(out):
+            assert cli.run(spark, ["sort", str(tmp_path / "x.fa"), "-l"]) == 0
+        assert len(text.encode()) > 1 << 20 and out.getvalue() == text
+
+    def test_nothing_to_print(self, spark, tmp_path, capsys):
+        (tmp_path / "x.fq").write_text("@a\nACGT\n+\nIIII\n")
+        assert self.run(spark, capsys, "filter", str(tmp_path / "x.fq"), "-l", "9") == (0, "", "")
+
+    def test_memory_does_not_follow_the_output(self, spark, tmp_path):
+        fa = spark.range(2000).selectExpr("id AS idx", "'>x' AS header", "repeat(md5(cast(id AS string)), 64) AS sequence")
+        fq = spark.range(20000).selectExpr("id AS idx", "'@x' AS header", "repeat(md5(cast(id AS string)), 6) AS sequence", "repeat('I', 192) AS quality")
+        fa.write.parquet(str(tmp_path / "fasta_reads.parquet"))
+        fq.write.parquet(str(tmp_path / "fastq_reads.parquet"))
+        tracemalloc.start()
+        try:
+            got = {r.tool: r.hash for r in services.command_line(spark, str(tmp_path)).collect()}
+            peak = tracemalloc.get_traced_memory()[1]
+        finally:
+            tracemalloc.stop()
+        fa = "".join(f">r{r.idx}\n{r.sequence}\n" for r in fa.orderBy("idx").collect())
+        fq = [f"@r{r.idx}\n{r.sequence}\n+\n{r.quality}\n" for r in fq.orderBy("idx").collect()]
+        hashed = lambda text: hashlib.md5(text.encode()).hexdigest()
+        assert got["dedup"] == got["sort"] == got["standard input"] == hashed(fa)
+        assert got["interleave"] == hashed("".join(x + x for x in fq)) and got["deinterleave"] == hashed("".join(fq[1::2]))
+        assert peak < len("".join(fq)), peak  # half of what interleave prints
+
     def test_errors(self, spark, tmp_path, capsys):
         (tmp_path / "x").write_text("ACGT\n")
         code, _, err = self.run(spark, capsys, "dedup", str(tmp_path / "x"))
